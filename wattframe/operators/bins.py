@@ -33,18 +33,15 @@ def resample_days(
         .groupBy(*series, day_of(time).alias("_day"))
         .agg(*(total(c).alias(c) for c in columns))
     )
-    whole = W.partitionBy(*series)
-    offset = F.datediff("_day", F.min("_day").over(whole))
-    numbered = daily.withColumn("_first", F.min("_day").over(whole)).withColumn(
-        "_bin", F.floor(offset / days).cast("int")
-    )
-    filled = numbered.groupBy(*series, "_bin").agg(
-        F.first("_first").alias("_first"), *(F.sum(c).alias(c) for c in columns)
+    numbered = daily.withColumn("_first", F.min("_day").over(W.partitionBy(*series)))
+    numbered = numbered.withColumn(
+        "_bin", F.floor(F.datediff("_day", "_first") / days).cast("int")
     )
+    filled = numbered.groupBy(*series, "_first", "_bin").agg(*(F.sum(c).alias(c) for c in columns))
     # Each filled bin also stands for the empty ones that follow it, up to the next filled bin.
     following = F.lead("_bin").over(W.partitionBy(*series).orderBy("_bin"))
-    last = F.coalesce(following - 1, F.col("_bin"))
-    spread = filled.withColumn("_at", F.explode(F.sequence("_bin", last)))
+    reach = filled.withColumn("_last", F.coalesce(following - 1, F.col("_bin")))
+    spread = reach.withColumn("_at", F.explode(F.sequence("_bin", "_last")))
     start = F.date_add("_first", F.col("_at") * days).cast("timestamp_ntz")
     own = F.col("_at") == F.col("_bin")
     return spread.select(

@@ -75,17 +75,21 @@ def capacity_stats(
 
 def observed_overview(stats: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Four rounded figures for wind and solar, one row per figure."""
-    figures = stats.filter(F.col("technology").isin(*OVERVIEW)).select(
-        *keys,
-        "technology",
-        half_even(F.col("Capacity") / 1000).alias("Capacity [GW]"),
-        half_even(F.col("AnnualGeneration") / 1000000).alias("Annual Gen. [TWh]"),
-        half_even("FullloadHours").alias("Fullload Hours [#]"),
-        half_even("DemandShare").alias("Demand Share [%]"),
+    figures = {
+        "Capacity [GW]": F.col("Capacity") / 1000,
+        "Annual Gen. [TWh]": F.col("AnnualGeneration") / 1000000,
+        "Fullload Hours [#]": F.col("FullloadHours"),
+        "Demand Share [%]": F.col("DemandShare"),
+    }
+    rows = F.array(
+        *(
+            F.struct(F.lit(name).alias("figure"), half_even(value).alias("value"))
+            for name, value in figures.items()
+        )
     )
-    names = [c for c in figures.columns if c not in (*keys, "technology")]
     return (
-        figures.unpivot([*keys, "technology"], names, "figure", "value")
+        stats.filter(F.col("technology").isin(*OVERVIEW))
+        .select(*keys, "technology", F.inline(rows))
         .groupBy(*keys, "figure")
         .pivot("technology", list(OVERVIEW))
         .agg(F.max("value"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.functions import or_zero, total
-from wattframe.operators.grid import DEFAULT_COSTS, Share, spread_scenarios
+from wattframe.operators.grid import DEFAULT_COSTS, Share, scenario_attributes, spread_scenarios
 from wattframe.operators.joins import join_per_key
 from wattframe.operators.lag import circular_lag
 
@@ -164,12 +164,18 @@ def profile_inputs(
     nuclear = F.lit(1.0) / F.col("_hours")
     alpha = F.try_divide(F.col("renewable"), F.col("_sum_renewable"))
     demand = F.try_divide(F.col("demand"), F.col("_sum_demand")) * _total_demand(total_demand)
+
+    def record(symbol: str, element: str | None, value: Column) -> Column:
+        return F.struct(
+            F.lit(symbol).alias("symbol"),
+            F.lit(element).cast("string").alias("element"),
+            value.alias("value"),
+        )
+
     rows = F.array(
-        F.struct(
-            F.lit("alpha").alias("symbol"), F.lit("nuclear").alias("element"), nuclear.alias("value")
-        ),
-        F.struct(F.lit("alpha"), F.lit("renewable"), alpha),
-        F.struct(F.lit("dem"), F.lit(None).cast("string"), demand),
+        record("alpha", "nuclear", nuclear),
+        record("alpha", "renewable", alpha),
+        record("dem", None, demand),
     )
     long = join_per_key(readings, sums, series).select(*series, "date", F.inline(rows))
     return long.filter(F.col("value").isNotNull())
@@ -217,29 +223,13 @@ def merit_order(
     }
 
 
-def dispatch_hourly(
-    hourly: DataFrame,
-    share_generation: Sequence[Share],
-    share_renewable: Sequence[Share],
-    share_storage: Sequence[Share],
-    cost_curtailment: Sequence[Mapping[str, float]] = DEFAULT_COSTS,
-    total_demand: float | None = None,
-    renewable: str = "windOnshore",
-    series: Sequence[str] = ("country",),
-    time: str = "dateTime",
-    partitions: int | None = None,
-) -> DataFrame:
-    """Dispatch of every scenario in every hour.
-
-    Hours meet the scenarios in place. The storage level of the previous hour, which the net release
-    needs, is worked out from the inputs of that hour; those were attached before the scenarios
-    multiplied the rows. So the one shuffle is over the hours, whatever the number of scenarios.
+def _scenario_hours(hours: DataFrame, grid: Sequence[Sequence]) -> DataFrame:
+    """Hours times scenarios, with the potential of each resource.
 
     A scenario without a feasible dispatch, that is with negative demand or potential in some hour,
     is left out as a whole.
     """
-    hours = hourly_inputs(hourly, renewable, total_demand, series, time, partitions)
-    rows = spread_scenarios(hours, share_generation, share_renewable, share_storage, cost_curtailment)
+    rows = spread_scenarios(hours, *grid)
     energy = F.col("x_generation") * F.col("total_demand")
     rows = rows.withColumns(
         {
@@ -255,18 +245,43 @@ def dispatch_hourly(
         & (F.col("alpha_least") * F.col("_energy") >= 0)
         & (F.col("alpha_most") * F.col("_energy") >= 0)
     )
-    rows = rows.filter(feasible).withColumn("_renewable", F.col("alpha") * F.col("_energy"))
-    costs = F.col("costCurtailNuclear"), F.col("costCurtailRenewable")
-    now = merit_order(
-        F.col("demand"), F.col("_nuclear"), F.col("_renewable"), F.col("_size"), *costs
-    )
-    before = merit_order(
-        F.col("demand_before"),
+    return rows.filter(feasible).withColumn("_renewable", F.col("alpha") * F.col("_energy"))
+
+
+def _taken(demand: str, renewable: Column) -> dict[str, Column]:
+    return merit_order(
+        F.col(demand),
         F.col("_nuclear"),
-        F.col("alpha_before") * F.col("_energy"),
+        renewable,
         F.col("_size"),
-        *costs,
+        F.col("costCurtailNuclear"),
+        F.col("costCurtailRenewable"),
     )
+
+
+def dispatch_hourly(
+    hourly: DataFrame,
+    share_generation: Sequence[Share],
+    share_renewable: Sequence[Share],
+    share_storage: Sequence[Share],
+    cost_curtailment: Sequence[Mapping[str, float]] = DEFAULT_COSTS,
+    total_demand: float | None = None,
+    renewable: str = "windOnshore",
+    series: Sequence[str] = ("country",),
+    time: str = "dateTime",
+    partitions: int | None = None,
+) -> DataFrame:
+    """Dispatch of every scenario in every hour.
+
+    Hours meet the scenarios in place. The storage level of the previous hour, which the net release
+    needs, is worked out from the inputs of that hour; those were attached before the scenarios
+    multiplied the rows. So the one shuffle is over the hours, whatever the number of scenarios.
+    """
+    hours = hourly_inputs(hourly, renewable, total_demand, series, time, partitions)
+    grid = (share_generation, share_renewable, share_storage, cost_curtailment)
+    rows = _scenario_hours(hours, grid)
+    now = _taken("demand", F.col("_renewable"))
+    before = _taken("demand_before", F.col("alpha_before") * F.col("_energy"))
     return rows.select(
         *series,
         "scenario_id",
@@ -283,15 +298,65 @@ def dispatch_hourly(
     )
 
 
-def dispatch_totals(dispatch: DataFrame, series: Sequence[str] = ("country",)) -> DataFrame:
-    """Sums per series and scenario, and the objective: unserved energy plus priced curtailment."""
-    objective = (
+def _objective() -> Column:
+    return (
         F.col("energyNotServed")
         + F.col("costCurtailNuclear") * F.col("curtailNuclear")
         + F.col("costCurtailRenewable") * F.col("curtailRenewable")
     )
+
+
+def dispatch_totals(dispatch: DataFrame, series: Sequence[str] = ("country",)) -> DataFrame:
+    """Sums per series and scenario, and the objective: unserved energy plus priced curtailment."""
     return dispatch.groupBy(*series, "scenario_id").agg(
         *(F.first(c).alias(c) for c in ATTRIBUTES),
         *(F.sum(c).alias(c) for c in AMOUNTS),
-        F.sum(objective).alias("objective"),
+        F.sum(_objective()).alias("objective"),
+    )
+
+
+def sweep_totals(
+    hourly: DataFrame,
+    share_generation: Sequence[Share],
+    share_renewable: Sequence[Share],
+    share_storage: Sequence[Share],
+    cost_curtailment: Sequence[Mapping[str, float]] = DEFAULT_COSTS,
+    total_demand: float | None = None,
+    renewable: str = "windOnshore",
+    series: Sequence[str] = ("country",),
+    time: str = "dateTime",
+    partitions: int | None = None,
+) -> DataFrame:
+    """The totals of a sweep straight from the hours, without the hourly results in between.
+
+    Hours are summed per scenario inside each task, so what is shuffled grows with the number of
+    scenarios and not with hours. Net release sums to 0 around the ring, and the objective follows
+    from the other sums, so neither needs work per hour.
+    """
+    hours = hourly_inputs(hourly, renewable, total_demand, series, time, partitions)
+    grid = (share_generation, share_renewable, share_storage, cost_curtailment)
+    rows = _scenario_hours(hours, grid)
+    now = _taken("demand", F.col("_renewable"))
+    sums = (
+        rows.select(
+            *series,
+            "scenario_id",
+            "demand",
+            now["nuclear"].alias("nuclear"),
+            now["renewable"].alias("renewable"),
+            now["storage"].alias("storageLevel"),
+            now["unserved"].alias("energyNotServed"),
+            (F.col("_nuclear") - now["nuclear"]).alias("curtailNuclear"),
+            (F.col("_renewable") - now["renewable"]).alias("curtailRenewable"),
+        )
+        .groupBy(*series, "scenario_id")
+        .agg(*(F.sum(c).alias(c) for c in AMOUNTS if c != "netStorage"))
+    )
+    attributes = scenario_attributes(F.col("scenario_id"), *grid)
+    return (
+        sums.withColumns(attributes)
+        .withColumn("netStorage", F.lit(0.0))
+        .select(
+            *series, "scenario_id", *ATTRIBUTES, *AMOUNTS, _objective().alias("objective")
+        )
     )

@@ -82,3 +82,34 @@ def spread_scenarios(
         F.col("_cost.nuclear").alias("costCurtailNuclear"),
         F.col("_cost.renewable").alias("costCurtailRenewable"),
     )
+
+
+def scenario_attributes(
+    scenario_id: Column,
+    share_generation: Sequence[Share],
+    share_renewable: Sequence[Share],
+    share_storage: Sequence[Share],
+    cost_curtailment: Sequence[Mapping[str, float]] = DEFAULT_COSTS,
+) -> dict[str, Column]:
+    """Shares and curtailment costs of a scenario, looked up by its number in the grid."""
+
+    def place(later: int, length: int) -> Column:
+        return F.floor(scenario_id / later).cast("int") % length
+
+    n_gen, n_sto, n_cost = len(share_generation), len(share_storage), len(cost_curtailment)
+    i_ren = place(n_gen * n_sto * n_cost, len(share_renewable))
+    i_gen, i_sto, i_cost = place(n_sto * n_cost, n_gen), place(n_cost, n_sto), place(1, n_cost)
+
+    def share(values: Sequence[Share], i: Column) -> Column:
+        return F.get(F.array(*(F.lit(str(v)).cast(SHARE_TYPE) for v in values)), i)
+
+    def cost(technology: str) -> Column:
+        return F.get(F.array(*(F.lit(float(c.get(technology, 0))) for c in cost_curtailment)), i_cost)
+
+    return {
+        "share_generation": share(share_generation, i_gen),
+        "share_renewable": share(share_renewable, i_ren),
+        "share_storage": share(share_storage, i_sto),
+        "costCurtailNuclear": cost("nuclear"),
+        "costCurtailRenewable": cost("renewable"),
+    }

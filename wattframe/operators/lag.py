@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -33,7 +35,10 @@ def circular_lag(
     series, columns, totals = list(series), list(columns), dict(totals or {})
     partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     day = [*series, "_day"]
-    split = df.withColumn("_day", day_of(time)).repartition(partitions, *day)
+    # Rows without a key or a time have no place in the ring. Saying so here, in the terms the join
+    # below would use, makes both uses of ``split`` the same, and Spark shuffles it once.
+    placed = reduce(and_, [F.col(c).isNotNull() for c in day])
+    split = df.withColumn("_day", day_of(time)).filter(placed).repartition(partitions, *day)
 
     in_day = W.partitionBy(*day).orderBy(time)
     rows = split.select(
@@ -46,14 +51,17 @@ def circular_lag(
     whole = W.partitionBy(*series)
     ring = by_day.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     days = split.groupBy(*day).agg(
-        F.max_by(F.struct(*columns), F.col(time)).alias("_last"),
+        *(F.max_by(c, time).alias(f"_last_{c}") for c in columns),
         *(of_day.alias(f"_day_{name}") for name, (of_day, _) in totals.items()),
     )
     days = days.select(
         *day,
-        F.when(F.row_number().over(by_day) == 1, F.last("_last").over(ring))
-        .otherwise(F.lag("_last").over(by_day))
-        .alias("_before"),
+        *(
+            F.when(F.row_number().over(by_day) == 1, F.last(f"_last_{c}").over(ring))
+            .otherwise(F.lag(f"_last_{c}").over(by_day))
+            .alias(f"_before_{c}")
+            for c in columns
+        ),
         *(
             combine(F.col(f"_day_{name}")).over(whole).alias(name)
             for name, (_, combine) in totals.items()
@@ -61,7 +69,11 @@ def circular_lag(
     )
 
     previous = [
-        F.when(F.col("_opens"), F.col(f"_before.{c}")).otherwise(F.col(f"_lag_{c}")).alias(prefix + c)
+        F.when(F.col("_opens"), F.col(f"_before_{c}"))
+        .otherwise(F.col(f"_lag_{c}"))
+        .alias(prefix + c)
         for c in columns
     ]
-    return rows.join(days, day, "left").select(*df.columns, *previous, *totals)
+    # A merge join keeps the rows in their partitions. A broadcast of either side would not: the
+    # rows are already sorted for it, and the day table grows with the calendar.
+    return rows.join(days.hint("merge"), day).select(*df.columns, *previous, *totals)
