@@ -27,12 +27,12 @@ AMOUNTS = (
 )
 
 
-def r(expression: str, alias: str) -> str:
-    return f'round(CAST({expression} AS DOUBLE), 6) + 0.0 AS "{alias}"'
+def r(expression: str, alias: str, digits: int = 6) -> str:
+    return f'round(CAST({expression} AS DOUBLE), {digits}) + 0.0 AS "{alias}"'
 
 
-def rs(columns) -> str:
-    return ", ".join(r(f'"{c}"', c) for c in columns)
+def rs(columns, digits: int = 6) -> str:
+    return ", ".join(r(f'"{c}"', c, digits) for c in columns)
 
 
 def text(expression: str, alias: str) -> str:
@@ -474,7 +474,7 @@ def summed(source: str = "solved", name: str = "summed") -> str:
 """
 
 
-TOTALS = f"country, scenario_id, {rs([*ATTRIBUTES, *AMOUNTS, 'objective'])}"
+TOTALS = f"country, scenario_id, {rs(ATTRIBUTES)}, {rs([*AMOUNTS, 'objective'], 4)}"
 
 ORACLE["scenario_inputs"] = f"""
 WITH {SHIPMENTS}, {scenario_rows(GRID)},
@@ -560,7 +560,9 @@ WHERE abs(share_generation - 1.1) < 1e-9 AND abs(share_storage - 0.001) < 1e-9
 """
 ORACLE["annual_results"] = f"""
 WITH {ANNUAL}
-SELECT country, {rs(ATTRIBUTES[:3])}, "curtailRenewableFirst", {rs([*_SUMMED, *PERCENTS])} FROM annual
+SELECT country, {rs(ATTRIBUTES[:3])}, "curtailRenewableFirst",
+  {rs([*_SUMMED, *PERCENTS], 4)}
+FROM annual
 """
 ORACLE["generation_shares"] = f"""
 WITH {ANNUAL}
@@ -568,17 +570,18 @@ SELECT DISTINCT {r(even('share_generation', 3), 'share_generation')} FROM annual
 """
 ORACLE["scenario_cost"] = f"""
 WITH {COSTS}
-SELECT country, {rs(['share_storage', 'share_renewable', *_SUMMED, *PERCENTS, 'cost'])} FROM costs
+SELECT country, {rs(['share_storage', 'share_renewable'])}, {rs([*_SUMMED, *PERCENTS, 'cost'], 4)}
+FROM costs
 """
 
 
 def _cell(share: str) -> str:
-    return r(f"avg(cost) FILTER (WHERE abs(share_renewable - {share}) < 1e-9)", f"{float(share) * 100:.10g}")
+    return r(f"avg(cost) FILTER (WHERE abs(share_renewable - {share}) < 1e-9)", f"{float(share) * 100:.10g}", 4)
 
 
 ORACLE["heatmap_pivot"] = f"""
 WITH {COSTS}
-SELECT country, {r('share_storage * 100', 'storagePercent')},
+SELECT country, {r('share_storage * 100', 'storagePercent', 4)},
   {', '.join(_cell(s) for s in GRID['share_renewable'])}
 FROM costs GROUP BY country, share_storage
 """

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wattframe.functions import capitalise_columns, half_even, parse_hour, total
 from wattframe.operators.normalize import with_wind
+from wattframe.sources.readers import within
 
 KEYS = ("country", "year")
 OVERVIEW = ("Wind", "Solar")
@@ -25,9 +26,10 @@ def generation_year(
     if country is not None:
         hourly = hourly.filter(F.col("country") == country)
     if year is not None:
-        bounds = parse_hour(f"{year:04d}/01/01 00:00"), parse_hour(f"{year:04d}/12/31 23:00")
-        hourly = hourly.filter(F.col("dateTime").between(*bounds))
+        first, last = parse_hour(f"{year:04d}/01/01 00:00"), parse_hour(f"{year:04d}/12/31 23:00")
+        hourly = within(hourly, first, last)
     else:
+        hourly = hourly.drop("year")
         last = F.make_timestamp_ntz(
             F.year("dateTime"), F.lit(12), F.lit(31), F.lit(23), F.lit(0), F.lit(0)
         )

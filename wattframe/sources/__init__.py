@@ -5,9 +5,10 @@ from wattframe.sources.readers import (
     read_comparison,
     read_hourly,
     read_results,
+    within,
 )
 from wattframe.sources.schemas import CAPACITY, COMPARISON, HOURLY, RESULTS
-from wattframe.sources.sinks import write_results
+from wattframe.sources.sinks import store_hourly, write_results
 
 __all__ = [
     "CAPACITY",
@@ -20,5 +21,7 @@ __all__ = [
     "read_comparison",
     "read_hourly",
     "read_results",
+    "store_hourly",
+    "within",
     "write_results",
 ]

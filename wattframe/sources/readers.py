@@ -7,12 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattframe.functions import missing, parse_hour, share_key
+from wattframe.functions import missing, parse_hour
 from wattframe.sources import schemas
 
-SHARES = ("share_generation", "share_renewable", "share_storage")
-
-
 def _path(spark: SparkSession, path: str | None, setting: str) -> str:
     path = path or spark.conf.get(setting, None)
     if not path:
@@ -79,23 +76,22 @@ def read_comparison(spark: SparkSession, path: str | None = None) -> DataFrame:
     return rows.withColumn("value", missing("value"))
 
 
+def within(hourly: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Hours from ``first`` to ``last``, both included.
+
+    Parquet row groups are not skipped by naive timestamps. A table stored in folders per year (see
+    ``store_hourly``) has a column ``year``; a filter on it skips whole folders.
+    """
+    if "year" in hourly.columns:
+        hourly = hourly.filter(F.col("year").between(F.year(first), F.year(last))).drop("year")
+    return hourly.filter(F.col("dateTime").between(first, last))
+
+
 def country_period(hourly: DataFrame, country: str, start: str, end: str) -> DataFrame:
     """Hours of one country from ``start`` to ``end``, both included."""
-    return hourly.filter(
-        (F.col("country") == country) & F.col("dateTime").between(parse_hour(start), parse_hour(end))
-    )
+    return within(hourly.filter(F.col("country") == country), parse_hour(start), parse_hour(end))
 
 
 def country_list(capacity: DataFrame) -> DataFrame:
     """Countries in alphabetical order; only that column is read."""
     return capacity.select("country").distinct().orderBy("country")
-
-
-def share_filter(**shares: float | str) -> Column:
-    """Equality on one or more shares, compared as decimals."""
-    condition = F.lit(True)
-    for name, value in shares.items():
-        if name not in SHARES:
-            raise ValueError(f"not a share: {name}")
-        condition = condition & (F.col(name) == share_key(F.lit(str(value))))
-    return condition

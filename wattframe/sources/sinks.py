@@ -1,10 +1,11 @@
-"""Result sink."""
+"""Sinks."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_results(
@@ -25,3 +26,13 @@ def write_results(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+
+
+def store_hourly(hourly: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write an hourly table in folders per country and year, so that scans skip the others.
+
+    Adaptive execution evens out the files: small folders get one, a large one is split.
+    """
+    keyed = hourly.withColumn("year", F.year("dateTime"))
+    evened = keyed.hint("rebalance", "country", "year")
+    evened.write.mode(mode).partitionBy("country", "year").parquet(path)
