@@ -51,7 +51,8 @@ def even(expression: str, digits: int) -> str:
 
 EVENTS = f"""
 hourly_events AS (
-  SELECT 'ALL' AS country, date_trunc('hour', ts) AS "dateTime",
+  SELECT CASE WHEN user_id % 3 = 0 THEN 'SOUTH' ELSE 'NORTH' END AS country,
+    date_trunc('hour', ts) AS "dateTime",
     {amount('value', "event_type IN ('click', 'error')")} AS demand,
     {amount('value', "event_type = 'view'")} AS "windOnshore",
     {amount('value', "event_type = 'purchase'")} AS "windOffshore",
@@ -136,7 +137,7 @@ ORACLE["scan_calendar_year"] = f"""
 WITH {SHIPMENTS}, {generation('hourly_shipments')}
 SELECT country, year, {TIME}, {rs(NAMED)} FROM generation WHERE country = 'EUROPE' AND year = 1999
 """
-ORACLE["country_names"] = f"""
+ORACLE["country_list"] = f"""
 WITH {SHIPMENTS}, {CAPACITY} SELECT DISTINCT country FROM capacity ORDER BY country
 """
 ORACLE["rename_capitalised"] = f"""
@@ -334,7 +335,7 @@ FIGURES = ("Capacity", "AnnualGeneration", "FullloadHours", "DemandShare")
 ORACLE["capacity_stats"] = f"""
 WITH {CAPACITY_STATS} SELECT country, year, technology, {rs(FIGURES)} FROM capacity_stats
 """
-ORACLE["capacity_file_missing"] = f"""
+ORACLE["empty_source"] = f"""
 WITH {SHIPMENTS}, {CAPACITY}, {generation('hourly_shipments')},
 none AS (SELECT * FROM capacity WHERE false), {capacity_stats('none')}
 SELECT country, year, technology, {rs(FIGURES)} FROM capacity_stats
@@ -476,7 +477,7 @@ def summed(source: str = "solved", name: str = "summed") -> str:
 
 TOTALS = f"country, scenario_id, {rs(ATTRIBUTES)}, {rs([*AMOUNTS, 'objective'], 4)}"
 
-ORACLE["scenario_inputs"] = f"""
+ORACLE["scenario_grid"] = f"""
 WITH {SHIPMENTS}, {scenario_rows(GRID)},
 sizes AS (SELECT country, sum(demand) AS d FROM hourly_shipments GROUP BY 1)
 SELECT country, scenario_id, {rs(ATTRIBUTES)},
@@ -485,7 +486,7 @@ SELECT country, scenario_id, {rs(ATTRIBUTES)},
   {r('d * share_storage', 'storageSize')}, {r('d', 'totalDemand')}
 FROM sizes, scenarios
 """
-ORACLE["scenario_profiles"] = f"""
+ORACLE["scenario_inputs"] = f"""
 WITH {EVENTS},
 sizes AS (
   SELECT country, sum(demand) AS d, sum("windOnshore") AS w, count(*) AS n FROM hourly_events GROUP BY 1),
@@ -521,7 +522,7 @@ both_runs AS (
   SELECT *, 'windOnshore' AS source FROM wind UNION ALL BY NAME SELECT *, 'solar' AS source FROM sun)
 SELECT {TOTALS}, source FROM both_runs
 """
-ORACLE["write_and_read_results"] = f"""
+ORACLE["write_results"] = f"""
 WITH {DISPATCH} SELECT scenario_id, {DATE}, {rs([*AMOUNTS, *ATTRIBUTES])} FROM solved
 """
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattframe import sources
 from wattframe.functions import SEASONS, capitalise_columns
 from wattframe.operators import balance as bal
 from wattframe.operators import bins, capacity, checks, compare, dispatch, lag, normalize, profiles
@@ -20,15 +21,7 @@ from wattframe.operators import results as res
 from wattframe.plans import comparison, studies
 from wattframe.plans.sweep import STUDY
 from wattframe.session import shared_dir
-from wattframe.sources import (
-    country_list,
-    country_period,
-    read_capacity,
-    read_comparison,
-    read_results,
-    tables,
-    write_results,
-)
+from wattframe.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,7 +81,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 @query
 def scan_country_period(spark, folder):
     hourly = tables.hourly_shipments(spark, folder)
-    return country_period(hourly, "EUROPE", "1996/03/01 00:00", "1998/08/31 23")
+    return sources.country_period(hourly, "EUROPE", "1996/03/01 00:00", "1998/08/31 23")
 
 
 @query
@@ -97,8 +90,8 @@ def scan_calendar_year(spark, folder):
 
 
 @query
-def country_names(spark, folder):
-    return country_list(tables.capacity(spark, folder))
+def country_list(spark, folder):
+    return sources.country_list(tables.capacity(spark, folder))
 
 
 @query
@@ -251,9 +244,9 @@ def implied_capacity(spark, folder):
 
 
 @query
-def capacity_file_missing(spark, folder):
+def empty_source(spark, folder):
     generation = capacity.generation_year(tables.hourly_shipments(spark, folder))
-    absent = read_capacity(spark, new_folder(spark, "absent"))
+    absent = sources.read_capacity(spark, new_folder(spark, "absent"))
     return capacity.capacity_stats(generation, absent)
 
 
@@ -269,12 +262,12 @@ def circular_lag(spark, folder):
 
 
 @query
-def scenario_inputs(spark, folder):
+def scenario_grid(spark, folder):
     return dispatch.scenario_inputs(tables.hourly_shipments(spark, folder), **GRID)
 
 
 @query
-def scenario_profiles(spark, folder):
+def scenario_inputs(spark, folder):
     return dispatch.profile_inputs(tables.hourly_events(spark, folder), total_demand=100000)
 
 
@@ -318,10 +311,10 @@ def union_scenarios(spark, folder):
 
 
 @query
-def write_and_read_results(spark, folder):
+def write_results(spark, folder):
     path = new_folder(spark, "results")
-    write_results(_dispatch(spark, folder), path, partition_by=["share_generation"])
-    return read_results(spark, path).drop("country")
+    sources.write_results(_dispatch(spark, folder), path, partition_by=["share_generation"])
+    return sources.read_results(spark, path).drop("country")
 
 
 # ---- scenario results
@@ -403,7 +396,7 @@ def model_scatter(spark, folder):
 def comparison_csv(spark, folder):
     path = new_folder(spark, "comparison")
     tables.model_results(spark, folder).write.option("header", True).csv(path)
-    return read_comparison(spark, path)
+    return sources.read_comparison(spark, path)
 
 
 @query

@@ -12,16 +12,18 @@ def write_results(
     results: DataFrame,
     path: str,
     partition_by: Sequence[str] = (),
+    sort: bool = True,
     mode: str = "overwrite",
 ) -> None:
     """Write scenario results as Parquet.
 
     Rows are sorted by share inside each task, without a shuffle, so that the row groups have
     narrow value ranges and share filters skip most of them. ``partition_by`` gives folders on top.
+    Without ``sort`` writing is faster, and looking up single scenarios reads more.
     """
-    keys = [c for c in ("share_generation", "share_storage", "share_renewable") if c in results.columns]
-    order = [*partition_by, *(k for k in keys if k not in partition_by)]
-    rows = results.sortWithinPartitions(*order) if order else results
+    shares = ("share_generation", "share_storage", "share_renewable")
+    keys = [c for c in shares if c in results.columns and c not in partition_by]
+    rows = results.sortWithinPartitions(*partition_by, *keys) if sort and keys else results
     writer = rows.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -1,7 +1,7 @@
 """Domain tables derived from a star schema of orders and an event stream.
 
-They stand in for power data: summed quantities become hourly demand and generation. Values are
-summed as decimals, so the result does not depend on the order of the rows.
+They stand in for power data: summed quantities become hourly demand and generation. Values have
+two decimals and are summed as whole hundredths, so the result does not depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -14,31 +14,40 @@ from pyspark.sql import functions as F
 from wattframe.functions import hour_start
 from wattframe.plans.categories import MODELS, SCENARIOS
 
-AMOUNT = "decimal(18,2)"
-
-
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _amount(value: str, condition: Column | None = None) -> Column:
-    amount = F.col(value).cast(AMOUNT)
-    if condition is not None:
-        amount = F.when(condition, amount)
-    return F.sum(amount).cast("double")
+def _hundredths(value: str) -> Column:
+    return F.rint(F.col(value) * 100).cast("long")
+
+
+def _amount(condition: Column | None = None) -> Column:
+    part = F.col("hundredths") if condition is None else F.when(condition, F.col("hundredths"))
+    return F.sum(part) / F.lit(100.0)
 
 
 def hourly_events(spark: SparkSession, folder: str) -> DataFrame:
-    """One month of hours for one place: each event type feeds one column."""
+    """One month of hours for two places, one of which has two thirds of the rows.
+
+    Each event type feeds one column.
+    """
     kind = F.col("event_type")
+    place = F.when(F.col("user_id") % 3 == 0, "SOUTH").otherwise("NORTH")
     return (
         _table(spark, folder, "events")
-        .groupBy(F.lit("ALL").alias("country"), hour_start("ts").alias("dateTime"))
+        .select(
+            place.alias("country"),
+            hour_start("ts").alias("dateTime"),
+            "event_type",
+            _hundredths("value").alias("hundredths"),
+        )
+        .groupBy("country", "dateTime")
         .agg(
-            _amount("value", kind.isin("click", "error")).alias("demand"),
-            _amount("value", kind == "view").alias("windOnshore"),
-            _amount("value", kind == "purchase").alias("windOffshore"),
-            _amount("value", kind == "signup").alias("solar"),
+            _amount(kind.isin("click", "error")).alias("demand"),
+            _amount(kind == "view").alias("windOnshore"),
+            _amount(kind == "purchase").alias("windOffshore"),
+            _amount(kind == "signup").alias("solar"),
         )
     )
 
@@ -52,7 +61,7 @@ def shipment_readings(spark: SparkSession, folder: str) -> DataFrame:
         "l_suppkey",
         "l_returnflag",
         "l_linestatus",
-        "l_quantity",
+        _hundredths("l_quantity").alias("hundredths"),
         (
             F.col("l_shipdate") + F.make_dt_interval(hours=(F.col("l_orderkey") % 24).cast("int"))
         ).alias("dateTime"),
@@ -64,7 +73,7 @@ def shipment_readings(spark: SparkSession, folder: str) -> DataFrame:
         regions, F.col("n_regionkey") == F.col("r_regionkey")
     )
     return lines.join(places, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        "country", "dateTime", "l_returnflag", "l_linestatus", "l_quantity"
+        "country", "dateTime", "l_returnflag", "l_linestatus", "hundredths"
     )
 
 
@@ -75,10 +84,10 @@ def hourly_shipments(spark: SparkSession, folder: str) -> DataFrame:
         shipment_readings(spark, folder)
         .groupBy("country", "dateTime")
         .agg(
-            _amount("l_quantity").alias("demand"),
-            _amount("l_quantity", flag == "A").alias("windOnshore"),
-            _amount("l_quantity", (flag == "R") & (F.col("l_linestatus") == "O")).alias("windOffshore"),
-            _amount("l_quantity", flag == "N").alias("solar"),
+            _amount().alias("demand"),
+            _amount(flag == "A").alias("windOnshore"),
+            _amount((flag == "R") & (F.col("l_linestatus") == "O")).alias("windOffshore"),
+            _amount(flag == "N").alias("solar"),
         )
     )
 
@@ -100,7 +109,7 @@ def model_results(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("M"), (F.col("l_suppkey") % 4).cast("string")).alias("model"),
         F.concat("l_returnflag", "l_linestatus").alias("technology"),
         F.year("l_shipdate").cast("string").alias("year"),
-        F.col("l_quantity").cast(AMOUNT).alias("amount"),
+        _hundredths("l_quantity").alias("hundredths"),
     )
     orders = _table(spark, folder, "orders").select(
         "o_orderkey",
@@ -128,14 +137,14 @@ def study_results(spark: SparkSession, folder: str, codes: Sequence[tuple[str, s
         dealt(SCENARIOS, "l_orderkey").alias("scenario"),
         pair.alias("pair"),
         F.lit("2050").alias("year"),
-        F.col("l_quantity").cast(AMOUNT).alias("amount"),
+        _hundredths("l_quantity").alias("hundredths"),
     )
     return _with_totals(lines.select("*", "pair.variable", "pair.technology"))
 
 
 def _with_totals(lines: DataFrame) -> DataFrame:
     keys = ["model", "scenario", "variable", "technology", "year"]
-    single = lines.groupBy(keys).agg(F.sum("amount").alias("amount"))
+    single = lines.groupBy(keys).agg(F.sum("hundredths").alias("hundredths"))
     # The second step works on the few rows of the first and not on the lines again.
     both = single.withColumn("technology", F.explode(F.array(F.col("technology"), F.lit("total"))))
-    return both.groupBy(keys).agg(F.sum("amount").cast("double").alias("value"))
+    return both.groupBy(keys).agg(_amount().alias("value"))
