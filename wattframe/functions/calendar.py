@@ -29,7 +29,7 @@ def day_of(time: Column | str) -> Column:
 def hour_start(time: Column | str) -> Column:
     """Start of the hour. ``date_trunc`` is avoided: it takes a detour over the session zone."""
     time = F.col(time) if isinstance(time, str) else time
-    return F.to_date(time).cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(time))
+    return F.timestamp_add("HOUR", F.hour(time), F.to_date(time).cast("timestamp_ntz"))
 
 
 def parse_hour(text: str) -> Column:

@@ -56,24 +56,23 @@ def shipment_readings(spark: SparkSession, folder: str) -> DataFrame:
     """Single readings before they are summed per hour; several share one (country, hour).
 
     No broadcast is forced: suppliers grow with the data, so the optimizer decides by their size.
+    They meet the lines first, as a plain table whose size it knows.
     """
     lines = _table(spark, folder, "lineitem").select(
         "l_suppkey",
         "l_returnflag",
         "l_linestatus",
         _hundredths("l_quantity").alias("hundredths"),
-        (
-            F.col("l_shipdate") + F.make_dt_interval(hours=(F.col("l_orderkey") % 24).cast("int"))
-        ).alias("dateTime"),
+        F.timestamp_add("HOUR", (F.col("l_orderkey") % 24).cast("int"), "l_shipdate").alias("dateTime"),
     )
     suppliers = _table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
     nations = _table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
     regions = _table(spark, folder, "region").select("r_regionkey", F.col("r_name").alias("country"))
-    places = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).join(
-        regions, F.col("n_regionkey") == F.col("r_regionkey")
-    )
-    return lines.join(places, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        "country", "dateTime", "l_returnflag", "l_linestatus", "hundredths"
+    return (
+        lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+        .select("country", "dateTime", "l_returnflag", "l_linestatus", "hundredths")
     )
 
 
