@@ -75,15 +75,16 @@ def cheapest(dem, nuclear, renewable, storage, cn, cr):
     return best
 
 
-def test_merit_order_is_optimal(spark):
+@pytest.mark.parametrize("lowest", [-2.0, -1.0, 0.0])
+def test_merit_order_is_optimal(spark, lowest):
     rng = random.Random(11)
-    costs = [-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]
+    costs = [c for c in (-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0) if c >= lowest]
     cases = [
         (i, rng.uniform(0, 10), *(rng.choice([0.0, rng.uniform(0, 6)]) for _ in range(3)), rng.choice(costs), rng.choice(costs))
         for i in range(3000)
     ]
     df = spark.createDataFrame(cases, "id INT, dem DOUBLE, n DOUBLE, r DOUBLE, s DOUBLE, cn DOUBLE, cr DOUBLE")
-    taken = merit_order(*(F.col(c) for c in ("dem", "n", "r", "s", "cn", "cr")))
+    taken = merit_order(*(F.col(c) for c in ("dem", "n", "r", "s", "cn", "cr")), lowest)
     for row in df.select("*", *(c.alias("_" + k) for k, c in taken.items())).collect():
         used = row["_nuclear"], row["_renewable"], row["_storage"], row["_unserved"]
         assert sum(used) == pytest.approx(row["dem"], abs=1e-9)

@@ -194,3 +194,14 @@ def test_join_per_key_checks_the_size_before_it_broadcasts(spark, hours):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert records(few, "country", "dateTime") == records(many, "country", "dateTime")
+
+
+def test_known_number_of_keys_is_not_counted(spark, hours):
+    per_key = hours.groupBy("country").agg(F.count("*").alias("n"))
+    tracker = spark.sparkContext.statusTracker()
+    jobs = {}
+    for at_most in (2, None):
+        spark.sparkContext.setJobGroup(f"keys {at_most}", "")
+        join_per_key(hours, per_key, ["country"], at_most=at_most)
+        jobs[at_most] = len(tracker.getJobIdsForGroup(f"keys {at_most}"))
+    assert jobs[2] == 0 and jobs[None] > 0

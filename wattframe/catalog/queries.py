@@ -110,8 +110,11 @@ def wind_total(spark, folder):
 
 
 def _normalised_events(spark, folder):
+    # The table has two places by its definition.
     return normalize.normalize_generation(
-        capacity.generation_year(tables.hourly_events(spark, folder)), studies.DEFAULT_SHARES
+        capacity.generation_year(tables.hourly_events(spark, folder)),
+        studies.DEFAULT_SHARES,
+        at_most=2,
     )
 
 

@@ -188,11 +188,13 @@ def merit_order(
     storage: Column,
     cost_nuclear: Column,
     cost_renewable: Column,
+    lowest_cost: float = float("-inf"),
 ) -> dict[str, Column]:
     """Amount taken from each resource in one hour, as plain column expressions.
 
     The order depends on the costs alone, so instead of sorting resources per row each one subtracts
-    those that go before it. Nothing is sorted, collected or shuffled.
+    those that go before it. Nothing is sorted, collected or shuffled. ``lowest_cost`` is a bound
+    below all costs; comparisons it settles are constants, which Catalyst folds away.
     """
     none = F.lit(0.0)
 
@@ -202,18 +204,18 @@ def merit_order(
     def counted(condition: Column, amount: Column) -> Column:
         return F.when(condition, amount).otherwise(none)
 
+    def at_least(cost: Column, bound: float) -> Column:
+        return F.lit(True) if lowest_cost >= bound else cost >= bound
+
     nuclear_first = cost_nuclear >= cost_renewable
+    nuclear_free, renewable_free = at_least(cost_nuclear, 0), at_least(cost_renewable, 0)
     # Dearer than unserved energy: never used.
-    nuclear_used, renewable_used = cost_nuclear >= -1, cost_renewable >= -1
-    used_nuclear = taken(
-        nuclear, counted(~nuclear_first, renewable) + counted(cost_nuclear < 0, storage)
-    )
+    nuclear_used, renewable_used = at_least(cost_nuclear, -1), at_least(cost_renewable, -1)
+    used_nuclear = taken(nuclear, counted(~nuclear_first, renewable) + counted(~nuclear_free, storage))
     used_renewable = taken(
-        renewable, counted(nuclear_first, nuclear) + counted(cost_renewable < 0, storage)
-    )
-    used_storage = taken(
-        storage, counted(cost_nuclear >= 0, nuclear) + counted(cost_renewable >= 0, renewable)
+        renewable, counted(nuclear_first, nuclear) + counted(~renewable_free, storage)
     )
+    used_storage = taken(storage, counted(nuclear_free, nuclear) + counted(renewable_free, renewable))
     served = counted(nuclear_used, nuclear) + counted(renewable_used, renewable) + storage
     return {
         "nuclear": counted(nuclear_used, used_nuclear),
@@ -248,7 +250,10 @@ def _scenario_hours(hours: DataFrame, grid: Sequence[Sequence]) -> DataFrame:
     return rows.filter(feasible).withColumn("_renewable", F.col("alpha") * F.col("_energy"))
 
 
-def _taken(demand: str, renewable: Column) -> dict[str, Column]:
+def _taken(
+    demand: str, renewable: Column, cost_curtailment: Sequence[Mapping[str, float]]
+) -> dict[str, Column]:
+    costs = [float(c.get(name, 0)) for c in cost_curtailment for name in ("nuclear", "renewable")]
     return merit_order(
         F.col(demand),
         F.col("_nuclear"),
@@ -256,6 +261,7 @@ def _taken(demand: str, renewable: Column) -> dict[str, Column]:
         F.col("_size"),
         F.col("costCurtailNuclear"),
         F.col("costCurtailRenewable"),
+        min(costs),
     )
 
 
@@ -280,8 +286,9 @@ def dispatch_hourly(
     hours = hourly_inputs(hourly, renewable, total_demand, series, time, partitions)
     grid = (share_generation, share_renewable, share_storage, cost_curtailment)
     rows = _scenario_hours(hours, grid)
-    now = _taken("demand", F.col("_renewable"))
-    before = _taken("demand_before", F.col("alpha_before") * F.col("_energy"))
+    now = _taken("demand", F.col("_renewable"), cost_curtailment)
+    renewable_before = F.col("alpha_before") * F.col("_energy")
+    before = _taken("demand_before", renewable_before, cost_curtailment)
     return rows.select(
         *series,
         "scenario_id",
@@ -336,7 +343,7 @@ def sweep_totals(
     hours = hourly_inputs(hourly, renewable, total_demand, series, time, partitions)
     grid = (share_generation, share_renewable, share_storage, cost_curtailment)
     rows = _scenario_hours(hours, grid)
-    now = _taken("demand", F.col("_renewable"))
+    now = _taken("demand", F.col("_renewable"), cost_curtailment)
     sums = (
         rows.select(
             *series,

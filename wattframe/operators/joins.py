@@ -12,14 +12,23 @@ BROADCAST_ROWS = 100_000
 
 
 def join_per_key(
-    rows: DataFrame, per_key: DataFrame, keys: Sequence[str], limit: int = BROADCAST_ROWS
+    rows: DataFrame,
+    per_key: DataFrame,
+    keys: Sequence[str],
+    limit: int = BROADCAST_ROWS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Left join of ``rows`` with ``per_key``, which has one row per key.
 
     The keys are counted first, up to ``limit``; this pass reads the key columns only. Few keys are
     broadcast, so ``rows`` stay where they are. More keys are joined by a shuffle, in which adaptive
     execution splits the partition of a hot key.
+
+    ``at_most`` is for a caller who knows a bound on the number of keys, such as 1 after a filter on
+    each of them; then nothing is counted.
     """
     keys = list(keys)
-    few = per_key.select(keys).limit(limit + 1).count() <= limit
+    if at_most is None:
+        at_most = per_key.select(keys).limit(limit + 1).count()
+    few = at_most <= limit
     return rows.join(F.broadcast(per_key) if few else per_key, keys, "left")

@@ -24,12 +24,13 @@ def normalize_generation(
     time: str = "dateTime",
     demand: str = "Demand",
     constant: str = "Baseload",
+    at_most: int | None = None,
 ) -> DataFrame:
     """Scale each technology so that its sum is the given share of total demand.
 
     The name ``constant`` stands for a technology with the same value in every hour. A
     ``total_demand`` of 0 keeps the observed demand. A column that sums to 0 has no profile and
-    becomes missing.
+    becomes missing. ``at_most`` is a known bound on the number of series, see ``join_per_key``.
     """
     factors = {**shares, demand: 1}
     observed = [c for c in factors if c != constant]
@@ -49,4 +50,4 @@ def normalize_generation(
             profile = F.try_divide(F.col(name), F.col(f"_sum_{name}"))
         scaled.append((profile * level * F.lit(float(factor))).alias(name))
     wanted = df.select(*series, time, *observed)
-    return join_per_key(wanted, totals, series).select(*series, time, *scaled)
+    return join_per_key(wanted, totals, series, at_most=at_most).select(*series, time, *scaled)

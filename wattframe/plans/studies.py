@@ -49,13 +49,14 @@ def profile_study(
     """
     keys = ("country", "year")
     generation = generation_year(hourly, country, year)
-    if year is not None or country is not None:
-        named = [("country", country), ("year", year)]
-        for name, value in named:
-            if value is not None:
-                capacity = capacity.filter(capacity[name] == value)
+    for name, value in (("country", country), ("year", year)):
+        if value is not None:
+            capacity = capacity.filter(capacity[name] == value)
+    single = country is not None and year is not None
     stats = capacity_stats(generation, capacity, keys)
-    normalised = normalize_generation(generation, shares, total_demand, keys)
+    normalised = normalize_generation(
+        generation, shares, total_demand, keys, at_most=1 if single else None
+    )
     balance = storage_hourly(normalised, series=keys)
     if cache:
         balance = balance.persist()
