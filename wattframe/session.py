@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
+_own: tempfile.TemporaryDirectory | None = None
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -35,14 +38,15 @@ def get_session(app: str = "wattframe", master: str | None = None, **settings: s
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written tables, from ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it then gets a folder of its own, since
-    driver and executors are one process there.
+    Only a local session may go without the setting, since driver and executors are one process there;
+    it then gets one folder of its own, removed when the process ends.
     """
+    global _own
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors can reach")
-    path = tempfile.mkdtemp(prefix="wattframe-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if _own is None:
+        _own = tempfile.TemporaryDirectory(prefix="wattframe-", ignore_cleanup_errors=True)
+    return _own.name
