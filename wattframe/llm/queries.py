@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattframe.llm import langid
+from wattframe.llm import bpe, langid
 from wattframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,8 @@ def query(function):
 @query
 def op9_language(spark, folder):
     return langid.identify_languages(table(spark, folder, "documents"))
+
+
+@query
+def op3_bpe(spark, folder):
+    return bpe.round_trip(table(spark, folder, "documents"))
