@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattframe.llm import bpe, langid
+from wattframe.llm import bpe, exact, langid, warc
 from wattframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,17 @@ def op9_language(spark, folder):
 @query
 def op3_bpe(spark, folder):
     return bpe.round_trip(table(spark, folder, "documents"))
+
+
+@query
+def op4_warc(spark, folder):
+    return warc.archive(table(spark, folder, "pages"))
+
+
+@query
+def op6_exact(spark, folder):
+    return exact.exact_groups(table(spark, folder, "documents"))
+
+
+ORACLE["op4_warc"] = warc.SQL
+ORACLE["op6_exact"] = exact.SQL
