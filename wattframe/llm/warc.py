@@ -142,7 +142,7 @@ class Bundle:
         files, path = store(folder)
         files.create_dir(path, recursive=True)
         self.name = f"{uuid.uuid4().hex}.warc.zst"
-        self.out = files.open_output_stream(f"{path}/{self.name}")
+        self.out = files.open_output_stream(f"{path}/{self.name}", compression=None)
         self.packer = zstandard.ZstdCompressor(level=level)
         self.frames: list[tuple[int, int]] = []
         self.waiting: list[bytes] = []
