@@ -7,9 +7,9 @@ variants meet, and the earliest line of each variant is the witness against the
 distance to the witness is then verified. Lines of one variant are never paired with each other, so
 many near lines of one another cost no more than their own variants.
 
-A character-wise neighbourhood of all lines would be far larger than the text. Two coarse rounds go
-before: lines emit themselves without their first or second half, and then without one eighth; lines
-that share none of these with another line have no near line, and go no further. Hashes that stand for
+A character-wise neighbourhood of all lines would be far larger than the text. Three coarse rounds go
+before: lines emit themselves without their first or second half, then without one eighth, then without
+one part in 32; lines that share none of these with another line have no near line, and go no further. Hashes that stand for
 a line without its i-th character come from running XORs over its characters, so a line of n characters
 costs n steps, however long.
 
@@ -23,11 +23,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattframe.llm.common import BROADCAST_ROWS, free_name, join_groups, written
+from wattframe.llm.common import free_name, join_groups, written
 
 #: Shorter lines are left alone: one edit would turn most short words into others.
 MIN_CHARS = 10
-COARSE, FINE = 2, 8
+COARSE, FINE = 2, (8, 32)
 
 ORDER = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "line_no")
 
@@ -58,13 +58,12 @@ def sharing(lines: DataFrame, keys: Column) -> DataFrame:
     return written(met.select("h1", "h2").distinct(), "lines")
 
 
-def bounded_join(df: DataFrame, other: DataFrame, on: list[str], how: str, weight: int) -> DataFrame:
-    """Null-safe join, in which ``other`` is broadcast if its counted weight allows it."""
-    names = {c: f"__{c}" for c in on}
-    other = other.withColumnsRenamed(names)
-    match = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(names[c])) for c in on))
-    side = F.broadcast(other) if weight <= BROADCAST_ROWS else other
-    return df.join(side, match, how).drop(*names.values())
+def by_document(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """Null-safe join on doc_id and text_hash. Neither side has a proven bound, so both are shuffled."""
+    names = {c: f"__{c}" for c in ("doc_id", "text_hash")}
+    other = other.withColumnsRenamed(names).hint("merge")
+    match = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()))
+    return df.join(other, match, how).drop(*names.values())
 
 
 def with_hash(docs: DataFrame) -> DataFrame:
@@ -196,9 +195,7 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     place = place.groupBy("doc_id", "text_hash").agg(
         F.collect_list(F.struct("line_no", "first")).alias("wanted")
     )
-    place = written(place, "places")
-    weight = place.agg(F.sum(F.size("wanted"))).first()[0] or 0
-    texts = bounded_join(docs, place, ["doc_id", "text_hash"], "inner", weight)
+    texts = by_document(docs, place, "inner")
     texts = texts.select(F.split("text", "\n", -1).alias("cut"), F.explode("wanted").alias("w"))
     line = F.col("cut")[F.col("w.line_no")]
     texts = texts.select(line.alias("line"), F.col("w.first").alias("first")).distinct()
@@ -206,8 +203,10 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         {"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line"), "size": F.char_length("line")}
     )
     texts = written(texts, "candidate-lines")
-    fine = sharing(texts, gap_keys(F.col("line"), F.col("size"), FINE))
-    candidates = written(texts.join(fine, ["h1", "h2"]), "near-candidates")
+    for parts in FINE:
+        some = sharing(texts, gap_keys(F.col("line"), F.col("size"), parts))
+        texts = written(texts.join(some, ["h1", "h2"]), "candidate-lines")
+    candidates = texts
     near = near_lines(candidates)
     again = distinct.filter("n > 1").select("h1", "h2", "first", "n")
     copies = join_groups(
@@ -238,14 +237,12 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, into: str | None = N
     into = into or free_name(docs, "lines")
     gone = removed_lines(docs, min_chars)
     gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
-    gone = written(gone, "gone")
-    weight = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
     packed = docs.select(
         "doc_id",
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
         F.struct(*docs.columns).alias("row"),
     )
-    joined = bounded_join(packed, gone, ["doc_id", "text_hash"], "left", weight)
+    joined = by_document(packed, gone, "left")
     cut = F.split("row.text", "\n", -1)
     kept = F.filter(cut, lambda line, i: ~F.array_contains("gone", i))
     n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattframe.llm import bpe, exact, langid, lines, warc
+from wattframe.llm import bpe, exact, langid, lines, ngrams, warc
 from wattframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,8 @@ ORACLE["op6_exact"] = exact.SQL
 @query
 def op7_lines(spark, folder):
     return lines.dedup_lines(table(spark, folder, "documents"))
+
+
+@query
+def op8_ngram_jaccard(spark, folder):
+    return ngrams.jaccard_components(table(spark, folder, "documents"))
