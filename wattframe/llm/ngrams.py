@@ -17,8 +17,9 @@ cannot be paid for at all, its scheme gives votes to empty segments, too.
 Documents with the same set are one class; only classes are compared. Keys that one class alone has
 drop out. The others give candidates in two steps, so that large groups of near copies need no pairs:
 each class is first compared with the hub of each key, the class that shares most keys; then classes of
-one key that are not yet connected are compared with each other, all of them. Each candidate pair is
-verified on both whole sets.
+one key that are not yet connected are compared with each other, all of them. A sketch (how many tokens
+fall into each of 32 cells) rules out pairs that must differ too much, inside the join that finds them;
+all others are verified on both whole sets.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ NEAR, OF = 85, 100
 WORDS = 4
 #: A document that no number of leading segments pays for.
 UNPAID = 1 << 20
+#: Cells of a sketch.
+CELLS = 32
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -189,8 +192,11 @@ def keys(docs: DataFrame, leading: dict[int, int]) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(sid, tokens) with the sorted tokens as bytes."""
-    kind = pa.schema([("sid", pa.int64()), ("tokens", pa.binary())])
+    """(sid, n, sketch, tokens): the sorted tokens as bytes, their number, and how many fall into each of
+    ``CELLS`` cells."""
+    kind = pa.schema(
+        [("sid", pa.int64()), ("n", pa.int32()), ("sketch", pa.list_(pa.int32())), ("tokens", pa.binary())]
+    )
 
     def pack(batches):
         for batch in batches:
@@ -198,22 +204,44 @@ def sets_of(docs: DataFrame) -> DataFrame:
             for text in batch.column("text"):
                 tokens = shingles(text.as_py())
                 if len(tokens):
-                    rows.append({"sid": set_id(tokens), "tokens": tokens.tobytes()})
+                    cells = np.bincount((mix(tokens) % U(CELLS)).astype(np.int64), minlength=CELLS)
+                    row = {"sid": set_id(tokens), "n": len(tokens), "sketch": cells.tolist()}
+                    rows.append(row | {"tokens": tokens.tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    return docs.select("text").mapInArrow(pack, "sid long, tokens binary")
+    return docs.select("text").mapInArrow(pack, "sid long, n int, sketch array<int>, tokens binary")
+
+
+def may_be_near(one: str, two: str):
+    """Whether two sketches leave room for the threshold: sets differ by at least as much as their cells."""
+    apart = F.aggregate(
+        F.zip_with(f"{one}.sketch", f"{two}.sketch", lambda x, y: F.abs(x - y)),
+        F.lit(0),
+        lambda total, x: total + x,
+    )
+    both = F.col(f"{one}.n") + F.col(f"{two}.n")
+    return (OF + NEAR) * F.abs(F.col(f"{one}.n") - F.col(f"{two}.n")) <= (OF - NEAR) * both, (
+        (OF + NEAR) * apart <= (OF - NEAR) * both
+    )
 
 
 def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of sets whose similarity reaches the threshold."""
+    """Those pairs (a, b) of sets whose similarity reaches the threshold; sketches rule out most others."""
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    one = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("one"))
-    two = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("two"))
+    short = sets.select("sid", "n", "sketch")
+    one, two = short.alias("one"), short.alias("two")
+    near_sizes, near_cells = may_be_near("one", "two")
+    pairs = (
+        pairs.join(one, F.col("a") == F.col("one.sid"))
+        .join(two, (F.col("b") == F.col("two.sid")) & near_sizes & near_cells)
+        .select("a", "b")
+    )
+    pairs = written(pairs, "pairs")
 
     def verify(batches):
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("one"), batch.column("two")):
+            for x, y in zip(batch.column("x"), batch.column("y")):
                 r = np.frombuffer(x.as_buffer(), U)
                 s = np.frombuffer(y.as_buffer(), U)
                 small, large = (r, s) if len(r) <= len(s) else (s, r)
@@ -225,7 +253,9 @@ def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             rows = batch.select(["a", "b"]).filter(mask)
             yield pa.RecordBatch.from_arrays(rows.columns, schema=kind)
 
-    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two")
+    x = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
+    y = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
+    rows = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
     return rows.mapInArrow(verify, "a long, b long")
 
 
@@ -248,7 +278,8 @@ def near_classes(docs: DataFrame, members: DataFrame) -> DataFrame:
     to_hub = join_groups(live, hubs, ["key"], "n", total).filter("sid != hub")
     to_hub = to_hub.select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
     reps = members.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(weight, "sid", "left_semi")
-    texts = docs.select("doc_id", "text").join(reps.select("doc_id").distinct(), "doc_id", "left_semi")
+    reps = reps.select("doc_id").distinct().hint("merge")
+    texts = docs.select("doc_id", "text").join(reps, "doc_id", "left_semi")
     sets = written(sets_of(texts).dropDuplicates(["sid"]), "sets")
     links = written(near_pairs(to_hub, sets), "near")
     labels = components(links)
@@ -260,14 +291,18 @@ def near_classes(docs: DataFrame, members: DataFrame) -> DataFrame:
         F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")
     )
     open_keys = written(open_keys.filter("least != most").select("key", "n"), "open-keys")
-    rest = written(join_groups(marked, open_keys, ["key"], "n", total).drop("n"), "open")
+    rest = join_groups(marked, open_keys, ["key"], "n", total).drop("n")
+    rest = written(rest.join(sets.select("sid", "n", "sketch"), "sid"), "open")
     left, right = rest.alias("l"), rest.alias("r")
+    near_sizes, near_cells = may_be_near("l", "r")
     pairs = left.join(
         right,
         (F.col("l.key") == F.col("r.key"))
         & (F.col("l.sid") < F.col("r.sid"))
         & (F.col("l.label") != F.col("r.label"))
-        & (F.col("l.whole") | F.col("r.whole")),
+        & (F.col("l.whole") | F.col("r.whole"))
+        & near_sizes
+        & near_cells,
     )
     pairs = pairs.select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
     tried = to_hub.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattframe.llm import bpe, exact, langid, lines, ngrams, warc
+from wattframe.llm import bpe, exact, langid, lines, ngrams, passages, warc
 from wattframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ def op7_lines(spark, folder):
 @query
 def op8_ngram_jaccard(spark, folder):
     return ngrams.jaccard_components(table(spark, folder, "documents"))
+
+
+@query
+def op5_passages(spark, folder):
+    return passages.substring_dedup(table(spark, folder, "documents"))
