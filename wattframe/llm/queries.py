@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattframe.llm import bpe, exact, langid, lines, ngrams, passages, warc
+from wattframe.llm import bpe, decontam, exact, langid, lines, ngrams, passages, toxicity, warc
 from wattframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,13 @@ def op8_ngram_jaccard(spark, folder):
 @query
 def op5_passages(spark, folder):
     return passages.substring_dedup(table(spark, folder, "documents"))
+
+
+@query
+def op1_decontaminate(spark, folder):
+    return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op10_toxicity(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
