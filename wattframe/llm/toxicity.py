@@ -2,7 +2,7 @@
 
 A text's features are its distinct lower-cased words. One weight per word is shared by all thresholds:
 ``P(grade >= k) = sigmoid(score - threshold_k)``, with thresholds in increasing order. The likelihood is
-maximised in numpy by proximal gradient steps with an L1 penalty, so most words get no weight, and long
+maximised in numpy by accelerated proximal gradient steps with an L1 penalty, so most words get no weight, and long
 texts gather no noise. The expected severity is the sum of the probabilities over k.
 """
 
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from wattframe.llm.common import ship
 
+#: Words that a larger share of the sampled texts have say nothing.
+COMMON = 0.2
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -45,7 +47,7 @@ class SeverityModel:
 def train(
     rows: list[tuple[int, set[str]]],
     population: dict[int, int],
-    penalty: float = 6e-3,
+    penalty: float = 4e-3,
     steps: int = 400,
     least: int = 3,
 ) -> SeverityModel:
@@ -57,7 +59,7 @@ def train(
     for _, some in rows:
         for w in some:
             there[w] = there.get(w, 0) + 1
-    kept = sorted(w for w, n in there.items() if n >= least)
+    kept = sorted(w for w, n in there.items() if least <= n <= max(least, COMMON * len(rows)))
     number = {w: i for i, w in enumerate(kept)}
     at = [sorted(number[w] for w in some if w in number) for _, some in rows]
     row = np.repeat(np.arange(len(rows)), [len(a) for a in at])
@@ -71,10 +73,42 @@ def train(
     for side in (toxic, ~toxic):
         if side.any():
             weight[side] *= 0.5 / weight[side].sum()
-    k, n, m = len(grades) - 1, len(rows), len(kept)
-    w, gap = np.zeros(m), np.zeros(k)
-    ahead, last = w.copy(), w.copy()
-    momentum, rate = 1.0, 1.0
+    k = len(grades) - 1
+    w, _ = _climb(row, col, y, weight, len(kept), k, penalty, steps)
+    # The penalty picks the words; those are fitted again almost without it, which undoes its shrinking.
+    chosen = np.flatnonzero(w > 0)
+    place = np.full(len(kept), -1)
+    place[chosen] = np.arange(len(chosen))
+    on = place[col] >= 0
+    w, theta = _climb(row[on], place[col[on]], y, weight, len(chosen), k, penalty / 100, 3 * steps)
+    kept = [kept[i] for i in chosen]
+    # Shift the thresholds until the expected share of toxic texts is that among the labels.
+    score = np.bincount(row[on], w[place[col[on]]], len(y))
+    count = share[y]
+    wanted = count[toxic].sum() / count.sum()
+    below, above = -30.0, 30.0
+    for _ in range(60):
+        shift = (below + above) / 2
+        if (count * sigmoid(score - theta[0] - shift)).sum() / count.sum() > wanted:
+            below = shift
+        else:
+            above = shift
+    theta = theta + shift
+    return SeverityModel(grades, {x: float(v) for x, v in zip(kept, w) if v}, theta)
+
+
+def _climb(row, col, y, weight, m: int, k: int, penalty: float, steps: int):
+    """Word weights and thresholds of the largest penalised likelihood."""
+    n = len(y)
+    # The largest curvature along the words, by the power method.
+    v, curve = np.ones(m), 1.0
+    for _ in range(30):
+        v = np.bincount(col, (weight * np.bincount(row, v[col], n))[row], m)
+        curve = float(np.linalg.norm(v)) or 1.0
+        v /= curve
+    rate = 3 / curve
+    w, gap, momentum = np.zeros(m), np.zeros(k), 1.0
+    ahead = w
     for _ in range(steps):
         theta = gap[0] + np.concatenate([[0], np.cumsum(np.exp(gap[1:]))])
         score = np.bincount(row, ahead[col], n)
@@ -83,34 +117,28 @@ def train(
         low, high = ladder[np.arange(n), y], ladder[np.arange(n), y + 1]
         p = np.maximum(low - high, 1e-9)
         slope = weight * (1 - low - high)
-        grad = np.bincount(col, slope[row], m)
-        last = w
-        w = ahead + rate * grad
+        before = w
+        w = ahead + rate * np.bincount(col, slope[row], m)
         w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
-        before, momentum = momentum, (1 + (1 + 4 * momentum**2) ** 0.5) / 2
-        ahead = w + (before - 1) / momentum * (w - last)
+        last, momentum = momentum, (1 + (1 + 4 * momentum**2) ** 0.5) / 2
+        ahead = w + (last - 1) / momentum * (w - before)
         steep = upper * (1 - upper)
-        by_theta = np.zeros(k)
-        for j in range(k):
-            by_theta[j] = (weight * ((y == j) * steep[:, j] - (y == j + 1) * steep[:, j]) / p).sum()
+        by_theta = np.array(
+            [(weight * ((y == j) * steep[:, j] - (y == j + 1) * steep[:, j]) / p).sum() for j in range(k)]
+        )
         back = np.cumsum(by_theta[::-1])[::-1]
-        gap[0] += back[0]
-        gap[1:] += np.clip(back[1:] * np.exp(gap[1:]), -0.5, 0.5)
-    theta = gap[0] + np.concatenate([[0], np.cumsum(np.exp(gap[1:]))])
-    # Back from equal halves to the shares of harmless and other texts among the labels.
-    harmless = population[grades[0]]
-    theta += np.log(harmless / max(1, sum(population.values()) - harmless))
-    return SeverityModel(grades, {x: float(v) for x, v in zip(kept, w) if v}, theta)
+        back[1:] *= np.exp(gap[1:])
+        gap = gap + np.clip(back, -0.2, 0.2)
+    return w, gap[0] + np.concatenate([[0], np.cumsum(np.exp(gap[1:]))])
 
 
 def severity(labels: DataFrame) -> DataFrame:
-    """(doc_id, grade): 0 harmless, 1 toxic, 2 toxic and of low quality; the gravest of an id's labels."""
-    grade = F.when(F.col("toxic") == 0, 0).when(F.coalesce(F.col("quality"), F.lit(1)) == 0, 2).otherwise(1)
+    """(doc_id, grade): the column ``toxic`` as an ordered grade, 0 harmless; the gravest of an id's labels."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    return known.groupBy("doc_id").agg(F.max(grade).alias("grade"))
+    return known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("grade"))
 
 
-def fit(docs: DataFrame, graded: DataFrame, max_rows: int = 4000) -> SeverityModel:
+def fit(docs: DataFrame, graded: DataFrame, max_rows: int = 8000) -> SeverityModel:
     """Learn from at most ``max_rows`` graded texts, as many of each grade as there are.
 
     Rows are chosen by a hash of the id. Rows without text, and ids that occur in one table only, do not
@@ -173,5 +201,5 @@ def grade(docs: DataFrame, model: SeverityModel, text: Column | None = None) ->
     return found.select("doc_id", "found.*").withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> DataFrame:
     return grade(docs, fit(docs, severity(labels), max_rows))
