@@ -22,6 +22,7 @@ import unicodedata
 from collections.abc import Iterator
 from itertools import chain, islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from wattframe.llm.common import free_name, ship
 
 #: Words whose encodings a worker keeps; when it is full, it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 #: Characters of text that are worked on together, and words of one text.
 SLICE_CHARS = 1 << 20
 SLICE_WORDS = 100_000
@@ -285,10 +286,11 @@ def encode(docs: DataFrame, path: str | None = None, into: str = "ids") -> DataF
 
     @F.pandas_udf("array<int>")
     def ids_of(text: pd.Series) -> pd.Series:
-        out: list[list[int]] = [[] for _ in range(len(text))]
+        out: list[list[np.ndarray]] = [[] for _ in range(len(text))]
         for i, ids in loaded(source).encode_pieces([t or "" for t in text]):
-            out[i] += ids
-        return pd.Series(out, dtype=object)
+            out[i].append(np.array(ids, np.int32))
+        none = np.zeros(0, np.int32)
+        return pd.Series([np.concatenate(o) if o else none for o in out], dtype=object)
 
     return docs.withColumn(into, ids_of(F.col("text")))
 
