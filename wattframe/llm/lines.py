@@ -29,7 +29,10 @@ from wattframe.llm.common import free_name, join_groups, written
 MIN_CHARS = 10
 COARSE, FINE = 2, (8, 32)
 
-ORDER = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "line_no")
+
+def order() -> Column:
+    """Where a line stands; the smallest is the earliest."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "line_no")
 
 
 def gap_keys(line: Column, size: Column, parts: int) -> Column:
@@ -179,7 +182,7 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         "all-lines",
     )
     distinct = lines.groupBy("h1", "h2").agg(
-        F.min(ORDER).alias("first"),
+        F.min(order()).alias("first"),
         F.any_value("keys").alias("keys"),
         F.count(F.lit(1)).alias("n"),
     )
@@ -215,7 +218,7 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         ["h1", "h2"],
         "n",
         lines.count(),
-    ).filter(ORDER != F.col("first"))
+    ).filter(order() != F.col("first"))
     copies = copies.select(
         "doc_id", "text_hash", "line_no", F.col("first").alias("witness"), F.lit(True).alias("exact")
     )
