@@ -69,7 +69,7 @@ def test_profile_study(spark, hourly, cache):
     assert study["hourly"].agg(F.sum("Wind")).first()[0] == pytest.approx(200.0)
     assert {r["measure"] for r in study["statistics"].collect()} == {"ExcessSupply", "ExcessDemand"}
     assert study["daily"].count() == 77 and study["overview"].count() == 4 and study["implied"].count() == 2
-    assert study["profiles"].columns == ["country", "year", "profile", "x", "Demand", "Wind", "Solar", "Baseload"]
+    assert study["profiles"].columns == ["country", "year", "profile", "x", "Demand", "Wind", "Solar", "Constant"]
     study["hourly"].unpersist()
     absent = profile_study(hourly, caps, "XX", 2020)
     assert all(table.isEmpty() for table in absent.values())
@@ -78,3 +78,12 @@ def test_profile_study(spark, hourly, cache):
 def test_share_total():
     assert share_total() == 100
     assert share_total({"Wind": 0.5, "Solar": 0.25}) == 75
+
+
+def test_capacity_without_a_generation_column_has_no_generation(spark):
+    generation = spark.createDataFrame([("A", 2020, 10.0, 1.0, None, None)], "country string, year int, Demand double, Solar double, WindOnshore double, WindOffshore double")
+    installed = spark.createDataFrame([("A", 2020, 5.0, 1.0, 1.0, 7.0)], "country string, year int, solar double, windOnshore double, windOffshore double, biomass double")
+    stats = {r["technology"]: r for r in capacity_stats(generation, installed).collect()}
+    assert stats["Biomass"]["Capacity"] == 7.0
+    assert stats["Biomass"]["AnnualGeneration"] is None and stats["Biomass"]["FullloadHours"] is None
+    assert stats["WindOnshore"]["AnnualGeneration"] == 0.0

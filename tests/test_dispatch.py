@@ -249,15 +249,15 @@ def test_result_does_not_depend_on_partitioning(spark, hours, solved, partitions
 def test_simulate_writes_and_reads_back(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame(some_hours(), SCHEMA).write.parquet(source)
-    out = simulate(spark, ["1"], ["0.5"], ["0", "0.01"], COSTS[:2], 100, "A", "2020/02/28 00:00", "2020/03/01 23", fn_entsoe=source, fn_out=target)
-    lazy = simulate(spark, ["1"], ["0.5"], ["0", "0.01"], COSTS[:2], 100, "A", "2020/02/28 00:00", "2020/03/01 23", fn_entsoe=source)
+    out = simulate(spark, ["1"], ["0.5"], ["0", "0.01"], COSTS[:2], 100, country="A", start="2020/02/28 00:00", end="2020/03/01 23", hourly_path=source, out_path=target)
+    lazy = simulate(spark, ["1"], ["0.5"], ["0", "0.01"], COSTS[:2], 100, country="A", start="2020/02/28 00:00", end="2020/03/01 23", hourly_path=source)
     assert out.count() == lazy.count() > 0 and out.agg(F.sum("demand")).first()[0] == pytest.approx(400)
     assert read_results(spark, target).agg(F.min("date"), F.max("date")).first()[0] >= at("2020-02-28 00:00:00")
     spark.createDataFrame(some_hours()[:1] * 2, SCHEMA).write.parquet(str(tmp_path / "twice"))
     with pytest.raises(ValueError, match="more than once"):
-        simulate(spark, ["1"], ["0.5"], ["0"], country="A", start="2020/01/01 00", end="2020/12/31 23", fn_entsoe=str(tmp_path / "twice"))
+        simulate(spark, ["1"], ["0.5"], ["0"], country="A", start="2020/01/01 00", end="2020/12/31 23", hourly_path=str(tmp_path / "twice"))
     with pytest.raises(ValueError, match="within 0 and 1"):
-        simulate(spark, ["1"], ["2"], ["0"], fn_entsoe=source)
+        simulate(spark, ["1"], ["2"], ["0"], country="A", start="2020/01/01 00", end="2020/12/31 23", hourly_path=source)
 
 
 def test_given_tables(spark, testdata):

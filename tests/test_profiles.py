@@ -5,7 +5,7 @@ from tests.conftest import at, plan_of, records
 from wattframe.operators.balance import storage_hourly, storage_stats, transpose_stats
 from wattframe.operators.bins import resample_days, resample_days_percent
 from wattframe.operators.checks import column_counts, duplicate_hours, first_hours, require_unique_hours
-from wattframe.operators.joins import join_per_key
+from wattframe.operators.joins import with_totals
 from wattframe.operators.normalize import normalize_generation
 from wattframe.operators.profiles import all_profiles, season_profiles, stack_columns, stacked_profile
 
@@ -24,16 +24,16 @@ def hours(spark):
 
 
 def test_normalize_generation(hours):
-    shares = {"Wind": 0.5, "Solar": 0.25, "Baseload": 0.25}
+    shares = {"Wind": 0.5, "Solar": 0.25, "Constant": 0.25}
     rows = records(normalize_generation(hours, shares), "country", "dateTime")
-    assert list(rows[0]) == ["country", "dateTime", "Wind", "Solar", "Baseload", "Demand"]
+    assert list(rows[0]) == ["country", "dateTime", "Wind", "Solar", "Constant", "Demand"]
     assert [r["Wind"] for r in rows[:3]] == [1.0, 3.0, None]
     assert [r["Solar"] for r in rows[:3]] == [0.0, None, 2.0]
-    assert [r["Baseload"] for r in rows[:3]] == pytest.approx([2 / 3] * 3)
+    assert [r["Constant"] for r in rows[:3]] == pytest.approx([2 / 3] * 3)
     assert [r["Demand"] for r in rows[:3]] == [2.0, 2.0, 4.0]
     # No demand at all: shares of nothing, and a demand profile that is missing.
     assert (rows[3]["Wind"], rows[3]["Demand"]) == (0.0, None)
-    assert shares == {"Wind": 0.5, "Solar": 0.25, "Baseload": 0.25}
+    assert shares == {"Wind": 0.5, "Solar": 0.25, "Constant": 0.25}
 
 
 def test_normalize_to_a_given_total(hours):
@@ -184,24 +184,20 @@ def test_checks(spark):
     assert "WindowGroupLimit" in plan_of(first_hours(hours, 2))
 
 
-def test_join_per_key_checks_the_size_before_it_broadcasts(spark, hours):
-    per_key = hours.groupBy("country").agg(F.count("*").alias("n"))
-    few, many = join_per_key(hours, per_key, ["country"]), join_per_key(hours, per_key, ["country"], limit=1)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "BroadcastHashJoin" in plan_of(few)
-        assert "BroadcastHashJoin" not in plan_of(many)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert records(few, "country", "dateTime") == records(many, "country", "dateTime")
-
-
-def test_known_number_of_keys_is_not_counted(spark, hours):
-    per_key = hours.groupBy("country").agg(F.count("*").alias("n"))
+def test_totals_take_one_scan_and_no_job(spark, hours, tmp_path):
+    hours.write.parquet(str(tmp_path / "hours"))
+    stored = spark.read.parquet(str(tmp_path / "hours"))
     tracker = spark.sparkContext.statusTracker()
-    jobs = {}
-    for at_most in (2, None):
-        spark.sparkContext.setJobGroup(f"keys {at_most}", "")
-        join_per_key(hours, per_key, ["country"], at_most=at_most)
-        jobs[at_most] = len(tracker.getJobIdsForGroup(f"keys {at_most}"))
-    assert jobs[2] == 0 and jobs[None] > 0
+    spark.sparkContext.setJobGroup("totals", "")
+    out = with_totals(stored, {"n": F.count("*")}, ["country"], "dateTime")
+    assert not tracker.getJobIdsForGroup("totals")
+    spark.sparkContext.setJobGroup("after", "")
+    assert "BroadcastHashJoin" not in plan_of(out)
+    counts = {r["country"]: r["n"] for r in stored.groupBy("country").agg(F.count("*").alias("n")).collect()}
+    assert {(r["country"], r["n"]) for r in out.collect()} == set(counts.items())
+
+
+def test_totals_of_hours_without_a_time(spark):
+    rows = spark.createDataFrame([("A", None, 1.0), ("A", None, 2.0)], "country string, dateTime timestamp_ntz, v double")
+    out = with_totals(rows, {"s": F.sum("v")}, ["country"], "dateTime")
+    assert [r["s"] for r in out.collect()] == [3.0, 3.0]

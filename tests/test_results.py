@@ -63,6 +63,8 @@ def test_cost_heatmap_and_counts(solved):
     assert heat[1]["50"] == cell["energyNotServed"]
     with pytest.raises(ValueError):
         res.heatmap_pivot(costs, ["0"], "demand")
+    with pytest.raises(Exception, match="share not given: 0.5"):
+        res.heatmap_pivot(costs, ["0"]).collect()
     assert {r["n"] for r in res.count_per_storage(costs).collect()} == {2}
     assert [r[0] for r in res.generation_shares(annual).collect()] == [Decimal("1.000"), Decimal("1.100")]
 

@@ -154,3 +154,14 @@ def test_stored_hours_are_pruned_by_folder(spark, hourly_file, tmp_path):
         filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", plan_of(chosen)).group(1)
         assert "year#" in filters and f">= {bound}" in filters and "= DE" in filters
         assert "year" not in period.columns
+
+
+def test_comparison_goes_by_column_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("value,year,technology,variable,scenario,model\n1.5,2030,wind,F,high,M1\n,2030,solar,F,high,M1\n")
+    rows = read_comparison(spark, str(tmp_path / "a.csv")).collect()
+    first = rows[0].asDict()
+    assert (first["model"], first["scenario"], first["value"]) == ("M1", "high", 1.5) and rows[1]["value"] is None
+    assert read_comparison(spark, str(tmp_path / "none.csv")).isEmpty()
+    (tmp_path / "b.csv").write_text("value,year\n1,2030\n")
+    with pytest.raises(ValueError, match="no such column"):
+        read_comparison(spark, str(tmp_path / "b.csv"))

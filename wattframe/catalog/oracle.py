@@ -80,7 +80,7 @@ highest AS (
   SELECT country, CAST(year("dateTime") AS INTEGER) AS year, max("windOnshore") AS "windOnshore",
     max("windOffshore") AS "windOffshore", max(solar) AS solar
   FROM hourly_shipments GROUP BY 1, 2),
-capacity AS (SELECT * FROM highest WHERE NOT (country = 'ASIA' AND year = 2001))
+capacity AS (SELECT * FROM highest)
 """
 
 
@@ -103,7 +103,7 @@ totals AS (
   FROM generation GROUP BY ALL),
 normalised AS (
   SELECT {keys}, "dateTime", "Wind" / nullif(w, 0) * level * 0.5 AS "Wind",
-    "Solar" / nullif(s, 0) * level * 0.3 AS "Solar", CAST(1 AS DOUBLE) / n * level * 0.2 AS "Baseload",
+    "Solar" / nullif(s, 0) * level * 0.3 AS "Solar", CAST(1 AS DOUBLE) / n * level * 0.2 AS "Constant",
     "Demand" / nullif(d, 0) * level AS "Demand"
   FROM generation JOIN totals USING ({keys}))
 """
@@ -111,7 +111,7 @@ normalised AS (
 
 BALANCE = """
 supplied AS (
-  SELECT *, coalesce("Wind", 0) + coalesce("Solar", 0) + coalesce("Baseload", 0) AS "TotalSupply"
+  SELECT *, coalesce("Wind", 0) + coalesce("Solar", 0) + coalesce("Constant", 0) AS "TotalSupply"
   FROM normalised),
 balance AS (
   SELECT *,
@@ -151,7 +151,7 @@ SELECT country, {TIME}, {rs(['Wind'])} FROM generation
 
 # ---- normalised profiles and balance
 
-SHARED = ("Wind", "Solar", "Baseload", "Demand")
+SHARED = ("Wind", "Solar", "Constant", "Demand")
 ORACLE["normalize_generation"] = f"""
 WITH {EVENTS}, {generation('hourly_events')}, {normalised('country')}
 SELECT country, {TIME}, {rs(SHARED)} FROM normalised
@@ -245,8 +245,8 @@ SELECT country, profile, CAST(x AS INTEGER) AS x, {rs(VALUES)} FROM six
 ORACLE["stacked_profile"] = f"""
 WITH {YEAR_NORMALISED}, {six('normalised', 'country, year', SHARED)}
 SELECT country, year, profile, CAST(x AS INTEGER) AS x, {r('"Demand"', 'Demand')},
-  {r('"Baseload" + "Wind"', 'Wind')}, {r('"Baseload" + "Wind" + "Solar"', 'Solar')},
-  {r('"Baseload"', 'Baseload')}
+  {r('"Constant" + "Wind"', 'Wind')}, {r('"Constant" + "Wind" + "Solar"', 'Solar')},
+  {r('"Constant"', 'Constant')}
 FROM six
 """
 
@@ -523,7 +523,7 @@ both_runs AS (
 SELECT {TOTALS}, source FROM both_runs
 """
 ORACLE["write_results"] = f"""
-WITH {DISPATCH} SELECT scenario_id, {DATE}, {rs([*AMOUNTS, *ATTRIBUTES])} FROM solved
+WITH {DISPATCH} SELECT country, scenario_id, {DATE}, {rs([*AMOUNTS, *ATTRIBUTES])} FROM solved
 """
 
 # ---- scenario results
@@ -707,3 +707,9 @@ ORACLE["scatter_report"] = f"""
 WITH {STUDY_RESULTS} {_SCATTER}
 WHERE variable = 'electricity_supply' AND technology = 'total' GROUP BY model, scenario
 """
+
+# Stored tables give what the tables they were written from give.
+ORACLE["stored_country_period"] = ORACLE["scan_country_period"]
+ORACLE["stored_capacity_stats"] = ORACLE["capacity_stats"]
+ORACLE["stored_hourly_results"] = ORACLE["hourly_results"]
+ORACLE["stored_annual_results"] = ORACLE["annual_results"]

@@ -110,11 +110,9 @@ def wind_total(spark, folder):
 
 
 def _normalised_events(spark, folder):
-    # The table has two places by its definition.
     return normalize.normalize_generation(
         capacity.generation_year(tables.hourly_events(spark, folder)),
         studies.DEFAULT_SHARES,
-        at_most=2,
     )
 
 
@@ -317,7 +315,7 @@ def union_scenarios(spark, folder):
 def write_results(spark, folder):
     path = new_folder(spark, "results")
     sources.write_results(_dispatch(spark, folder), path, partition_by=["share_generation"])
-    return sources.read_results(spark, path).drop("country")
+    return sources.read_results(spark, path)
 
 
 # ---- scenario results
@@ -367,6 +365,45 @@ def melt_generation(spark, folder):
     return res.melt_generation(_dispatch(spark, folder), keys=keys)
 
 
+# ---- stored tables
+
+
+def _stored_hours(spark, folder):
+    path = new_folder(spark, "hours")
+    sources.store_hourly(tables.hourly_shipments(spark, folder), path)
+    return sources.read_hourly(spark, path)
+
+
+def _stored_results(spark, folder):
+    path = new_folder(spark, "results")
+    sources.write_results(_dispatch(spark, folder), path)
+    return sources.read_results(spark, path)
+
+
+@query
+def stored_country_period(spark, folder):
+    hourly = _stored_hours(spark, folder)
+    return sources.country_period(hourly, "EUROPE", "1996/03/01 00:00", "1998/08/31 23")
+
+
+@query
+def stored_capacity_stats(spark, folder):
+    path = new_folder(spark, "capacity")
+    tables.capacity(spark, folder).write.parquet(path)
+    generation = capacity.generation_year(_stored_hours(spark, folder).drop("year"))
+    return capacity.capacity_stats(generation, sources.read_capacity(spark, path))
+
+
+@query
+def stored_hourly_results(spark, folder):
+    return res.hourly_results(_stored_results(spark, folder), "1.1", "0.001", "0.5")
+
+
+@sums_query
+def stored_annual_results(spark, folder):
+    return res.annual_results(_stored_results(spark, folder))
+
+
 # ---- comparison of models
 
 

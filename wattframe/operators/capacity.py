@@ -64,7 +64,10 @@ def capacity_stats(
     installed = with_wind(installed.groupBy(keys).agg(*(F.sum(c).alias(c) for c in names)))
     installed = installed.unpivot(keys, [*names, "Wind"], "technology", "Capacity")
     joined = generated.join(installed, [*keys, "technology"], "full_outer")
-    annual = F.coalesce("AnnualGeneration", F.lit(0.0))
+    # A technology with capacity and no generation column has no generation known; 0 is for a column
+    # that has no hours of the key.
+    known = F.col("technology").isin(*technologies)
+    annual = F.when(known, F.coalesce("AnnualGeneration", F.lit(0.0)))
     return joined.select(
         *keys,
         "technology",

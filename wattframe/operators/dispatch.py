@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from wattframe.functions import or_zero, total
 from wattframe.operators.grid import DEFAULT_COSTS, Share, scenario_attributes, spread_scenarios
-from wattframe.operators.joins import join_per_key
+from wattframe.operators.joins import with_totals
 from wattframe.operators.lag import circular_lag
 
 AMOUNTS = (
@@ -156,11 +156,11 @@ def profile_inputs(
     readings = hourly.select(
         *series, F.col(time).alias("date"), "demand", F.col(renewable).alias("renewable")
     )
-    sums = readings.groupBy(series).agg(
-        total("demand").alias("_sum_demand"),
-        total("renewable").alias("_sum_renewable"),
-        F.count("*").alias("_hours"),
-    )
+    sums = {
+        "_sum_demand": total("demand"),
+        "_sum_renewable": total("renewable"),
+        "_hours": F.count("*"),
+    }
     nuclear = F.lit(1.0) / F.col("_hours")
     alpha = F.try_divide(F.col("renewable"), F.col("_sum_renewable"))
     demand = F.try_divide(F.col("demand"), F.col("_sum_demand")) * _total_demand(total_demand)
@@ -177,7 +177,7 @@ def profile_inputs(
         record("alpha", "renewable", alpha),
         record("dem", None, demand),
     )
-    long = join_per_key(readings, sums, series).select(*series, "date", F.inline(rows))
+    long = with_totals(readings, sums, series, "date").select(*series, "date", F.inline(rows))
     return long.filter(F.col("value").isNotNull())
 
 

@@ -1,34 +1,32 @@
-"""Join rows to one row per key."""
+"""Attach totals of a series to each of its hours."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Up to this many keys a side of a few numeric columns stays within some ten megabytes.
-BROADCAST_ROWS = 100_000
+from wattframe.functions import day_of
 
+# Hours without a time still belong to their series; they share a day of their own.
+NO_DAY = "0001-01-01"
 
-def join_per_key(
-    rows: DataFrame,
-    per_key: DataFrame,
-    keys: Sequence[str],
-    limit: int = BROADCAST_ROWS,
-    at_most: int | None = None,
-) -> DataFrame:
-    """Left join of ``rows`` with ``per_key``, which has one row per key.
 
-    The keys are counted first, up to ``limit``; this pass reads the key columns only. Few keys are
-    broadcast, so ``rows`` stay where they are. More keys are joined by a shuffle, in which adaptive
-    execution splits the partition of a hot key.
+def with_totals(
+    rows: DataFrame, amounts: Mapping[str, Column], series: Sequence[str], time: str
+) -> DataFrame:
+    """``rows`` with one column per entry of ``amounts``: the sum over the row's series.
 
-    ``at_most`` is for a caller who knows a bound on the number of keys, such as 1 after a filter on
-    each of them; then nothing is counted.
+    Rows are dealt out by series and day, once. Each day is summed where it lies, the days of a series
+    are added up in a table with one row per day, and that table is merged with the rows by the same key.
+    So there is one scan, no job before the query runs, and no task that gets a whole series.
     """
-    keys = list(keys)
-    if at_most is None:
-        at_most = per_key.select(keys).limit(limit + 1).count()
-    few = at_most <= limit
-    return rows.join(F.broadcast(per_key) if few else per_key, keys, "left")
+    series = list(series)
+    day = [*series, "_day"]
+    split = rows.withColumn("_day", F.coalesce(day_of(time), F.lit(NO_DAY).cast("date"))).repartition(*day)
+    days = split.groupBy(day).agg(*(c.alias(name) for name, c in amounts.items()))
+    whole = W.partitionBy(*series)
+    days = days.select(*day, *(F.sum(name).over(whole).alias(name) for name in amounts))
+    return split.join(days.hint("merge"), day, "left").drop("_day")

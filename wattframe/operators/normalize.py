@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.functions import or_zero, total
-from wattframe.operators.joins import join_per_key
+from wattframe.operators.joins import with_totals
 
 
 def with_wind(df: DataFrame) -> DataFrame:
@@ -23,14 +23,13 @@ def normalize_generation(
     series: Sequence[str] = ("country",),
     time: str = "dateTime",
     demand: str = "Demand",
-    constant: str = "Baseload",
-    at_most: int | None = None,
+    constant: str = "Constant",
 ) -> DataFrame:
     """Scale each technology so that its sum is the given share of total demand.
 
     The name ``constant`` stands for a technology with the same value in every hour. A
     ``total_demand`` of 0 keeps the observed demand. A column that sums to 0 has no profile and
-    becomes missing. ``at_most`` is a known bound on the number of series, see ``join_per_key``.
+    becomes missing.
     """
     factors = {**shares, demand: 1}
     observed = [c for c in factors if c != constant]
@@ -38,9 +37,7 @@ def normalize_generation(
     if unknown:
         raise ValueError(f"no such column: {', '.join(unknown)}")
     series = list(series)
-    totals = df.groupBy(series).agg(
-        F.count("*").alias("_hours"), *(total(c).alias(f"_sum_{c}") for c in observed)
-    )
+    amounts = {"_hours": F.count("*"), **{f"_sum_{c}": total(c) for c in observed}}
     level = F.col(f"_sum_{demand}") if total_demand == 0 else F.lit(float(total_demand))
     scaled = []
     for name, factor in factors.items():
@@ -50,4 +47,4 @@ def normalize_generation(
             profile = F.try_divide(F.col(name), F.col(f"_sum_{name}"))
         scaled.append((profile * level * F.lit(float(factor))).alias(name))
     wanted = df.select(*series, time, *observed)
-    return join_per_key(wanted, totals, series, at_most=at_most).select(*series, time, *scaled)
+    return with_totals(wanted, amounts, series, time).select(*series, time, *scaled)

@@ -134,7 +134,8 @@ def heatmap_pivot(
 ) -> DataFrame:
     """Mean of ``variable`` by storage share (rows) and renewable share (columns), both in percent.
 
-    The renewable shares are given, so no extra job has to find them.
+    The renewable shares are given, so no extra job has to find them. A share that occurs but is not
+    given stops the query: the table would be incomplete.
     """
     if variable not in VARIABLES:
         raise ValueError(f"no such variable: {variable}")
@@ -142,6 +143,10 @@ def heatmap_pivot(
         F.avg(F.when(F.col("share_renewable") == share_key(F.lit(str(s))), F.col(variable))).alias(_label(s))
         for s in share_renewable
     )
+    listed = F.col("share_renewable").isin(*(share_key(F.lit(str(s))) for s in share_renewable))
+    share = F.coalesce(F.col("share_renewable").cast("string"), F.lit("missing"))
+    other = F.raise_error(F.concat(F.lit("share not given: "), share)).cast("double")
+    costs = costs.withColumn(variable, F.when(listed, F.col(variable)).otherwise(other))
     rows = costs.groupBy(*series, "share_storage").agg(*cells)
     percent_storage = (F.col("share_storage") * 100).cast("double").alias("storagePercent")
     return rows.select(*series, percent_storage, *(f"`{_label(s)}`" for s in share_renewable))

@@ -20,9 +20,9 @@ from wattframe.operators.profiles import all_profiles, stacked_profile
 from wattframe.operators.results import annual_results, heatmap_pivot, scenario_cost
 
 # Default demand shares, the order of stacking and what is shown.
-DEFAULT_SHARES = {"Wind": 0.5, "Solar": 0.3, "Baseload": 0.2}
-TECH_ORDER = ("Baseload", "Wind", "Solar")
-SHOWN = ("Demand", "Wind", "Solar", "Baseload")
+DEFAULT_SHARES = {"Wind": 0.5, "Solar": 0.3, "Constant": 0.2}
+TECH_ORDER = ("Constant", "Wind", "Solar")
+SHOWN = ("Demand", "Wind", "Solar", "Constant")
 
 
 def share_total(shares: Mapping[str, float] = DEFAULT_SHARES) -> int:
@@ -52,11 +52,8 @@ def profile_study(
     for name, value in (("country", country), ("year", year)):
         if value is not None:
             capacity = capacity.filter(capacity[name] == value)
-    single = country is not None and year is not None
     stats = capacity_stats(generation, capacity, keys)
-    normalised = normalize_generation(
-        generation, shares, total_demand, keys, at_most=1 if single else None
-    )
+    normalised = normalize_generation(generation, shares, total_demand, keys)
     balance = storage_hourly(normalised, series=keys)
     if cache:
         balance = balance.persist()

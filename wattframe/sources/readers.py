@@ -72,7 +72,19 @@ def read_results(spark: SparkSession, path: str | None = None) -> DataFrame:
 def read_comparison(spark: SparkSession, path: str | None = None) -> DataFrame:
     """CSV with a header: results of several models; defaults to ``spark.wattframe.comparison``."""
     path = _path(spark, path, "spark.wattframe.comparison")
-    rows = spark.read.schema(schemas.COMPARISON).option("header", True).csv(path)
+    wanted = T.StructType.fromDDL(schemas.COMPARISON)
+    try:
+        rows = spark.read.option("header", True).csv(path)  # all text; columns go by their names
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schemas.COMPARISON)
+    absent = [f.name for f in wanted if f.name not in rows.columns]
+    if absent and rows.columns:
+        raise ValueError(f"no such column: {', '.join(absent)}")
+    if absent:
+        return spark.createDataFrame([], schemas.COMPARISON)
+    rows = rows.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted))
     return rows.withColumn("value", missing("value"))
 
 

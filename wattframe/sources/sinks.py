@@ -23,6 +23,8 @@ def write_results(
     """
     shares = ("share_generation", "share_storage", "share_renewable")
     keys = [c for c in shares if c in results.columns and c not in partition_by]
+    if partition_by:
+        results = results.hint("rebalance", *partition_by)
     rows = results.sortWithinPartitions(*partition_by, *keys) if sort and keys else results
     writer = rows.write.mode(mode)
     if partition_by:
