@@ -11,7 +11,6 @@ A window that starts in several documents belongs to the smallest doc_id; in the
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +23,8 @@ from wattframe.llm.hashing import window_hashes, word_hashes
 WINDOW = 50
 
 
-def minima(hashes: np.ndarray, span: int) -> np.ndarray:
-    """Places of the smallest hash (the first of equals) in every ``span`` consecutive ones, each once."""
+def leaders(hashes: np.ndarray, span: int) -> np.ndarray:
+    """For every ``span`` consecutive hashes, the place of the smallest, the first of equals."""
     n = len(hashes) - span + 1
     if n <= 0:
         return np.zeros(0, np.int64)
@@ -44,7 +43,11 @@ def minima(hashes: np.ndarray, span: int) -> np.ndarray:
     late = place < np.arange(n)
     for i in np.flatnonzero(late):  # an equal hash stands before the span
         place[i] = i + int(np.argmax(hashes[i : i + span] == least[i]))
-    return np.unique(place)
+    return place
+
+
+def minima(hashes: np.ndarray, span: int) -> np.ndarray:
+    return np.unique(leaders(hashes, span))
 
 
 def _rows(kind, **columns):

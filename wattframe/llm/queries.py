@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattframe.llm import bpe, decontam, exact, langid, lines, ngrams, passages, toxicity, warc
+from wattframe.llm import bpe, decontam, exact, langid, lines, ngrams, passages, substrings, toxicity, warc
 from wattframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op1_decontaminate(spark, folder):
 @query
 def op10_toxicity(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op2_substrings(spark, folder):
+    return substrings.substring_removal(table(spark, folder, "documents"))
