@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wattframe.llm.common import ship
 
-#: Words that a larger share of the sampled texts have say nothing.
+#: Words that a larger share of the sampled harmless texts have say nothing.
 COMMON = 0.2
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -56,10 +56,13 @@ def train(
     if len(grades) < 2 or not rows:
         return SeverityModel(grades, {}, np.full(max(0, len(grades) - 1), 40.0))
     there: dict[str, int] = {}
-    for _, some in rows:
+    harmless: dict[str, int] = {}
+    for g, some in rows:
         for w in some:
             there[w] = there.get(w, 0) + 1
-    kept = sorted(w for w, n in there.items() if least <= n <= max(least, COMMON * len(rows)))
+            harmless[w] = harmless.get(w, 0) + (g == grades[0])
+    most = max(least, COMMON * sum(g == grades[0] for g, _ in rows))
+    kept = sorted(w for w, n in there.items() if n >= least and harmless[w] <= most)
     number = {w: i for i, w in enumerate(kept)}
     at = [sorted(number[w] for w in some if w in number) for _, some in rows]
     row = np.repeat(np.arange(len(rows)), [len(a) for a in at])
@@ -103,7 +106,7 @@ def _climb(row, col, y, weight, m: int, k: int, penalty: float, steps: int):
     # The largest curvature along the words, by the power method.
     v, curve = np.ones(m), 1.0
     for _ in range(30):
-        v = np.bincount(col, (weight * np.bincount(row, v[col], n))[row], m)
+        v = np.bincount(col, (weight * np.bincount(row, v[col], n))[row], m).astype(float)
         curve = float(np.linalg.norm(v)) or 1.0
         v /= curve
     rate = 3 / curve
@@ -111,7 +114,7 @@ def _climb(row, col, y, weight, m: int, k: int, penalty: float, steps: int):
     ahead = w
     for _ in range(steps):
         theta = gap[0] + np.concatenate([[0], np.cumsum(np.exp(gap[1:]))])
-        score = np.bincount(row, ahead[col], n)
+        score = np.bincount(row, ahead[col], n).astype(float)
         upper = sigmoid(score[:, None] - theta[None, :])
         ladder = np.hstack([np.ones((n, 1)), upper, np.zeros((n, 1))])
         low, high = ladder[np.arange(n), y], ladder[np.arange(n), y + 1]
