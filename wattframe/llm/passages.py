@@ -31,19 +31,17 @@ def leaders(hashes: np.ndarray, span: int) -> np.ndarray:
     # The smallest of a span from blocks: suffix minima of one block meet prefix minima of the next.
     pad = -len(hashes) % span
     padded = np.concatenate([hashes, np.full(pad, np.iinfo(np.uint64).max, np.uint64)])
-    blocks = padded.reshape(-1, span)
-    prefix = np.minimum.accumulate(blocks, axis=1).ravel()
-    suffix = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(suffix[:n], prefix[span - 1 : span - 1 + n])
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    # The first place at or after each start that holds the least value.
-    low = np.searchsorted(ranked, least, "left")
-    place = order[low]
-    late = place < np.arange(n)
-    for i in np.flatnonzero(late):  # an equal hash stands before the span
-        place[i] = i + int(np.argmax(hashes[i : i + span] == least[i]))
-    return place
+    blocks, at = padded.reshape(-1, span), np.arange(len(padded)).reshape(-1, span)
+    least = np.minimum.accumulate(blocks, axis=1)
+    new = np.ones(blocks.shape, bool)
+    new[:, 1:] = blocks[:, 1:] < least[:, :-1]
+    before = np.maximum.accumulate(np.where(new, at, 0), axis=1).ravel()[span - 1 : span - 1 + n]
+    back = blocks[:, ::-1]
+    least = np.minimum.accumulate(back, axis=1)
+    new[:, 1:] = back[:, 1:] <= least[:, :-1]
+    after = np.where(new, at[:, ::-1], len(padded))
+    after = np.minimum.accumulate(after, axis=1)[:, ::-1].ravel()[:n]
+    return np.where(hashes[after] <= hashes[before], after, before)
 
 
 def minima(hashes: np.ndarray, span: int) -> np.ndarray:
