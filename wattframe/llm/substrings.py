@@ -34,6 +34,19 @@ def values(text: str | None) -> np.ndarray:
     return _BYTE[np.frombuffer((text or "").encode(), np.uint8)]
 
 
+def gathered(batches, size: int = 1 << 22):
+    """The same rows in batches of about ``size`` bytes, since each small one has its own cost."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def stretches(docs: DataFrame) -> DataFrame:
     """(owner, whole, row, low, high, place): windows low..high, owner's hash and place, hash of all bytes."""
     kind = pa.schema(
@@ -72,7 +85,7 @@ def stretches(docs: DataFrame) -> DataFrame:
                 )
 
     return docs.select("row", "text").mapInArrow(
-        find, "owner long, whole long, row long, low int, high int, place int"
+        lambda batches: gathered(find(batches)), "owner long, whole long, row long, low int, high int, place int"
     )
 
 
@@ -119,7 +132,8 @@ def pieces(docs: DataFrame, ranges: DataFrame) -> DataFrame:
                     h=b.astype(np.int32),
                 )
 
-    return with_ranges(docs, ranges).mapInArrow(cut, "core long, whole long, row long, low int, high int")
+    names = "core long, whole long, row long, low int, high int"
+    return with_ranges(docs, ranges).mapInArrow(lambda batches: gathered(cut(batches)), names)
 
 
 def sorted_repeats(docs: DataFrame, ranges: DataFrame, count: int) -> DataFrame:
@@ -164,7 +178,8 @@ def sorted_repeats(docs: DataFrame, ranges: DataFrame, count: int) -> DataFrame:
             yield _rows(kind, r=np.concatenate(rows)[piece[some]], l=at[some], h=at[some])
 
     shards = max(docs.sparkSession.sparkContext.defaultParallelism, count * (WINDOW + OFFSETS) // SHARD + 1)
-    cut_out = with_ranges(docs, ranges).mapInArrow(cut, "core long, row long, low int, bytes binary")
+    names = "core long, row long, low int, bytes binary"
+    cut_out = with_ranges(docs, ranges).mapInArrow(lambda batches: gathered(cut(batches)), names)
     return cut_out.repartition(shards, "core").mapInArrow(sort, "row long, low int, high int")
 
 
@@ -235,7 +250,7 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
                 )
 
     joined = rows.join(cuts.hint("merge"), "row", "left").select("doc_id", "text", "cuts")
-    return joined.mapInArrow(keep, names)
+    return joined.mapInArrow(lambda batches: gathered(keep(batches)), names)
 
 
 def substring_removal(docs: DataFrame) -> DataFrame:
