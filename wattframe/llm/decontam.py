@@ -54,7 +54,7 @@ def templates(found: Column) -> Column:
         number = F.substring(before, 1, 1).rlike(r"\p{N}")
         return (
             F.when(first.rlike(r"\p{N}"), F.lit("#"))
-            .when(number & low.isin(UNITS), F.lit("&"))
+            .when(low.isin(UNITS) & number, F.lit("&"))
             .when(capital & (before == F.lower(before)) & ~before.rlike(r"[.!?\n]$") & ~number, F.lit("@"))
             .otherwise(low)
         )
