@@ -239,6 +239,28 @@ def test_decontamination(spark):
     assert decontam.leaks(docs, items.limit(0)).collect() == []
 
 
+def test_decontamination_of_names_and_case(spark):
+    question = "When John Smith drove 12 miles out of New York with Mary he had 7 hours to get there by noon"
+    renamed = "When Anna Maria Jones drove 15 miles out of Los Angeles with Tom she had 9 hours to get there by noon"
+    renamed = renamed.replace(" she ", " he ")
+    first = "John F. Kennedy gave 3 apples to Mary, and then Mary gave 2 of them back to him"
+    other = "Lyndon Johnson gave 5 apples to Anna, and then Anna gave 4 of them back to him"
+    wrong = "Lyndon Johnson gave 5 apples to Anna, and then Tom gave 4 of them back to him"
+    items = spark.createDataFrame([(1, question), (2, first)], "item_id long, text string")
+    texts = [question.upper(), question.lower(), renamed, "Well: " + first, other, wrong, first.upper().replace("3", "8")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["coverage"], r["changed_slots"]) for r in decontam.leaks(docs, items).collect()}
+    assert set(found) == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (6, 2)}
+    assert found[0, 1] == found[1, 1] == (1.0, 0) and found[2, 1] == (1.0, 5) and found[4, 2] == (1.0, 4)
+    # Tokens with and without values stand at the same places.
+    odd = ["3 km of {a} #@& 4,5 O'Brien-Smith in J. K. Rowling. The 7kg", "ÉTÉ Straße 1.2.3 Mr Jones", "", None]
+    rows = spark.createDataFrame([(t,) for t in odd], "text string")
+    for named in (False, True):
+        pair = [decontam.marked(decontam.F.col("text"), named, values) for values in (False, True)]
+        for bare, valued in rows.select(*pair).collect():
+            assert bare == [t[0] if t[0] in "#@&" else t for t in valued]
+
+
 def test_language(spark, nothing):
     known = [("en", "the cat and the dog with this"), ("de", "der hund und die katze nicht"), ("fr", "le chien est avec une autre")]
     rows = [(i, known[i % 3][1] + f" {i}", known[i % 3][0]) for i in range(90)]

@@ -1,9 +1,13 @@
 """Benchmark decontamination by template windows.
 
-Texts become sequences of template tokens: lower-cased words, with numbers, units after a number, and
-names (capitalised words after a lower-case word) replaced by placeholders of their type. Windows of
-eight template tokens are hashed, and documents' windows are joined with those of the benchmark. A
-question asked again with other numbers or names has the same template.
+Texts become sequences of template tokens: words without their case, with numbers, units after a number
+and names replaced by placeholders of their type. Windows of eight template tokens are hashed, and
+documents' windows are joined with those of the benchmark. A question asked again with other numbers or
+names has the same template.
+
+A text has two forms. In one, a run of capitalised words is one name, and so is a single one unless it
+begins a sentence, where any word is capitalised. In the other, case is not looked at and names stay words,
+so that copies in upper or lower case are found. Where both are the same, only one goes on.
 
 Then the slots are compared: aligned window by window, each value that an item has in its slots must
 stand for one value in the document, all along. A document holds an item if it has at least half of the
@@ -31,35 +35,45 @@ UNITS = (
     "hour hours day days week weeks month months year years mile miles inch inches foot feet pound pounds "
     "ounce ounces dollar dollars euro euros cent cents degree degrees"
 ).split()
-TOKEN = r"\p{L}+(?:[.!?]|[ \t]*\n)?|\p{N}+(?:[.,]\p{N}+)*"
+NUMBER = r"\p{N}++(?:[.,]\p{N}++)*+"
+#: Capitalised words; several stand together with blanks, hyphens, apostrophes or initials between them.
+NAME = r"(?:\p{Lu}['\u2019])?\p{Lu}++\p{Ll}\p{L}*+"
+JOINT = r"(?:[ \t]++(?:\p{Lu}\.[ \t]*+)*+|[-'\u2019])"
+RUN = rf"(?:\p{{Lu}}\.[ \t]*+)*+{NAME}(?:{JOINT}{NAME})++|(?:\p{{Lu}}\.[ \t]*+)++{NAME}"
+#: What may stand between a word and a name in one sentence.
+WITHIN = r"(?<=[\p{L}\p{N}#&}][^\p{L}\p{N}.!?\n{]{1,8})"
 
 
-def tokens(text: Column) -> Column:
-    """Words, each with a sentence end that follows it, and numbers."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+def marked(text: Column, named: bool, values: bool) -> Column:
+    """Template tokens of a text in one of its forms; with ``values``, placeholders have them in braces."""
 
+    def mark(kind: str, group: int) -> str:
+        return f"{kind}{{${group}}}" if values else kind
 
-def core(token: Column) -> Column:
-    return F.rtrim(token, F.lit(".!?\n \t"))
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), "[#@&{}]", " ")
+    if not named:
+        text = F.lower(F.upper(text))
+    units = "|".join(sorted(UNITS, key=len, reverse=True))
+    unit = rf"({NUMBER})([^\p{{L}}\p{{N}}]*+)((?iu:{units}))(?!\p{{L}})"
+    text = F.regexp_replace(text, unit, f"{mark('#', 1)}$2{mark('&', 3)} ")
+    text = F.regexp_replace(text, rf"(?<!\{{|\p{{N}}|\p{{N}}[.,])({NUMBER})", mark("#", 1))
+    if named:
+        name = rf"(?=\p{{Lu}})(?<![\p{{L}}{{])({RUN}|{WITHIN}{NAME})"
+        text = F.lower(F.upper(F.regexp_replace(text, name, mark("@", 1))))
+    return F.regexp_extract_all(text, F.lit(r"[#@&]\{[^}]*+\}|\p{L}++|[#@&]"), F.lit(0))
 
 
-def templates(found: Column) -> Column:
-    """The template token of each token."""
+def forms(df: DataFrame) -> DataFrame:
+    """``df`` with columns form, template: 0 without regard to case, and 1 with names, if that is another."""
+    named = df.withColumn("named", marked(F.col("text"), True, False))
+    plain = F.when(F.array_contains("named", "@"), marked(F.col("text"), False, False)).otherwise(F.col("named"))
+    both = F.array_distinct(F.array(plain, F.col("named")))
+    return named.select(*df.columns, F.posexplode(both).alias("form", "template"))
 
-    def template(token: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(found, i - 1)).otherwise(F.lit("."))
-        low = F.lower(core(token))
-        first = F.substring(token, 1, 1)
-        capital = (first != F.lower(first)) & (core(token) != F.upper(core(token)))
-        number = F.substring(before, 1, 1).rlike(r"\p{N}")
-        return (
-            F.when(first.rlike(r"\p{N}"), F.lit("#"))
-            .when(low.isin(UNITS) & number, F.lit("&"))
-            .when(capital & (before == F.lower(before)) & ~before.rlike(r"[.!?\n]$") & ~number, F.lit("@"))
-            .otherwise(low)
-        )
 
-    return F.transform(found, template)
+def valued(text: Column, form: Column) -> Column:
+    """Tokens of one of the forms, placeholders with their values."""
+    return F.when(form == 0, marked(text, False, True)).otherwise(marked(text, True, True))
 
 
 def windows(df: DataFrame, length: int, *keep: str) -> DataFrame:
@@ -70,6 +84,12 @@ def windows(df: DataFrame, length: int, *keep: str) -> DataFrame:
     return df.select(*keep, F.posexplode(hashes).alias("at", "hash"))
 
 
+def consistent(slots: Column) -> Column:
+    """Whether each value of the item stands for one value."""
+    ours = F.array_distinct(F.transform(slots, lambda s: F.struct(s["kind"], s["our"])))
+    return F.size(ours) == F.size(slots)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Pairs of a document and an item it holds: doc_id, item_id, coverage, changed_slots.
 
@@ -78,19 +98,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     ``LEAST`` tokens are not looked for; items of fewer than eight are one window. Rows that repeat an id
     count as one document (or item) if one of them matches. Empty tables give an empty result.
     """
-    items = benchmark.filter("item_id IS NOT NULL").select(
-        "item_id", tokens(F.col("text")).alias("tokens")
-    )
-    items = items.filter(F.size("tokens") >= LEAST).withColumn("template", templates(F.col("tokens")))
-    items = items.withColumn("of", F.xxhash64("tokens"))
+    items = forms(benchmark.filter("item_id IS NOT NULL").select("item_id", "text"))
+    items = items.withColumn("ours", valued(F.col("text"), F.col("form")))
+    items = items.filter((F.size("template") >= LEAST) & (F.size(marked(F.col("text"), False, False)) >= LEAST))
+    items = items.withColumn("of", F.xxhash64("ours", "form")).drop("text", "form")
     items = written(items, "items")
     lengths = sorted(
         r[0] for r in items.select(F.least(F.size("template"), F.lit(WINDOW))).distinct().collect()
     )
-    texts = docs.filter("text IS NOT NULL").select(
-        "doc_id", "text", tokens(F.col("text")).alias("tokens")
-    )
-    texts = texts.withColumn("template", templates(F.col("tokens")))
+    texts = docs.filter("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    texts = forms(texts).drop("text")
     pieces = []
     for length in lengths:  # at most WINDOW of them
         fits = F.size("template") >= WINDOW if length == WINDOW else F.size("template") == length
@@ -99,8 +116,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
         wanted = written(wanted, "item-windows")
         n = wanted.count()
         side = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
-        marked = texts.withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
-        pieces.append(windows(marked, length, "row").join(side, "hash").withColumn("length", F.lit(length)))
+        rows = texts.withColumn("row", F.struct("doc_id", "text_hash", "form"))
+        pieces.append(windows(rows, length, "row").join(side, "hash").withColumn("length", F.lit(length)))
     if not pieces:
         return docs.sparkSession.createDataFrame(
             [], "doc_id long, item_id long, coverage double, changed_slots long"
@@ -116,43 +133,55 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     cover = cover.join(total, ["item_id", "of"]).withColumn("coverage", F.col("n") / F.col("total"))
     cover = written(cover.filter(F.col("coverage") >= coverage).drop("n", "total"), "covered")
     # Slots: the values at the placeholders of each matched window, side by side.
-    need = cover.select("row").distinct()
-    values = docs.select(
-        F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("row"), "text"
-    )
-    values = values.join(need.hint("merge"), "row", "left_semi").distinct()
-    values = values.select("row", tokens(F.col("text")).alias("theirs"))
-    mine = items.select("item_id", "of", F.col("tokens").alias("ours"), "template").distinct()
     pairs = met.join(cover, ["row", "item_id", "of"], "left_semi")
-    # A window of text met by several windows of the item is read as the one whose neighbours agree.
     shift = pairs.groupBy("row", "item_id", "of", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("length").alias("length"), F.collect_set("item_at").alias("starts")
-    )
-    best = shift.groupBy("row", "item_id", "of").agg(
-        F.max(F.struct("n", (-F.col("shift")).alias("back"), "length", "starts")).alias("best")
+        F.max("length").alias("length"), F.collect_set("item_at").alias("starts")
     )
-    best = best.join(mine, ["item_id", "of"]).join(values, "row")
-    moved = -F.col("best.back")
+    mine = items.select("item_id", "of", "ours", "template").distinct()
     places = F.filter(
         F.sequence(F.lit(0), F.size("template") - 1),
         lambda i: F.get(F.col("template"), i).isin("#", "@", "&")
-        & F.exists("best.starts", lambda s: (i >= s) & (i < s + F.col("best.length"))),
+        & F.exists("starts", lambda s: (i >= s) & (i < s + F.col("length"))),
     )
-    slots = F.array_distinct(
-        F.transform(
-            places,
-            lambda i: F.struct(
-                F.get(F.col("template"), i).alias("kind"),
-                F.lower(core(F.get(F.col("ours"), i))).alias("our"),
-                F.lower(core(F.get(F.col("theirs"), i + moved))).alias("their"),
-            ),
-        )
+    asked = F.transform(
+        places,
+        lambda i: F.struct(
+            F.get(F.col("template"), i).alias("kind"),
+            F.get(F.col("ours"), i).alias("our"),
+            (i + F.col("shift")).alias("at"),
+        ),
+    )
+    shift = shift.join(mine, ["item_id", "of"]).select("row", "item_id", "of", "shift", "starts", asked.alias("asked"))
+    shift = shift.groupBy("row").agg(F.collect_list(F.struct("item_id", "of", "shift", "starts", "asked")).alias("all"))
+    values = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").distinct()
+    values = values.select("text", F.explode(F.array(F.lit(0), F.lit(1))).alias("form"), "doc_id", "text_hash")
+    values = values.select(F.struct("doc_id", "text_hash", "form").alias("row"), "text")
+    values = shift.join(values.hint("merge"), "row")
+    values = values.select("row", "all", valued(F.col("text"), F.col("row.form")).alias("theirs"))
+    filled = F.transform(
+        "all",
+        lambda one: F.struct(
+            one["item_id"].alias("item_id"),
+            one["of"].alias("of"),
+            one["shift"].alias("shift"),
+            one["starts"].alias("starts"),
+            F.array_distinct(
+                F.transform(
+                    one["asked"],
+                    lambda s: F.struct(
+                        s["kind"].alias("kind"), s["our"].alias("our"), F.get(F.col("theirs"), s["at"]).alias("their")
+                    ),
+                )
+            ).alias("slots"),
+        ),
+    )
+    judged = values.select("row", F.explode(filled).alias("one")).select("row", "one.*")
+    # A window of text met by several windows of the item is read as the one whose neighbours agree.
+    best = judged.withColumn("n", F.size("starts")).groupBy("row", "item_id", "of").agg(
+        F.max_by("slots", F.struct("n", -F.col("shift"))).alias("slots")
     )
-    best = best.select("row", "item_id", "of", slots.alias("slots"))
-    values_of = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["our"])))
-    consistent = F.size(values_of) == F.size("slots")
     changed = F.size(F.filter("slots", lambda s: s["our"] != s["their"])).cast("long")
-    judged = best.filter(consistent).select("row", "item_id", "of", changed.alias("changed_slots"))
+    judged = best.filter(consistent(F.col("slots"))).select("row", "item_id", "of", changed.alias("changed_slots"))
     found = judged.join(cover, ["row", "item_id", "of"])
     return found.groupBy(F.col("row.doc_id").alias("doc_id"), "item_id").agg(
         F.max("coverage").alias("coverage"), F.min("changed_slots").alias("changed_slots")
