@@ -261,6 +261,24 @@ def test_decontamination_of_names_and_case(spark):
             assert bare == [t[0] if t[0] in "#@&" else t for t in valued]
 
 
+def test_decontamination_judges_every_alignment(spark):
+    item = "Take 3 apples and then 3 more apples and give the rest of those 3 apples to him"
+    sibling = "Take 4 apples and then 5 more apples and give the rest of those 6 apples to him"
+    long = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
+    parted = long.split()
+    items = spark.createDataFrame([(1, item), (2, long)], "item_id long, text string")
+    rows = [
+        (1, sibling + ". " + item),
+        (2, item + ". " + sibling),
+        (3, sibling + ". " + sibling),
+        (4, " ".join(parted[:30] + ["added"] + parted[30:])),
+        (5, ". ".join([sibling] * 3 + [item.replace("3", "8")] + [sibling])),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["changed_slots"] for r in decontam.leaks(docs, items).collect()}
+    assert found == {(1, 1): 0, (2, 1): 0, (4, 2): 0, (5, 1): 1}
+
+
 def test_language(spark, nothing):
     known = [("en", "the cat and the dog with this"), ("de", "der hund und die katze nicht"), ("fr", "le chien est avec une autre")]
     rows = [(i, known[i % 3][1] + f" {i}", known[i % 3][0]) for i in range(90)]

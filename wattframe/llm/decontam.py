@@ -132,7 +132,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     cover = met.groupBy("row", "item_id", "of").agg(F.countDistinct("item_at").alias("n"))
     cover = cover.join(total, ["item_id", "of"]).withColumn("coverage", F.col("n") / F.col("total"))
     cover = written(cover.filter(F.col("coverage") >= coverage).drop("n", "total"), "covered")
-    # Slots: the values at the placeholders of each matched window, side by side.
+    # Slots: the values at the placeholders of each matched window, side by side, for every alignment.
     pairs = met.join(cover, ["row", "item_id", "of"], "left_semi")
     shift = pairs.groupBy("row", "item_id", "of", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.max("length").alias("length"), F.collect_set("item_at").alias("starts")
@@ -176,15 +176,44 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
         ),
     )
     judged = values.select("row", F.explode(filled).alias("one")).select("row", "one.*")
-    # A window of text met by several windows of the item is read as the one whose neighbours agree.
-    best = judged.withColumn("n", F.size("starts")).groupBy("row", "item_id", "of").agg(
-        F.max_by("slots", F.struct("n", -F.col("shift"))).alias("slots")
+    judged = written(judged.filter(consistent(F.col("slots"))), "alignments")
+    return passing(judged, total, coverage)
+
+
+def passing(judged: DataFrame, total: DataFrame, coverage: float) -> DataFrame:
+    """Pairs that hold with one alignment and those that agree with it.
+
+    A word put in or left out moves the rest of a copy to another alignment. Each alignment is taken together
+    with the others up to the item's length away, and the one with most windows with all others, where the
+    slots of both are consistent.
+    """
+    one = judged.join(total, ["item_id", "of"])
+    whole = F.lit(-(1 << 62))
+    bucket = F.floor(F.col("shift") / (F.col("total") + WINDOW))
+    rank = F.struct(F.size("starts").alias("n"), (-F.col("shift")).alias("back"))
+    most = one.groupBy("row", "item_id", "of").agg(F.max(rank)["back"].alias("back"))
+    one = one.join(most, ["row", "item_id", "of"])
+    first = F.when(F.col("shift") == -F.col("back"), F.array(bucket, whole)).otherwise(F.array(bucket))
+    leader = one.select(
+        "row", "item_id", "of", "total", "shift", F.col("slots").alias("known"), F.explode(first).alias("key")
+    )
+    others = one.select(
+        "row", "item_id", "of", "starts", "slots",
+        F.explode(F.array(bucket - 1, bucket, bucket + 1, whole)).alias("key"),
+    )
+    both = leader.join(others, ["row", "item_id", "of", "key"])
+    both = both.filter(consistent(F.array_distinct(F.concat("known", "slots"))))
+    both = both.groupBy("row", "item_id", "of", "shift", "total").agg(
+        F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"),
+        F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"),
+    )
+    changed = F.size(F.array_distinct(F.filter("slots", lambda s: s["our"] != s["their"]))).cast("long")
+    both = both.select("row", "item_id", (F.size("starts") / F.col("total")).alias("coverage"), changed.alias("n"))
+    best = both.filter(F.col("coverage") >= coverage).groupBy(F.col("row.doc_id").alias("doc_id"), "item_id").agg(
+        F.max(F.struct("coverage", (-F.col("n")).alias("back"))).alias("best")
     )
-    changed = F.size(F.filter("slots", lambda s: s["our"] != s["their"])).cast("long")
-    judged = best.filter(consistent(F.col("slots"))).select("row", "item_id", "of", changed.alias("changed_slots"))
-    found = judged.join(cover, ["row", "item_id", "of"])
-    return found.groupBy(F.col("row.doc_id").alias("doc_id"), "item_id").agg(
-        F.max("coverage").alias("coverage"), F.min("changed_slots").alias("changed_slots")
+    return best.select(
+        "doc_id", "item_id", F.col("best.coverage").alias("coverage"), (-F.col("best.back")).alias("changed_slots")
     )
 
 
