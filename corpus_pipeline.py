@@ -19,8 +19,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return ngrams.one_of_each(docs)
+    """One document of each group of near copies stays: 5-word shingles, 0.8 of them in common."""
+    return ngrams.one_of_each(docs, length=5, near=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -136,6 +136,38 @@ def test_ngram_components(docs, nothing):
     assert stay == {i for i, p in enumerate(parent) if i == p}
 
 
+def test_ngram_components_of_other_lengths_and_thresholds(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(200)]
+    data = [base]
+    for changes in range(1, 8):  # around 0.8 of 5-word shingles
+        data.append([f"x{i}" if i in range(10, 10 + 11 * changes, 11) else w for i, w in enumerate(base)])
+    for size in (3, 4, 5, 6, 9, 40, 41, 44, 45, 46, 50, 51):
+        data.append([f"y{i}" for i in range(size)])
+    data.append([])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(data)], "doc_id long, text string")
+
+    def brute(length, near):
+        sets = [{tuple(w[i : i + length]) for i in range(max(1, len(w) - length + 1))} if w else set() for w in data]
+        parent = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                if sets[i] and 100 * len(sets[i] & sets[j]) >= near * len(sets[i] | sets[j]):
+                    a, b = sorted((parent[i], parent[j]))
+                    parent = [a if p == b else p for p in parent]
+        return {(i, len(s), parent[i]) for i, s in enumerate(sets)}
+
+    assert brute(5, 80) != brute(4, 85)
+    assert {tuple(r) for r in ngrams.jaccard_components(df, 5, 80).collect()} == brute(5, 80)
+    stay = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, df, "").collect()}
+    assert stay == {i for i, _, c in brute(5, 80) if i == c}
+    for size in (1, 6, 14, 333, 5000):
+        bands = {ngrams.band(s, 80)[0] for s in range((size * 80 + 99) // 100, size * 100 // 80 + 1)}
+        assert max(bands) - min(bands) <= 2
+        assert all(1 <= needed <= segments for _, segments, needed in ngrams.schemes(size, 80))
+
+
 @pytest.mark.parametrize("size", [1, 6, 7, 13, 14, 40, 333, 5000])
 def test_schemes_pay_for_every_difference(size):
     bands = {ngrams.band(s)[0] for s in range((size * 85 + 99) // 100, size * 100 // 85 + 1)}

@@ -1,7 +1,7 @@
-"""Jaccard join of documents on word 4-grams, by partitioning the universe of tokens.
+"""Jaccard join of documents on word n-grams, by partitioning the universe of tokens.
 
 A document's tokens are its distinct shingles. Two sets of sizes r and s can only reach the threshold if
-they differ in at most H = 15 (r + s) / 185 tokens. Sizes are cut into bands, and each band has its
+they differ in at most H = 15 (r + s) / 185 tokens (with 85 of 100, op8's; other values are arguments). Sizes are cut into bands, and each band has its
 scheme: a hash deals all possible tokens into m = H + 1 segments, H for the largest sizes of the band.
 Sets that differ in at most H tokens agree on a whole segment. A document goes to the scheme of its own
 band and to that of the next, so that any two sizes that can reach the threshold meet.
@@ -36,7 +36,7 @@ from wattframe.llm.common import join_groups, ship, written
 from wattframe.llm.components import components
 from wattframe.llm.hashing import LOWER, STEP, U, mix, window_hashes, word_hashes
 
-#: Similarity, as a fraction, and words to a shingle.
+#: Similarity, as a fraction, and words to a shingle, where no others are given.
 NEAR, OF = 85, 100
 WORDS = 4
 #: A document that no number of leading segments pays for.
@@ -45,38 +45,38 @@ UNPAID = 1 << 20
 CELLS = 32
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Hashes of the distinct 4-word shingles; fewer words count as one shingle."""
+def shingles(text: str | None, length: int = WORDS) -> np.ndarray:
+    """Hashes of the distinct shingles; fewer words count as one shingle."""
     words = word_hashes((text or "").encode().translate(LOWER))
     if not len(words):
         return words
-    return np.unique(window_hashes(words, min(WORDS, len(words))))
+    return np.unique(window_hashes(words, min(length, len(words))))
 
 
 @lru_cache(maxsize=1 << 16)
-def band(size: int) -> tuple[int, int, int]:
+def band(size: int, near: int = NEAR) -> tuple[int, int, int]:
     """(number, first size, last size) of the band of a size."""
     k, low = 0, 1
     while True:
-        high = max(low, (low - 1) * OF // NEAR)
+        high = max(low, (low - 1) * OF // near)
         if size <= high:
             return k, low, high
         k, low = k + 1, high + 1
 
 
-def most_different(r: int, s: int) -> int:
+def most_different(r: int, s: int, near: int = NEAR) -> int:
     """Largest symmetric difference of sets of these sizes that reach the threshold."""
-    return (OF - NEAR) * (r + s) // (OF + NEAR)
+    return (OF - near) * (r + s) // (OF + near)
 
 
-def schemes(size: int) -> Iterator[tuple[int, int, int]]:
+def schemes(size: int, near: int = NEAR) -> Iterator[tuple[int, int, int]]:
     """(scheme, segments, votes needed) of a document."""
-    k, _, high = band(size)
-    partner = size * OF // NEAR
-    yield k, most_different(high, high) + 1, most_different(size, min(partner, high)) + 1
+    k, _, high = band(size, near)
+    partner = size * OF // near
+    yield k, most_different(high, high, near) + 1, most_different(size, min(partner, high), near) + 1
     if partner > high:
-        k, _, high = band(high + 1)
-        yield k, most_different(high, high) + 1, most_different(size, min(partner, high)) + 1
+        k, _, high = band(high + 1, near)
+        yield k, most_different(high, high, near) + 1, most_different(size, min(partner, high), near) + 1
 
 
 class Segments:
@@ -122,7 +122,7 @@ def set_id(tokens: np.ndarray) -> int:
     return int(total.view(np.int64)[0])
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, length: int, near: int) -> DataFrame:
     """doc_id, n_shingles, sid (names the set), and what the document asks of its schemes."""
     kind = pa.schema(
         [
@@ -137,10 +137,10 @@ def classes(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                tokens = shingles(text.as_py())
+                tokens = shingles(text.as_py(), length)
                 asks = []
                 if len(tokens):
-                    for scheme, m, needed in schemes(len(tokens)):
+                    for scheme, m, needed in schemes(len(tokens), near):
                         leading = Segments(tokens, scheme, m).leading(needed)
                         if leading:
                             asks.append({"scheme": scheme, "leading": leading})
@@ -158,7 +158,7 @@ def classes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(count, names)
 
 
-def keys(docs: DataFrame, leading: dict[int, int]) -> DataFrame:
+def keys(docs: DataFrame, leading: dict[int, int], length: int, near: int) -> DataFrame:
     """(key, sid, whole) of every set; a task emits each set once."""
     kind = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("whole", pa.bool_())])
 
@@ -167,11 +167,11 @@ def keys(docs: DataFrame, leading: dict[int, int]) -> DataFrame:
         for batch in batches:
             found, ids, whole, n = [], [], [], 0
             for text in batch.column("text"):
-                tokens = shingles(text.as_py())
+                tokens = shingles(text.as_py(), length)
                 if not len(tokens) or (sid := set_id(tokens)) in seen:
                     continue
                 seen.add(sid)
-                for scheme, m, _ in schemes(len(tokens)):
+                for scheme, m, _ in schemes(len(tokens), near):
                     parts = Segments(tokens, scheme, m).keys(leading.get(scheme, 0))
                     for part, is_whole in zip(parts, (True, False)):
                         found.append(part)
@@ -191,7 +191,7 @@ def keys(docs: DataFrame, leading: dict[int, int]) -> DataFrame:
     return docs.select("text").mapInArrow(emit, "key long, sid long, whole boolean")
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, length: int) -> DataFrame:
     """(sid, n, sketch, tokens): the sorted tokens as bytes, their number, and how many fall into each of
     ``CELLS`` cells."""
     kind = pa.schema(
@@ -202,7 +202,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.column("text"):
-                tokens = shingles(text.as_py())
+                tokens = shingles(text.as_py(), length)
                 if len(tokens):
                     cells = np.bincount((mix(tokens) % U(CELLS)).astype(np.int64), minlength=CELLS)
                     row = {"sid": set_id(tokens), "n": len(tokens), "sketch": cells.tolist()}
@@ -212,7 +212,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(pack, "sid long, n int, sketch array<int>, tokens binary")
 
 
-def may_be_near(one: str, two: str):
+def may_be_near(one: str, two: str, near: int):
     """Whether two sketches leave room for the threshold: sets differ by at least as much as their cells."""
     apart = F.aggregate(
         F.zip_with(f"{one}.sketch", f"{two}.sketch", lambda x, y: F.abs(x - y)),
@@ -220,17 +220,17 @@ def may_be_near(one: str, two: str):
         lambda total, x: total + x,
     )
     both = F.col(f"{one}.n") + F.col(f"{two}.n")
-    return (OF + NEAR) * F.abs(F.col(f"{one}.n") - F.col(f"{two}.n")) <= (OF - NEAR) * both, (
-        (OF + NEAR) * apart <= (OF - NEAR) * both
+    return (OF + near) * F.abs(F.col(f"{one}.n") - F.col(f"{two}.n")) <= (OF - near) * both, (
+        (OF + near) * apart <= (OF - near) * both
     )
 
 
-def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def near_pairs(pairs: DataFrame, sets: DataFrame, near: int) -> DataFrame:
     """Those pairs (a, b) of sets whose similarity reaches the threshold; sketches rule out most others."""
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     short = sets.select("sid", "n", "sketch")
     one, two = short.alias("one"), short.alias("two")
-    near_sizes, near_cells = may_be_near("one", "two")
+    near_sizes, near_cells = may_be_near("one", "two", near)
     pairs = (
         pairs.join(one, F.col("a") == F.col("one.sid"))
         .join(two, (F.col("b") == F.col("two.sid")) & near_sizes & near_cells)
@@ -248,7 +248,7 @@ def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 place = np.searchsorted(large, small)
                 place[place == len(large)] = 0
                 common = int((large[place] == small).sum())
-                good.append(OF * common >= NEAR * (len(r) + len(s) - common))
+                good.append(OF * common >= near * (len(r) + len(s) - common))
             mask = pa.array(good, pa.bool_())
             rows = batch.select(["a", "b"]).filter(mask)
             yield pa.RecordBatch.from_arrays(rows.columns, schema=kind)
@@ -259,11 +259,11 @@ def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(verify, "a long, b long")
 
 
-def near_classes(docs: DataFrame, members: DataFrame) -> DataFrame:
+def near_classes(docs: DataFrame, members: DataFrame, length: int, near: int) -> DataFrame:
     """(id, label) of every class that has a near one: the smallest class id in its component."""
     asked = members.select(F.explode("asks").alias("ask")).groupBy("ask.scheme")
     leading = {r[0]: r[1] for r in asked.agg(F.max("ask.leading")).collect()}  # a row per band
-    emitted = keys(docs, leading).repartition("key")
+    emitted = keys(docs, leading, length, near).repartition("key")
     same = Window.partitionBy("key")
     shared = (F.min("sid").over(same) != F.max("sid").over(same)) & F.max("whole").over(same)
     live = emitted.withColumn("shared", shared).filter("shared").drop("shared").distinct()
@@ -280,8 +280,8 @@ def near_classes(docs: DataFrame, members: DataFrame) -> DataFrame:
     reps = members.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(weight, "sid", "left_semi")
     reps = reps.select("doc_id").distinct().hint("merge")
     texts = docs.select("doc_id", "text").join(reps, "doc_id", "left_semi")
-    sets = written(sets_of(texts).dropDuplicates(["sid"]), "sets")
-    links = written(near_pairs(to_hub, sets), "near")
+    sets = written(sets_of(texts, length).dropDuplicates(["sid"]), "sets")
+    links = written(near_pairs(to_hub, sets, near), "near")
     labels = components(links)
     # What the hubs did not connect: all pairs of different components that share a key.
     marked = live.join(labels.withColumnRenamed("id", "sid"), "sid", "left").select(
@@ -294,7 +294,7 @@ def near_classes(docs: DataFrame, members: DataFrame) -> DataFrame:
     rest = join_groups(marked, open_keys, ["key"], "n", total).drop("n")
     rest = written(rest.join(sets.select("sid", "n", "sketch"), "sid"), "open")
     left, right = rest.alias("l"), rest.alias("r")
-    near_sizes, near_cells = may_be_near("l", "r")
+    near_sizes, near_cells = may_be_near("l", "r", near)
     pairs = left.join(
         right,
         (F.col("l.key") == F.col("r.key"))
@@ -306,24 +306,25 @@ def near_classes(docs: DataFrame, members: DataFrame) -> DataFrame:
     )
     pairs = pairs.select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
     tried = to_hub.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = near_pairs(pairs.join(tried, ["a", "b"], "left_anti"), sets)
+    more = near_pairs(pairs.join(tried, ["a", "b"], "left_anti"), sets, near)
     more = written(more, "near")
     if more.isEmpty():
         return labels
     return components(links.unionByName(more))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, length: int = WORDS, near: int = NEAR) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
+    Shingles have ``length`` words, and sets are near with a similarity of ``near`` of 100 or more.
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased. Documents without words, or with
     a null text, have no shingles and are linked with nothing. Equal sets are linked. The component's id
     is the smallest doc_id reached; null ids are named only by a component that has no other. Rows that
     repeat an id are told apart by their texts. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    members = written(classes(docs), "classes")
-    labels = near_classes(docs, members)
+    members = written(classes(docs, length, near), "classes")
+    labels = near_classes(docs, members, length, near)
     size = members.filter("sid IS NOT NULL").groupBy("sid").agg(
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")
     )
@@ -341,11 +342,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, length: int = WORDS, near: int = NEAR) -> DataFrame:
     """Pipeline stage: of each component, the document with the smallest id stays, with all its columns.
 
     Documents without an id stay, since the rule cannot name them.
     """
-    found = jaccard_components(docs)
+    found = jaccard_components(docs, length, near)
     gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
