@@ -103,6 +103,37 @@ def test_substrings(docs, nothing):
     assert substrings.substring_removal(nothing).collect() == []
 
 
+def test_substrings_of_a_crowded_core(spark, monkeypatch):
+    draw = random.Random(9)
+    letters = lambda n: "".join(draw.choice("abcdefgh") for _ in range(n))
+    passage = letters(400)
+    data = [letters(260) + passage + letters(260) for _ in range(40)]
+    data += [data[0][:250] + letters(50), data[1][240:] + data[0]]
+    fit = 5
+    monkeypatch.setattr(substrings, "SHARD", fit * (substrings.WINDOW + substrings.OFFSETS))
+    sort, most = substrings.sorted_repeats, []
+
+    def spied(docs, ranges, count):
+        most.append(max([r["count"] for r in ranges.groupBy("core").count().collect()], default=0))
+        return sort(docs, ranges, count)
+
+    monkeypatch.setattr(substrings, "sorted_repeats", spied)
+    seen = {}
+    for t in data:
+        for k in range(len(t) - 199):
+            seen[t[k : k + 200]] = seen.get(t[k : k + 200], 0) + 1
+    want = {}
+    for i, t in enumerate(data):
+        gone = [False] * len(t)
+        for k in range(len(t) - 199):
+            if seen[t[k : k + 200]] > 1:
+                gone[k : k + 200] = [True] * 200
+        want[i] = "".join(x for x, g in zip(t, gone) if not g).encode()
+    docs = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    assert {r["doc_id"]: bytes(r["kept"]) for r in substrings.remove_substrings(docs).collect()} == want
+    assert most[0] <= fit
+
+
 def test_passages(docs, nothing):
     first, want = {}, set()
     for i, t in enumerate(texts()):

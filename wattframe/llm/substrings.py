@@ -8,6 +8,8 @@ Suffixes are sorted by external induction (see ``induced``), in shards so made t
 - The others are cut into pieces by the owner's offset. The windows of a piece share a core of bytes, and
   equal windows have equal cores. Pieces are dealt to shards by core, so an owner that much text has is
   spread over as many shards as it has different surroundings. Of equal pieces, again one goes on.
+- A core that alone has more pieces than fit a shard, as where a passage of many documents begins or ends, is
+  not sorted in one: its pieces are cut into single windows, and equal ones are counted.
 - Each shard sorts the suffixes of its pieces; neighbours with a common prefix of 200 bytes repeat.
 """
 
@@ -205,12 +207,45 @@ def one_of_equal(found: DataFrame, key: str, name: str) -> tuple[DataFrame, Data
     return one_kind.unionByName(alike.select("row", "low", "high")), kinds.select(key, "one.*")
 
 
+def split_cores(kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pieces of cores that have at most as many as fit a shard, and those of the others."""
+    sizes = written(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("n")), "core-sizes")
+    sized = written(join_groups(kinds, sizes, ["core"], "n", kinds.count()), "sized")
+    fits = F.col("n") <= SHARD // (WINDOW + OFFSETS)
+    return sized.filter(fits).drop("n"), sized.filter(~fits).drop("n")
+
+
+def counted_windows(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(row, low, high): those windows of the ranges that stand in them more than once."""
+    kind = pa.schema([("window", pa.int64()), ("row", pa.int64()), ("low", pa.int32())])
+
+    def cut(batches):
+        for batch in batches:
+            cells = zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("ranges"))
+            for row, text, some in cells:
+                hashes = window_hashes(values(text.as_py()), WINDOW)
+                low, high = (some.values.field(c).to_numpy() for c in ("low", "high"))
+                usable = high - low + 1
+                at = np.repeat(low - np.append(0, np.cumsum(usable)[:-1]), usable) + np.arange(usable.sum())
+                yield _rows(
+                    kind, w=hashes[at].view(np.int64), r=np.full(len(at), row, np.int64), l=at.astype(np.int32)
+                )
+
+    found = with_ranges(docs, ranges).mapInArrow(lambda batches: gathered(cut(batches)), "window long, row long, low int")
+    found = written(found, "cut-windows")
+    keys = found.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = join_groups(found, written(keys, "window-keys"), ["window"], "n", found.count())
+    return again.select("row", "low", F.col("low").alias("high"))
+
+
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(row, low, high): windows that also start anywhere else."""
     whole, kinds = one_of_equal(written(stretches(docs), "stretches"), "owner", "stretch")
     cut = written(pieces(docs, kinds.drop("owner")), "pieces")
     parts, kinds = one_of_equal(cut, "core", "piece")
+    kinds, crowded = split_cores(written(kinds, "kinds"))
     windows = written(sorted_repeats(docs, kinds, kinds.count()), "windows")
+    windows = windows.unionByName(written(counted_windows(docs, crowded), "counted"))
     return whole.unionByName(parts).unionByName(windows)
 
 
