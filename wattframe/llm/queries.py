@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattframe.llm import bpe, decontam, exact, langid, lines, ngrams, passages, substrings, toxicity, warc
+from wattframe.llm import (
+    bpe,
+    codes,
+    decontam,
+    exact,
+    langid,
+    lines,
+    negatives,
+    ngrams,
+    packing,
+    passages,
+    substrings,
+    toxicity,
+    warc,
+)
 from wattframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +84,24 @@ def op10_toxicity(spark, folder):
 @query
 def op2_substrings(spark, folder):
     return substrings.substring_removal(table(spark, folder, "documents"))
+
+
+@query
+def op11_negatives(spark, folder):
+    return negatives.mine(table(spark, folder, "embeddings"))
+
+
+ORACLE["op11_negatives"] = negatives.SQL
+
+
+@query
+def op12_codes(spark, folder):
+    return codes.compress(table(spark, folder, "embeddings"))
+
+
+ORACLE["op12_codes"] = codes.SQL
+
+
+@query
+def op13_packing(spark, folder):
+    return packing.pack(table(spark, folder, "documents"))
