@@ -4,8 +4,8 @@ Documents are encoded and cut into pieces inside the tasks that read them. Piece
 their number and not by length or id, to partitions of bounded size. Each partition is packed by
 best-fit decreasing, and dual-feasible functions of its lengths give a number of sequences that no
 packing can go below. Where that number is reached, the partition is certified. Partitions with a gap
-give up every sequence that has room left; certified ones give up the few that have much room, which
-other partitions may fill. The documents given up are dealt anew to fewer and larger partitions (up to
+give up every sequence that has room left; certified ones give up the emptiest, as many as hold most of
+their room, which other partitions may fill. The documents given up are dealt anew to fewer and larger partitions (up to
 ``LARGER`` times the size) and packed again, until the bound of all pieces together is reached, or a
 round saves nothing at the largest size.
 """
@@ -33,8 +33,8 @@ CAPACITY = 4096
 END = 1
 #: Pieces that a partition packs, on average.
 GROUP = 20_000
-#: Certified partitions give up sequences with more room than this part of the capacity.
-ROOM = 16
+#: Certified partitions keep sequences with at most this part of all their room, the fullest ones.
+ROOM = 1 / 16
 #: How many times larger partitions get, each round twice the one before.
 LARGER = 16
 #: Rounds of exchange at most; a packing is whole after each.
@@ -254,7 +254,11 @@ def pack_group(rows: pa.Table, number: int, turn: int, capacity: int) -> pa.Tabl
     lengths = rows.column("length").to_numpy()
     bins, places, fills = best_fit_decreasing(lengths, capacity)
     certified = len(fills) == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-    given = capacity - fills > (capacity // ROOM if certified else 0)
+    room = capacity - fills
+    given = room > 0
+    if certified:
+        fullest = np.argsort(room, kind="stable")
+        given[fullest[np.cumsum(room[fullest]) <= ROOM * room.sum()]] = False
     first = (turn << 56) + (number << 24)
     return (
         rows.drop_columns(["_group"])
