@@ -6,9 +6,10 @@ window over the whole series: both differ from the way the library does it.
 
 from __future__ import annotations
 
-from wattframe.catalog.queries import FIXTURE_MAP, GRID, STUDY_CODES
+from wattframe.catalog.queries import FIXTURE_MAP, GRID, SIMULATED, STUDY_CODES, STUDY_PLACE
+from wattframe.operators.results import VARIABLES
 from wattframe.plans import comparison
-from wattframe.plans.categories import MODELS, SCENARIOS
+from wattframe.plans.categories import MODELS, SCENARIOS, TYPICAL_DAYS
 from wattframe.plans.sweep import STUDY
 
 ORACLE: dict[str, str] = {}
@@ -361,7 +362,7 @@ def _overview(name: str, e: str) -> str:
 ORACLE["observed_overview"] = f"WITH {CAPACITY_STATS}\n" + "\nUNION ALL\n".join(
     _overview(name, e) for name, e in _OVERVIEW.items()
 )
-ORACLE["implied_capacity"] = f"""
+ORACLE["implied_capacity"] = ORACLE["implied_from_stats"] = f"""
 WITH {CAPACITY_STATS}, {normalised('country, year')},
 sums AS (
   SELECT country, year, 'Wind' AS technology, sum("Wind") AS g FROM normalised GROUP BY 1, 2
@@ -526,6 +527,37 @@ ORACLE["write_results"] = f"""
 WITH {DISPATCH} SELECT country, scenario_id, {DATE}, {rs([*AMOUNTS, *ATTRIBUTES])} FROM solved
 """
 
+MIXED = f"""{EVENTS},
+mixed AS (
+  SELECT country, "dateTime",
+    coalesce(demand, 0) - 2 * CASE WHEN country = 'SOUTH' THEN coalesce("windOffshore", 0) ELSE 0 END AS demand,
+    coalesce("windOnshore", 0) - coalesce(solar, 0) AS "windOnshore"
+  FROM hourly_events),
+{dispatched('mixed', GRID)},
+reasons AS (
+  SELECT country, scenario_id, {', '.join(f'max("{c}") AS "{c}"' for c in ATTRIBUTES)},
+    concat_ws(', ', CASE WHEN min(dem) < 0 THEN 'negative demand' END,
+      CASE WHEN min(pot_n) < 0 THEN 'negative nuclear potential' END,
+      CASE WHEN min(pot_r) < 0 THEN 'negative renewable potential' END,
+      CASE WHEN min(size) < 0 THEN 'negative storage size' END) AS reason
+  FROM cells GROUP BY country, scenario_id),
+feasible AS (
+  SELECT solved.* FROM solved JOIN reasons USING (country, scenario_id) WHERE reason = '')
+"""
+ORACLE["rejected_scenarios"] = f"""
+WITH {MIXED} SELECT country, scenario_id, {rs(ATTRIBUTES)}, reason FROM reasons WHERE reason <> ''
+"""
+ORACLE["feasible_totals"] = f"WITH {MIXED}, {summed('feasible')} SELECT {TOTALS} FROM summed"
+_FIRST, _LAST = (SIMULATED[k].replace("/", "-") for k in ("start", "end"))
+ORACLE["simulated"] = ORACLE["resumed_sweep"] = f"""
+WITH {EVENTS},
+chosen AS (
+  SELECT * FROM hourly_events WHERE country = '{SIMULATED["country"]}'
+    AND "dateTime" BETWEEN TIMESTAMP '{_FIRST}:00' AND TIMESTAMP '{_LAST}:00'),
+{dispatched('chosen', GRID)}
+SELECT country, scenario_id, {DATE}, {rs([*AMOUNTS, *ATTRIBUTES])} FROM solved
+"""
+
 # ---- scenario results
 
 FLAGGED = """
@@ -576,16 +608,24 @@ FROM costs
 """
 
 
-def _cell(share: str) -> str:
-    return r(f"avg(cost) FILTER (WHERE abs(share_renewable - {share}) < 1e-9)", f"{float(share) * 100:.10g}", 4)
+def _cell(share: str, variable: str) -> str:
+    return r(
+        f'avg("{variable}") FILTER (WHERE abs(share_renewable - {share}) < 1e-9)', f"{float(share) * 100:.10g}", 4
+    )
 
 
-ORACLE["heatmap_pivot"] = f"""
+def heatmap(variable: str) -> str:
+    return f"""
 WITH {COSTS}
 SELECT country, {r('share_storage * 100', 'storagePercent', 4)},
-  {', '.join(_cell(s) for s in GRID['share_renewable'])}
+  {', '.join(_cell(s, variable) for s in GRID['share_renewable'])}
 FROM costs GROUP BY country, share_storage
 """
+
+
+ORACLE["heatmap_pivot"] = heatmap("cost")
+for _variable in VARIABLES[1:]:
+    ORACLE[f"heatmap_{_variable}"] = heatmap(_variable)
 ORACLE["count_per_storage"] = f"""
 WITH {ANNUAL}
 SELECT country, {rs(['share_storage'])}, count(share_renewable) AS n FROM annual
@@ -708,8 +748,64 @@ WITH {STUDY_RESULTS} {_SCATTER}
 WHERE variable = 'electricity_supply' AND technology = 'total' GROUP BY model, scenario
 """
 
+ORACLE["checked_csv"] = f"""
+WITH {MODEL_RESULTS}
+SELECT model, scenario, variable, technology, year, {rs(['value'])} FROM model_results
+WHERE NOT (technology = 'total' AND model = 'M1') AND NOT (model = 'M2' AND year = '1996')
+"""
+ORACLE["bad_csv_cells"] = f"""
+WITH {MODEL_RESULTS}
+SELECT 'value' AS "column", count(*) AS n FROM model_results WHERE technology = 'total' AND model = 'M1'
+UNION ALL SELECT 'line', count(*) FROM model_results WHERE model = 'M2' AND year = '1996'
+"""
+
+
+def _rows(rows) -> str:
+    return ", ".join("(" + ", ".join(repr(c) for c in row) + ")" for row in rows)
+
+
+_NAMED = [(i, m, n, *TYPICAL_DAYS[m]) for i, (m, n) in enumerate(MODELS.items())]
+ORACLE["named_results"] = f"""
+WITH {STUDY_RESULTS},
+models AS (
+  SELECT * FROM (VALUES {_rows(_NAMED)})
+    AS t("modelPosition", model, name, summer, "summerDay", winter, "winterDay")),
+places AS (SELECT * FROM (VALUES {_rows(enumerate(SCENARIOS))}) AS t("scenarioPosition", scenario)),
+points AS (
+  {_SCATTER} WHERE variable = 'electricity_supply' AND technology = 'total' GROUP BY model, scenario)
+SELECT model, scenario, value, "modelMean", CAST("modelPosition" AS INTEGER) AS "modelPosition", name, summer,
+  "summerDay", winter, "winterDay", CAST("scenarioPosition" AS INTEGER) AS "scenarioPosition"
+FROM points LEFT JOIN models USING (model) LEFT JOIN places USING (scenario)
+"""
+
 # Stored tables give what the tables they were written from give.
 ORACLE["stored_country_period"] = ORACLE["scan_country_period"]
 ORACLE["stored_capacity_stats"] = ORACLE["capacity_stats"]
 ORACLE["stored_hourly_results"] = ORACLE["hourly_results"]
 ORACLE["stored_annual_results"] = ORACLE["annual_results"]
+ORACLE["stored_hour_scan"] = ORACLE["scan_country_period"]
+ORACLE["stored_interleaved_results"] = ORACLE["hourly_results"]
+ORACLE["stored_circular_lag"] = ORACLE["circular_lag"]
+ORACLE["stored_normalize_to_total"] = ORACLE["normalize_to_total"]
+ORACLE["stored_sweep_totals"] = ORACLE["sweep_totals"]
+ORACLE["stored_union"] = ORACLE["union_scenarios"]
+
+# The studies give, for their place and year, what the single queries give.
+_PLACE = f"country = '{STUDY_PLACE['country']}' AND year = {STUDY_PLACE['year']}"
+for _table, _same in (
+    ("capacity", "capacity_stats"),
+    ("overview", "observed_overview"),
+    ("implied", "implied_from_stats"),
+    ("statistics", "storage_stats_by_year"),
+    ("daily", "resample_days_percent"),
+    ("profiles", "stacked_profile"),
+):
+    ORACLE[f"profile_study_{_table}"] = f"SELECT * FROM ({ORACLE[_same]}) WHERE {_PLACE}"
+ORACLE["profile_study_hourly"] = f"""
+WITH {YEAR_BALANCE}
+SELECT country, year, {TIME}, {rs([*SHARED, 'TotalSupply', 'ExcessSupply', 'ExcessDemand'])}
+FROM balance WHERE {_PLACE}
+"""
+ORACLE["result_study_annual"] = ORACLE["annual_results"]
+ORACLE["result_study_cost"] = ORACLE["scenario_cost"]
+ORACLE["result_study_heatmap"] = ORACLE["heatmap_curtailRenewablePercent"]

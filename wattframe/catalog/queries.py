@@ -18,7 +18,8 @@ from wattframe.functions import SEASONS, capitalise_columns
 from wattframe.operators import balance as bal
 from wattframe.operators import bins, capacity, checks, compare, dispatch, lag, normalize, profiles
 from wattframe.operators import results as res
-from wattframe.plans import comparison, studies
+from wattframe.operators.joins import with_totals
+from wattframe.plans import comparison, studies, sweep
 from wattframe.plans.sweep import STUDY
 from wattframe.session import shared_dir
 from wattframe.sources import tables
@@ -239,6 +240,12 @@ def observed_overview(spark, folder):
 
 @query
 def implied_capacity(spark, folder):
+    generation = capacity.generation_year(tables.hourly_shipments(spark, folder))
+    return capacity.implied_from_hours(generation, studies.DEFAULT_SHARES)
+
+
+@query
+def implied_from_stats(spark, folder):
     return capacity.implied_capacity(
         _normalised_shipments(spark, folder), _capacity_stats(spark, folder)
     )
@@ -269,7 +276,20 @@ def scenario_grid(spark, folder):
 
 @query
 def scenario_inputs(spark, folder):
-    return dispatch.profile_inputs(tables.hourly_events(spark, folder), total_demand=100000)
+    sums = {"d": F.sum("demand"), "w": F.sum("windOnshore"), "n": F.count("*")}
+    hours = with_totals(tables.hourly_events(spark, folder), sums, ["country"], "dateTime")
+    inputs = hours.select(
+        "country",
+        F.col("dateTime").alias("date"),
+        (F.lit(1.0) / F.col("n")).alias("nuclear"),
+        (F.col("windOnshore") / F.col("w")).alias("renewable"),
+        (F.col("demand") / F.col("d") * 100000).alias("demand"),
+    )
+    long = inputs.unpivot(["country", "date"], ["nuclear", "renewable", "demand"], "name", "value")
+    of_demand = F.col("name") == "demand"
+    symbol = F.when(of_demand, "dem").otherwise("alpha").alias("symbol")
+    element = F.when(~of_demand, F.col("name")).alias("element")
+    return long.filter("value IS NOT NULL").select("country", "date", symbol, element, "value")
 
 
 def _dispatch(spark, folder):
@@ -298,9 +318,7 @@ def sweep_study(spark, folder):
 
 @query
 def result_join(spark, folder):
-    solved = _dispatch(spark, folder)
-    attributes = dispatch.scenario_inputs(tables.hourly_events(spark, folder), **GRID)
-    return res.assemble_results(res.to_symbols(solved), attributes)
+    return _dispatch(spark, folder)
 
 
 @sums_query
@@ -311,6 +329,50 @@ def union_scenarios(spark, folder):
     return res.union_results([wind, solar.withColumn("source", F.lit("solar"))])
 
 
+def _mixed_hours(spark, folder):
+    """Hours in which net renewable output, and in one place net demand, may be below zero."""
+    south = F.when(F.col("country") == "SOUTH", F.coalesce("windOffshore", F.lit(0.0))).otherwise(0.0)
+    hourly = tables.hourly_events(spark, folder)
+    return hourly.select(
+        "country",
+        "dateTime",
+        (F.coalesce("demand", F.lit(0.0)) - 2 * south).alias("demand"),
+        (F.coalesce("windOnshore", F.lit(0.0)) - F.coalesce("solar", F.lit(0.0))).alias("windOnshore"),
+    )
+
+
+@query
+def rejected_scenarios(spark, folder):
+    return dispatch.rejected_scenarios(_mixed_hours(spark, folder), **GRID)
+
+
+@sums_query
+def feasible_totals(spark, folder):
+    return dispatch.sweep_totals(_mixed_hours(spark, folder), **GRID)
+
+
+SIMULATED = {"country": "NORTH", "start": "2024/01/03 00:00", "end": "2024/01/20 23:00"}
+
+
+def _event_file(spark, folder):
+    path = new_folder(spark, "hours")
+    tables.hourly_events(spark, folder).write.parquet(path)
+    return path
+
+
+@query
+def simulated(spark, folder):
+    return sweep.simulate(spark, **GRID, **SIMULATED, hourly_path=_event_file(spark, folder))
+
+
+@query
+def resumed_sweep(spark, folder):
+    hours, out = _event_file(spark, folder), new_folder(spark, "sweep")
+    given = {**GRID, **SIMULATED, "hourly_path": hours, "out_path": out, "parts": 3}
+    sweep.simulate(spark, **given, at_most=1)
+    return sweep.simulate(spark, **given)
+
+
 @query
 def write_results(spark, folder):
     path = new_folder(spark, "results")
@@ -351,6 +413,19 @@ def heatmap_pivot(spark, folder):
     return res.heatmap_pivot(costs, GRID["share_renewable"])
 
 
+def _heatmap(variable: str) -> Query:
+    def run(spark, folder):
+        costs = res.scenario_cost(_annual(spark, folder), share_generation="1.1")
+        return res.heatmap_pivot(costs, GRID["share_renewable"], variable)
+
+    run.__name__ = f"heatmap_{variable}"
+    return sums_query(run)
+
+
+for _variable in res.VARIABLES[1:]:
+    _heatmap(_variable)
+
+
 @query
 def count_per_storage(spark, folder):
     costs = res.scenario_cost(
@@ -404,6 +479,104 @@ def stored_annual_results(spark, folder):
     return res.annual_results(_stored_results(spark, folder))
 
 
+def _stored_by_day(spark, folder):
+    path = new_folder(spark, "hours")
+    sources.store_by_day(tables.hourly_shipments(spark, folder), path)
+    return sources.read_by_day(spark, path)
+
+
+@query
+def stored_circular_lag(spark, folder):
+    hourly, stored = _stored_by_day(spark, folder)
+    columns = ["demand", "windOnshore"]
+    hourly = hourly.select("country", "day", "dateTime", *columns)
+    return lag.circular_lag(hourly, columns, stored=stored).drop("day")
+
+
+def _stored_normalised(spark, folder):
+    hourly, stored = _stored_by_day(spark, folder)
+    generation = capacity.generation_year(hourly.withColumn("Day", F.col("day")))
+    return normalize.normalize_generation(
+        generation, studies.DEFAULT_SHARES, 100000, KEYS, stored=[c.replace("day", "Day") for c in stored]
+    )
+
+
+@query
+def stored_normalize_to_total(spark, folder):
+    return _stored_normalised(spark, folder)
+
+
+@sums_query
+def stored_sweep_totals(spark, folder):
+    hourly, stored = _stored_by_day(spark, folder)
+    return dispatch.sweep_totals(hourly, **GRID, renewable="solar", stored=stored)
+
+
+@query
+def stored_hour_scan(spark, folder):
+    path = new_folder(spark, "hours")
+    sources.store_by_hour(tables.hourly_shipments(spark, folder), path)
+    hourly = sources.read_hourly(spark, path)
+    return sources.country_period(hourly, "EUROPE", "1996/03/01 00:00", "1998/08/31 23")
+
+
+@query
+def stored_interleaved_results(spark, folder):
+    path = new_folder(spark, "results")
+    sources.write_results(_dispatch(spark, folder), path, grid=GRID)
+    return res.hourly_results(sources.read_results(spark, path), "1.1", "0.001", "0.5")
+
+
+@sums_query
+def stored_union(spark, folder):
+    hourly, paths = tables.hourly_events(spark, folder), []
+    for renewable in ("windOnshore", "solar"):
+        run = dispatch.sweep_totals(hourly, **GRID, renewable=renewable).withColumn("source", F.lit(renewable))
+        paths.append(new_folder(spark, "run"))
+        (run.drop("objective") if renewable == "solar" else run).write.parquet(paths[-1])
+    return sources.read_runs(spark, paths)
+
+
+# ---- the chains behind the dashboards
+
+STUDY_PLACE = {"country": "EUROPE", "year": 1999}
+
+
+def _profile_study(spark, folder):
+    hours, installed = new_folder(spark, "hours"), new_folder(spark, "capacity")
+    sources.store_hourly(tables.hourly_shipments(spark, folder), hours)
+    tables.capacity(spark, folder).write.parquet(installed)
+    return studies.profile_study(
+        sources.read_hourly(spark, hours),
+        sources.read_capacity(spark, installed),
+        **STUDY_PLACE,
+        percent_of_demand=True,
+    )
+
+
+def _result_study(spark, folder):
+    return studies.result_study(
+        _stored_results(spark, folder),
+        GRID["share_renewable"],
+        "curtailRenewablePercent",
+        share_generation="1.1",
+    )
+
+
+def _study_table(study: Callable, table: str, prefix: str, digits: int) -> Query:
+    def run(spark, folder):
+        return study(spark, folder)[table]
+
+    run.__name__ = f"{prefix}_{table}"
+    return query(run, digits)
+
+
+for _table in ("capacity", "overview", "implied", "hourly", "statistics", "daily", "profiles"):
+    _study_table(_profile_study, _table, "profile_study", 6)
+for _table in ("annual", "cost", "heatmap"):
+    _study_table(_result_study, _table, "result_study", 4)
+
+
 # ---- comparison of models
 
 
@@ -439,6 +612,40 @@ def comparison_csv(spark, folder):
     return sources.read_comparison(spark, path)
 
 
+def _comparison_file(spark, folder):
+    """A file in which every third model's totals, and some years, are not numbers or have a cell too many."""
+    path = new_folder(spark, "comparison")
+    rows = tables.model_results(spark, folder)
+    spoiled = (F.col("technology") == "total") & (F.col("model") == "M1")
+    value = F.when(spoiled, F.lit("n/a")).otherwise(F.col("value").cast("string"))
+    lines = rows.select(F.concat_ws(",", *(c for c in rows.columns if c != "value"), value).alias("line"))
+    broken = F.when(F.col("line").startswith("M2") & F.col("line").contains("1996"), F.concat("line", F.lit(",x")))
+    lines = lines.select(F.coalesce(broken, "line").alias("line"))
+    # The first row of each file is its header; the first to be read names the columns of all.
+    header = spark.createDataFrame([(",".join(rows.columns),)], "line string").withColumn("first", F.lit(0))
+    both = header.unionByName(lines.withColumn("first", F.lit(1)))
+    both.coalesce(1).sortWithinPartitions("first").select("line").write.text(path)
+    return path
+
+
+@query
+def checked_csv(spark, folder):
+    good, _ = sources.check_comparison(spark, _comparison_file(spark, folder))
+    return good
+
+
+@query
+def bad_csv_cells(spark, folder):
+    _, rejected = sources.check_comparison(spark, _comparison_file(spark, folder))
+    return sources.bad_cells(rejected)
+
+
+@query
+def named_results(spark, folder):
+    points = comparison.report(tables.study_results(spark, folder, STUDY_CODES), "elecSupply_aver")
+    return comparison.with_names(points)
+
+
 @query
 def bar_reports(spark, folder):
     return comparison.all_bars(tables.study_results(spark, folder, STUDY_CODES))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,3 +119,43 @@ def implied_capacity(
     return sums.join(hours, [*keys, "technology"]).select(
         *keys, "technology", half_even(capacity, 2).alias("impliedCapacity")
     )
+
+
+def implied_from_hours(
+    generation: DataFrame,
+    shares: Mapping[str, float],
+    total_demand: float = 0,
+    capacity: DataFrame | None = None,
+    keys: Sequence[str] = KEYS,
+    technologies: Sequence[str] = OVERVIEW,
+    demand: str = "Demand",
+) -> DataFrame:
+    """``implied_capacity`` straight from the hours, by one grouping.
+
+    A normalised profile adds up to its share of total demand, and full-load hours need sums alone, so
+    the hours are neither normalised nor read twice. Without ``capacity`` the greatest hourly value of
+    a technology counts as its capacity, and that of ``Wind`` is the sum of its two parts.
+    """
+    keys = list(keys)
+    parts = ("WindOnshore", "WindOffshore", "Solar")
+    sums = generation.groupBy(keys).agg(
+        total(demand).alias("_demand"),
+        *(total(t).alias(f"_sum_{t}") for t in technologies),
+        *(F.max(p).alias(p) for p in parts if capacity is None),
+    )
+    if capacity is None:
+        installed = with_wind(sums)
+    else:
+        installed = capitalise_columns(capacity, keep=keys)
+        names = [c for c in installed.columns if c not in keys]
+        installed = with_wind(installed.groupBy(keys).agg(*(F.sum(c).alias(c) for c in names)))
+        installed = sums.join(installed, keys, "left")
+    level = F.col("_demand") if total_demand == 0 else F.lit(float(total_demand))
+    rows = []
+    for t in technologies:
+        normalised = F.when(F.col(f"_sum_{t}") != 0, level * F.lit(float(shares[t]))).otherwise(0.0)
+        hours = F.try_divide(F.col(f"_sum_{t}"), F.col(t))
+        # Fixed value: as in ``implied_capacity``.
+        implied = half_even(normalised / (hours + F.lit(0.0000001)) / 1000, 2)
+        rows.append(F.struct(F.lit(t).alias("technology"), implied.alias("impliedCapacity")))
+    return installed.select(*keys, F.inline(F.array(*rows)))

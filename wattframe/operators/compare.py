@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wattframe.operators.quantiles import quantiles
+
 CategoryMap = Mapping[str, Sequence[str]]
 MAP_SCHEMA = "report STRING, variable STRING, position INT, category STRING, technology STRING"
 
@@ -97,26 +99,13 @@ def spread(parts: DataFrame) -> DataFrame:
 
     The quartiles see one value per model and scenario, not the rows behind it.
     """
-    quartiles = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (
-        parts.groupBy("report", "position", "category")
-        .agg(
-            F.count("value").alias("n"),
-            F.min("value").alias("lowest"),
-            quartiles.alias("_q"),
-            F.max("value").alias("highest"),
-        )
-        .select(
-            "report",
-            "position",
-            "category",
-            "n",
-            "lowest",
-            F.col("_q")[0].alias("lowerQuartile"),
-            F.col("_q")[1].alias("median"),
-            F.col("_q")[2].alias("upperQuartile"),
-            "highest",
-        )
+    return quantiles(
+        parts,
+        ("report", "position", "category"),
+        "value",
+        (0.25, 0.5, 0.75),
+        ("lowerQuartile", "median", "upperQuartile"),
+        few_groups=True,  # reports and categories are literals of the caller
     )
 
 

@@ -21,9 +21,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattframe.functions import or_zero, total
+from wattframe.functions import or_zero
 from wattframe.operators.grid import DEFAULT_COSTS, Share, scenario_attributes, spread_scenarios
-from wattframe.operators.joins import with_totals
 from wattframe.operators.lag import circular_lag
 
 AMOUNTS = (
@@ -48,18 +47,22 @@ _TOTALS = {
     "_sum_demand": (F.sum, "demand", F.sum),
     "_sum_renewable": (F.sum, "renewable", F.sum),
     "_min_demand": (F.min, "demand", F.min),
+    "_max_demand": (F.max, "demand", F.max),
     "_min_renewable": (F.min, "renewable", F.min),
     "_max_renewable": (F.max, "renewable", F.max),
     "_hours": (F.count, "*", F.sum),
 }
 
 
-def _readings(hourly: DataFrame, renewable: str, series: Sequence[str], time: str) -> DataFrame:
+def _readings(
+    hourly: DataFrame, renewable: str, series: Sequence[str], time: str, kept: Sequence[str] = ()
+) -> DataFrame:
     """Demand and the chosen renewable source, missing values as 0."""
     if renewable not in hourly.columns:
         raise ValueError(f"no such column: {renewable}")
     return hourly.select(
         *series,
+        *kept,
         F.col(time).alias("date"),
         or_zero("demand").alias("demand"),
         or_zero(renewable).alias("renewable"),
@@ -77,39 +80,57 @@ def hourly_inputs(
     series: Sequence[str] = ("country",),
     time: str = "dateTime",
     partitions: int | None = None,
+    stored: Sequence[str] | None = None,
+    unique: bool = False,
 ) -> DataFrame:
-    """Scaled demand and profiles of this and the previous hour, ready to meet the scenarios."""
+    """Scaled demand and profiles of this and the previous hour, ready to meet the scenarios.
+
+    ``stored`` and ``unique`` are those of ``circular_lag``: an hourly table stored by day is not
+    shuffled again, and two rows for one hour stop the query.
+    """
     totals = {name: (of_day(c), combine) for name, (of_day, c, combine) in _TOTALS.items()}
+    kept = [c for c in stored or () if c not in series]
     inputs = circular_lag(
-        _readings(hourly, renewable, series, time),
+        _readings(hourly, renewable, series, time, kept),
         ["demand", "renewable"],
         series,
         "date",
         prefix="_before_",
         totals=totals,
         partitions=partitions,
+        stored=stored,
+        unique=unique,
     )
     size = _total_demand(total_demand)
-
-    def scaled(c: str) -> Column:
-        return or_zero(F.try_divide(F.col(c), F.col("_sum_demand"))) * size
-
-    def profile(c: str) -> Column:
-        return or_zero(F.try_divide(F.col(c), F.col("_sum_renewable")))
-
     return inputs.select(
         *series,
         "date",
-        scaled("demand").alias("demand"),
-        profile("renewable").alias("alpha"),
-        scaled("_before_demand").alias("demand_before"),
-        profile("_before_renewable").alias("alpha_before"),
+        _scaled("demand", size).alias("demand"),
+        _profile("renewable").alias("alpha"),
+        _scaled("_before_demand", size).alias("demand_before"),
+        _profile("_before_renewable").alias("alpha_before"),
+        *_summary(total_demand),
+    )
+
+
+def _scaled(c: str, size: Column) -> Column:
+    return or_zero(F.try_divide(F.col(c), F.col("_sum_demand"))) * size
+
+
+def _profile(c: str) -> Column:
+    return or_zero(F.try_divide(F.col(c), F.col("_sum_renewable")))
+
+
+def _summary(total_demand: float | None) -> list[Column]:
+    """What is the same in all hours of a series, from its totals."""
+    size = _total_demand(total_demand)
+    return [
         (F.lit(1.0) / F.col("_hours")).alias("alpha_nuclear"),
         size.alias("total_demand"),
-        scaled("_min_demand").alias("demand_least"),
-        F.least(profile("_min_renewable"), profile("_max_renewable")).alias("alpha_least"),
-        F.greatest(profile("_min_renewable"), profile("_max_renewable")).alias("alpha_most"),
-    )
+        F.least(_scaled("_min_demand", size), _scaled("_max_demand", size)).alias("demand_least"),
+        F.least(_profile("_min_renewable"), _profile("_max_renewable")).alias("alpha_least"),
+        F.greatest(_profile("_min_renewable"), _profile("_max_renewable")).alias("alpha_most"),
+    ]
 
 
 def scenario_inputs(
@@ -140,47 +161,6 @@ def scenario_inputs(
     )
 
 
-def profile_inputs(
-    hourly: DataFrame,
-    total_demand: float | None = None,
-    renewable: str = "windOnshore",
-    series: Sequence[str] = ("country",),
-    time: str = "dateTime",
-) -> DataFrame:
-    """Long table of the hourly inputs that all scenarios share.
-
-    ``symbol`` is ``alpha`` with the technology as ``element``, or ``dem`` without one. Missing
-    readings have no row.
-    """
-    series = list(series)
-    readings = hourly.select(
-        *series, F.col(time).alias("date"), "demand", F.col(renewable).alias("renewable")
-    )
-    sums = {
-        "_sum_demand": total("demand"),
-        "_sum_renewable": total("renewable"),
-        "_hours": F.count("*"),
-    }
-    nuclear = F.lit(1.0) / F.col("_hours")
-    alpha = F.try_divide(F.col("renewable"), F.col("_sum_renewable"))
-    demand = F.try_divide(F.col("demand"), F.col("_sum_demand")) * _total_demand(total_demand)
-
-    def record(symbol: str, element: str | None, value: Column) -> Column:
-        return F.struct(
-            F.lit(symbol).alias("symbol"),
-            F.lit(element).cast("string").alias("element"),
-            value.alias("value"),
-        )
-
-    rows = F.array(
-        record("alpha", "nuclear", nuclear),
-        record("alpha", "renewable", alpha),
-        record("dem", None, demand),
-    )
-    long = with_totals(readings, sums, series, "date").select(*series, "date", F.inline(rows))
-    return long.filter(F.col("value").isNotNull())
-
-
 def merit_order(
     demand: Column,
     nuclear: Column,
@@ -225,29 +205,75 @@ def merit_order(
     }
 
 
+def _bounds(x_generation: Column, x_renewable: Column) -> dict[str, Column]:
+    """What must not be negative in any hour of a feasible scenario, by the name of its resource."""
+    energy = x_generation * F.col("total_demand")
+    renewable = energy * x_renewable
+    return {
+        "nuclear": F.col("alpha_nuclear") * (energy * (1 - x_renewable)),
+        "renewable": F.least(F.col("alpha_least") * renewable, F.col("alpha_most") * renewable),
+    }
+
+
 def _scenario_hours(hours: DataFrame, grid: Sequence[Sequence]) -> DataFrame:
     """Hours times scenarios, with the potential of each resource.
 
-    A scenario without a feasible dispatch, that is with negative demand or potential in some hour,
-    is left out as a whole.
+    A scenario without a feasible dispatch, that is with negative demand or potential in some hour of
+    the series, is left out as a whole (``rejected_scenarios`` lists it). Every hour carries the bounds
+    of its series, so such scenarios are taken out of the lists before these multiply the hours.
     """
-    rows = spread_scenarios(hours, *grid)
+    def kept_energy(x: Column) -> Column:
+        bounds = _bounds(x, F.col("_ren.x"))
+        return (bounds["nuclear"] >= 0) & (bounds["renewable"] >= 0)
+
+    rows = spread_scenarios(
+        hours.filter(F.col("demand_least") >= 0),
+        *grid,
+        kept_energy=kept_energy,
+        kept_storage=lambda x: F.col("total_demand") * x >= 0,
+    )
     energy = F.col("x_generation") * F.col("total_demand")
-    rows = rows.withColumns(
+    return rows.withColumns(
         {
             "_nuclear": F.col("alpha_nuclear") * (energy * (1 - F.col("x_renewable"))),
             "_energy": energy * F.col("x_renewable"),
             "_size": F.col("total_demand") * F.col("x_storage"),
         }
+    ).withColumn("_renewable", F.col("alpha") * F.col("_energy"))
+
+
+def rejected_scenarios(
+    hourly: DataFrame,
+    share_generation: Sequence[Share],
+    share_renewable: Sequence[Share],
+    share_storage: Sequence[Share],
+    cost_curtailment: Sequence[Mapping[str, float]] = DEFAULT_COSTS,
+    total_demand: float | None = None,
+    renewable: str = "windOnshore",
+    series: Sequence[str] = ("country",),
+    time: str = "dateTime",
+) -> DataFrame:
+    """Scenarios that a sweep leaves out since they have no feasible dispatch, and why.
+
+    One row per series and scenario: scenario_id, shares, costs and ``reason``. The hours are summed up
+    to one row per series before the scenarios multiply anything.
+    """
+    readings = _readings(hourly, renewable, series, time).dropna(subset=[*series, "date"])
+    sums = readings.groupBy(list(series)).agg(
+        *(of_day(c).alias(name) for name, (of_day, c, _) in _TOTALS.items())
     )
-    feasible = (
-        (F.col("demand_least") >= 0)
-        & (F.col("_nuclear") >= 0)
-        & (F.col("_size") >= 0)
-        & (F.col("alpha_least") * F.col("_energy") >= 0)
-        & (F.col("alpha_most") * F.col("_energy") >= 0)
+    grid = (share_generation, share_renewable, share_storage, cost_curtailment)
+    rows = spread_scenarios(sums.select(*series, *_summary(total_demand)), *grid)
+    bounds = _bounds(F.col("x_generation"), F.col("x_renewable"))
+    reason = F.concat_ws(
+        ", ",
+        F.when(F.col("demand_least") < 0, F.lit("negative demand")),
+        F.when(bounds["nuclear"] < 0, F.lit("negative nuclear potential")),
+        F.when(bounds["renewable"] < 0, F.lit("negative renewable potential")),
+        F.when(F.col("total_demand") * F.col("x_storage") < 0, F.lit("negative storage size")),
     )
-    return rows.filter(feasible).withColumn("_renewable", F.col("alpha") * F.col("_energy"))
+    found = rows.select(*series, "scenario_id", *ATTRIBUTES, reason.alias("reason"))
+    return found.filter(F.col("reason") != "")
 
 
 def _taken(
@@ -276,6 +302,8 @@ def dispatch_hourly(
     series: Sequence[str] = ("country",),
     time: str = "dateTime",
     partitions: int | None = None,
+    stored: Sequence[str] | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Dispatch of every scenario in every hour.
 
@@ -283,7 +311,7 @@ def dispatch_hourly(
     needs, is worked out from the inputs of that hour; those were attached before the scenarios
     multiplied the rows. So the one shuffle is over the hours, whatever the number of scenarios.
     """
-    hours = hourly_inputs(hourly, renewable, total_demand, series, time, partitions)
+    hours = hourly_inputs(hourly, renewable, total_demand, series, time, partitions, stored, unique)
     grid = (share_generation, share_renewable, share_storage, cost_curtailment)
     rows = _scenario_hours(hours, grid)
     now = _taken("demand", F.col("_renewable"), cost_curtailment)
@@ -333,6 +361,8 @@ def sweep_totals(
     series: Sequence[str] = ("country",),
     time: str = "dateTime",
     partitions: int | None = None,
+    stored: Sequence[str] | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """The totals of a sweep straight from the hours, without the hourly results in between.
 
@@ -340,7 +370,7 @@ def sweep_totals(
     scenarios and not with hours. Net release sums to 0 around the ring, and the objective follows
     from the other sums, so neither needs work per hour.
     """
-    hours = hourly_inputs(hourly, renewable, total_demand, series, time, partitions)
+    hours = hourly_inputs(hourly, renewable, total_demand, series, time, partitions, stored, unique)
     grid = (share_generation, share_renewable, share_storage, cost_curtailment)
     rows = _scenario_hours(hours, grid)
     now = _taken("demand", F.col("_renewable"), cost_curtailment)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -31,13 +31,18 @@ def check_grid(
             raise ValueError(f"no such technology: {', '.join(sorted(unknown))}")
 
 
-def _level(values: Sequence[Share]) -> Column:
-    return F.array(
+def _level(values: Sequence[Share], kept: Callable[[Column], Column] | None = None) -> Column:
+    places = F.array(
         *(
-            F.struct(F.lit(str(v)).cast(SHARE_TYPE).alias("key"), F.lit(float(v)).alias("x"))
-            for v in values
+            F.struct(
+                F.lit(i).alias("i"),
+                F.lit(str(v)).cast(SHARE_TYPE).alias("key"),
+                F.lit(float(v)).alias("x"),
+            )
+            for i, v in enumerate(values)
         )
     )
+    return F.explode(places if kept is None else F.filter(places, lambda place: kept(place["x"])))
 
 
 def spread_scenarios(
@@ -46,11 +51,17 @@ def spread_scenarios(
     share_renewable: Sequence[Share],
     share_storage: Sequence[Share],
     cost_curtailment: Sequence[Mapping[str, float]] = DEFAULT_COSTS,
+    kept_energy: Callable[[Column], Column] | None = None,
+    kept_storage: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Repeat every row for each scenario and add ``scenario_id``, shares and curtailment costs.
 
     The lists are literals in the plan: rows are multiplied in place, with no join and no shuffle.
     ``x_generation``, ``x_renewable`` and ``x_storage`` hold the shares as doubles, for arithmetic.
+
+    ``kept_energy`` says of a generation share, next to the row and its renewable share (the column
+    ``_ren.x``), whether that pair is wanted, ``kept_storage`` the same of a storage share. Others are
+    taken out of the lists before these repeat the row.
     """
     check_grid(share_generation, share_renewable, share_storage, cost_curtailment)
     costs = F.array(
@@ -63,12 +74,12 @@ def spread_scenarios(
         )
     )
     kept = [F.col(c) for c in df.columns]
-    out = df.select("*", F.posexplode(_level(share_renewable)).alias("_i_ren", "_ren"))
-    out = out.select("*", F.posexplode(_level(share_generation)).alias("_i_gen", "_gen"))
-    out = out.select("*", F.posexplode(_level(share_storage)).alias("_i_sto", "_sto"))
+    out = df.select("*", _level(share_renewable).alias("_ren"))
+    out = out.select("*", _level(share_generation, kept_energy).alias("_gen"))
+    out = out.select("*", _level(share_storage, kept_storage).alias("_sto"))
     out = out.select("*", F.posexplode(costs).alias("_i_cost", "_cost"))
-    position = F.col("_i_ren") * len(share_generation) + F.col("_i_gen")
-    position = position * len(share_storage) + F.col("_i_sto")
+    position = F.col("_ren.i") * len(share_generation) + F.col("_gen.i")
+    position = position * len(share_storage) + F.col("_sto.i")
     position = position * len(cost_curtailment) + F.col("_i_cost")
     return out.select(
         *kept,

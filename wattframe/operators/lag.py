@@ -21,6 +21,8 @@ def circular_lag(
     prefix: str = "previous_",
     totals: Mapping[str, tuple[Column, Callable[[Column], Column]]] | None = None,
     partitions: int | None = None,
+    stored: Sequence[str] | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Add the previous value of each column in time order, circular within each series.
 
@@ -31,26 +33,40 @@ def circular_lag(
     ``totals`` adds whole-series aggregates through the same day table: a name, the aggregate of a
     day, and the function that combines days. ``partitions`` defaults to the shuffle setting; the
     number is kept as it is, so that work multiplied per row afterwards stays spread out.
+
+    ``stored`` names the columns that the table is stored by (see ``store_by_day``), the day last. They
+    must settle the series of a row. Then the rows stay where they are, and only the day table moves.
+
+    With ``unique`` the query stops when a series has two rows of the same time. The rows of a day are
+    in time order for the lag anyway, so looking costs no further pass and no job of its own.
     """
     series, columns, totals = list(series), list(columns), dict(totals or {})
     partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    day = [*series, "_day"]
+    day = [*series, "_day"] if stored is None else list(stored)
     # Rows without a key or a time have no place in the ring. Saying so here, in the terms the join
     # below would use, makes both uses of ``split`` the same, and Spark shuffles it once.
-    placed = reduce(and_, [F.col(c).isNotNull() for c in day])
-    split = df.withColumn("_day", day_of(time)).filter(placed).repartition(partitions, *day)
+    placed = reduce(and_, [F.col(c).isNotNull() for c in dict.fromkeys([*series, *day])])
+    if stored is None:
+        split = df.withColumn("_day", day_of(time)).filter(placed).repartition(partitions, *day)
+    else:
+        split = df.filter(placed & F.col(time).isNotNull())
 
     in_day = W.partitionBy(*day).orderBy(time)
+    opens = F.row_number().over(in_day) == 1
+    if unique:
+        key = F.concat_ws(", ", *(F.col(c).cast("string") for c in (*series, time)))
+        twice = F.raise_error(F.concat(F.lit("key occurs more than once: "), key)).cast("boolean")
+        opens = F.when(F.lag(time).over(in_day) == F.col(time), twice).otherwise(opens)
     rows = split.select(
         "*",
-        (F.row_number().over(in_day) == 1).alias("_opens"),
+        opens.alias("_opens"),
         *(F.lag(c).over(in_day).alias(f"_lag_{c}") for c in columns),
     )
 
-    by_day = W.partitionBy(*series).orderBy("_day")
+    by_day = W.partitionBy(*series).orderBy(day[-1])
     whole = W.partitionBy(*series)
     ring = by_day.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    days = split.groupBy(*day).agg(
+    days = split.groupBy(*dict.fromkeys([*series, *day])).agg(
         *(F.max_by(c, time).alias(f"_last_{c}") for c in columns),
         *(of_day.alias(f"_day_{name}") for name, (of_day, _) in totals.items()),
     )

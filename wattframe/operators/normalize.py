@@ -24,12 +24,13 @@ def normalize_generation(
     time: str = "dateTime",
     demand: str = "Demand",
     constant: str = "Constant",
+    stored: Sequence[str] | None = None,
 ) -> DataFrame:
     """Scale each technology so that its sum is the given share of total demand.
 
     The name ``constant`` stands for a technology with the same value in every hour. A
     ``total_demand`` of 0 keeps the observed demand. A column that sums to 0 has no profile and
-    becomes missing.
+    becomes missing. ``stored`` is that of ``with_totals``.
     """
     factors = {**shares, demand: 1}
     observed = [c for c in factors if c != constant]
@@ -46,5 +47,6 @@ def normalize_generation(
         else:
             profile = F.try_divide(F.col(name), F.col(f"_sum_{name}"))
         scaled.append((profile * level * F.lit(float(factor))).alias(name))
-    wanted = df.select(*series, time, *observed)
-    return with_totals(wanted, amounts, series, time).select(*series, time, *scaled)
+    kept = [c for c in stored or () if c not in series]
+    wanted = df.select(*series, *kept, time, *observed)
+    return with_totals(wanted, amounts, series, time, stored).select(*series, time, *scaled)

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.functions import half_even, or_zero, percent, share_key
-from wattframe.operators.dispatch import AMOUNTS, ATTRIBUTES
 from wattframe.operators.grid import Share
 
+# The columns that tell scenarios apart, those that are summed, and below the prices of a
+# unit of potential output, of storage and of unserved energy.
 SCENARIO = ("share_storage", "share_generation", "share_renewable", "curtailRenewableFirst")
 SUMMED = (
     "nuclear",
@@ -21,7 +22,7 @@ SUMMED = (
     "curtailNuclear",
     "curtailRenewable",
 )
-# What a heat map can show.
+# What a heat map can show.
 VARIABLES = (
     "cost",
     "energyNotServed",
@@ -30,18 +31,6 @@ VARIABLES = (
     "curtailRenewable",
     "curtailNuclear",
 )
-# Symbol and element of each amount in the long form of a solution.
-SYMBOLS = {
-    "nuclear": ("GEN", "nuclear"),
-    "renewable": ("GEN", "renewable"),
-    "storageLevel": ("STO", "storage"),
-    "release": ("REL", "storage"),
-    "injection": ("INJ", "storage"),
-    "demand": ("dem", ""),
-    "energyNotServed": ("ENS", ""),
-    "curtailNuclear": ("curtailment", "nuclear"),
-    "curtailRenewable": ("curtailment", "renewable"),
-}
 
 
 def with_curtailment_order(results: DataFrame) -> DataFrame:
@@ -167,58 +156,6 @@ def melt_generation(
     return long.withColumn("value", F.nullif(F.col("value"), F.lit(0.0)))
 
 
-def to_symbols(dispatch: DataFrame, keys: Sequence[str] = ("country", "scenario_id", "date")) -> DataFrame:
-    """Long form of a solution: symbol, element and level, zeros left out.
-
-    Release and injection are the smallest amounts that explain the change of the storage level.
-    """
-    amounts = {
-        **{c: F.col(c) for c in AMOUNTS},
-        "release": F.greatest("netStorage", F.lit(0.0)),
-        "injection": F.greatest(-F.col("netStorage"), F.lit(0.0)),
-    }
-    records = F.array(
-        *(
-            F.struct(
-                F.lit(symbol).alias("symbol"), F.lit(element).alias("element"), amounts[name].alias("level")
-            )
-            for name, (symbol, element) in SYMBOLS.items()
-        )
-    )
-    long = dispatch.select(*keys, F.inline(records))
-    return long.filter((F.col("level") != 0) | (F.col("symbol") == "GEN"))
-
-
-def assemble_results(
-    symbols: DataFrame,
-    attributes: DataFrame | None = None,
-    keys: Sequence[str] = ("country", "scenario_id", "date"),
-    attribute_keys: Sequence[str] = ("country", "scenario_id"),
-) -> DataFrame:
-    """Wide result table from the long form: one row per key that has generation records.
-
-    One grouping takes the place of a chain of joins on the period. Absent records are 0.
-    ``attributes`` holds the scenario columns, one row per ``attribute_keys``.
-    """
-
-    def cell(name: str):
-        symbol, element = SYMBOLS[name]
-        here = (F.col("symbol") == symbol) & (F.coalesce("element", F.lit("")) == element)
-        return F.avg(F.when(here, F.col("level"))).alias(name)
-
-    wide = (
-        symbols.groupBy(list(keys))
-        .agg(*(cell(name) for name in SYMBOLS), F.count_if(F.col("symbol") == "GEN").alias("_generation"))
-        .filter(F.col("_generation") > 0)
-        .withColumn("netStorage", or_zero("release") - or_zero("injection"))
-    )
-    wide = wide.select(*keys, *(or_zero(c).alias(c) for c in AMOUNTS))
-    if attributes is None:
-        return wide
-    chosen = attributes.select(*attribute_keys, *ATTRIBUTES)
-    return wide.join(chosen, list(attribute_keys), "left")
-
-
 def union_results(parts: Sequence[DataFrame]) -> DataFrame:
     """Results of several runs in one table, columns matched by name, absent ones missing."""
     if not parts:

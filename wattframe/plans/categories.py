@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-
 Map = dict[str, list[str]]
 
-# Model ids with their names, and scenario names.
+# Model ids with their names, the kind of their typical days and these days' dates, and
+# scenario names.
 MODELS = {"secmod": "SecMod", "seseth": "SES-ETH", "stem": "STEM", "zengarden": "ZEN-Garden"}
+TYPICAL_DAYS = {
+    "secmod": ("Typical day", "01.07.2050", "Typical day", "01.02.2050"),
+    "seseth": ("Typical day", "01.07.2050", "Typical day", "01.02.2050"),
+    "stem": ("Week day", "01.07.2050", "Week day", "01.02.2050"),
+    "zengarden": ("Week day", "01.07.2050", "Week day", "01.02.2050"),
+}
 SCENARIOS = [
     "abroad-res-full",
     "abroad-res-lim",
@@ -101,61 +106,117 @@ TRANSPORT: Map = {
     "Biogas": ["methane"],
     "Hydrogen": ["hydrogen"],
 }
-
-
-def changed(
-    base: Mapping[str, Sequence[str]],
-    without: Sequence[str] = (),
-    renamed: Mapping[str, str] | None = None,
-    codes: Mapping[str, Sequence[str]] | None = None,
-) -> Map:
-    """Another map in the order of ``base``: categories left out, renamed, or with other codes.
-
-    ``codes`` goes by the new names.
-    """
-    renamed, codes = renamed or {}, codes or {}
-    out: Map = {}
-    for category, data in base.items():
-        if category not in without:
-            name = renamed.get(category, category)
-            out[name] = list(codes.get(name, data))
-    return out
-
-
-_SHORT = {"Geothermal": "Geoth.", "Methane": "Gas", "Hydrogen": "H2"}
-_SHORT_HEAT = {**_SHORT, "Heat pumps": "Heat\npumps"}
-
-SUPPLY_NET = changed(
-    SUPPLY,
-    renamed={"Imports": "Net-imports"},
-    codes={"Storage": ["net_storage_out"], "Net-imports": ["net_imports"]},
-)
-SUPPLY_SPREAD = changed(SUPPLY, without=["Storage", "Imports"], renamed={**_SHORT, "Nuclear": "Nuc."})
-USE_NET = changed(
-    USE,
-    renamed={"CCS": "Others", "Exports": "Net-exports"},
-    codes={
-        "Others": ["dac", "data_centers"],
-        "Storage": ["net_storage_in"],
-        "Net-exports": ["net_exports"],
-        "Losses": ["grid_losses", "storage_losses"],
-    },
-)
+SUPPLY_NET: Map = {
+    "Hydro": ["hydro_dam", "hydro_ror"],
+    "Nuclear": ["nuclear"],
+    "Solar": ["spv"],
+    "Wind": ["wind"],
+    "Geothermal": ["geothermal_pp"],
+    "Methane": ["methane_pp", "fuel_cell_methane"],
+    "Hydrogen": ["hydrogen_pp", "fuel_cell_h2"],
+    "Liquids": ["liquids_pp"],
+    "Waste": ["waste_pp"],
+    "Wood": ["wood_pp"],
+    "Storage": ["net_storage_out"],
+    "Net-imports": ["net_imports"],
+}
+SUPPLY_SPREAD: Map = {
+    "Hydro": ["hydro_dam", "hydro_ror"],
+    "Nuc.": ["nuclear"],
+    "Solar": ["spv"],
+    "Wind": ["wind"],
+    "Geoth.": ["geothermal_pp"],
+    "Gas": ["methane_pp", "fuel_cell_methane"],
+    "H2": ["hydrogen_pp", "fuel_cell_h2"],
+    "Liquids": ["liquids_pp"],
+    "Waste": ["waste_pp"],
+    "Wood": ["wood_pp"],
+}
+USE_NET: Map = {
+    "Base": ["elec_appliances"],
+    "Trains": ["passenger_rail", "freight_rail"],
+    "Road transport": ["road_public", "road_private", "truck", "ldv"],
+    "Space heating": [
+        "space_heating_boiler_electrode",
+        "space_heating_heater_elec",
+        "space_heating_heat_pump",
+    ],
+    "Process heat": ["process_heat_boiler_electrode", "process_heat_heater_elec", "process_heat_heat_pump"],
+    "Power to liquids": ["power_to_liquid"],
+    "Electrolysis": ["electrolysis"],
+    "Others": ["dac", "data_centers"],
+    "Storage": ["net_storage_in"],
+    "Net-exports": ["net_exports"],
+    "Losses": ["grid_losses", "storage_losses"],
+}
 USE_SPREAD: Map = {
-    "Base": USE["Base"],
+    "Base": ["elec_appliances"],
     "Passenger": ["road_public", "road_private"],
     "Freight": ["truck", "ldv"],
-    "Space\nheating": USE["Space heating"],
-    "Process\nheat": USE["Process heat"],
-    "Electrolysis": USE["Electrolysis"],
-}
-METHANE_USE = changed(
-    HYDROGEN_USE,
-    renamed={"Fuel synthesis": "Fuel syntheis"},
-    codes={"Electricity": ["elec_generation"]},
-)
-LIQUIDS_USE = METHANE_USE
-SPACE_HEAT_SPREAD = changed(SPACE_HEAT, without=["District Heating"], renamed=_SHORT_HEAT)
-PROCESS_HEAT = changed(SPACE_HEAT, without=["District Heating"])
-PROCESS_HEAT_SPREAD = changed(PROCESS_HEAT, renamed={**_SHORT_HEAT, "Liquids": "Liquid"})
-TRANSPORT_SPREAD = TRANSPORT
+    "Space\nheating": [
+        "space_heating_boiler_electrode",
+        "space_heating_heater_elec",
+        "space_heating_heat_pump",
+    ],
+    "Process\nheat": ["process_heat_boiler_electrode", "process_heat_heater_elec", "process_heat_heat_pump"],
+    "Electrolysis": ["electrolysis"],
+}
+METHANE_USE: Map = {
+    "Electricity": ["elec_generation"],
+    "Freight": ["truck", "ldv"],
+    "Passengers": ["passenger_road_public", "passenger_road_private"],
+    "Space heating": ["space_heating"],
+    "Process heat": ["process_heat"],
+    "Fuel syntheis": ["fuel_synthesis"],
+    "Storage": ["storage"],
+    "Exports": ["exports"],
+}
+LIQUIDS_USE: Map = {
+    "Electricity": ["elec_generation"],
+    "Freight": ["truck", "ldv"],
+    "Passengers": ["passenger_road_public", "passenger_road_private"],
+    "Space heating": ["space_heating"],
+    "Process heat": ["process_heat"],
+    "Fuel syntheis": ["fuel_synthesis"],
+    "Storage": ["storage"],
+    "Exports": ["exports"],
+}
+SPACE_HEAT_SPREAD: Map = {
+    "Heat\npumps": ["heat_pump"],
+    "Heaters": ["heater_elec", "boiler_electrode"],
+    "Solar": ["solar_thermal"],
+    "Geoth.": ["geothermal_heat"],
+    "Gas": ["boiler_methane", "chp_methane"],
+    "H2": ["boiler_h2", "chp_h2"],
+    "Liquids": ["boiler_liquids", "chp_liquids"],
+    "Waste": ["boiler_waste", "chp_waste"],
+    "Wood": ["boiler_wood", "chp_wood"],
+}
+PROCESS_HEAT: Map = {
+    "Heat pumps": ["heat_pump"],
+    "Heaters": ["heater_elec", "boiler_electrode"],
+    "Solar": ["solar_thermal"],
+    "Geothermal": ["geothermal_heat"],
+    "Methane": ["boiler_methane", "chp_methane"],
+    "Hydrogen": ["boiler_h2", "chp_h2"],
+    "Liquids": ["boiler_liquids", "chp_liquids"],
+    "Waste": ["boiler_waste", "chp_waste"],
+    "Wood": ["boiler_wood", "chp_wood"],
+}
+PROCESS_HEAT_SPREAD: Map = {
+    "Heat\npumps": ["heat_pump"],
+    "Heaters": ["heater_elec", "boiler_electrode"],
+    "Solar": ["solar_thermal"],
+    "Geoth.": ["geothermal_heat"],
+    "Gas": ["boiler_methane", "chp_methane"],
+    "H2": ["boiler_h2", "chp_h2"],
+    "Liquid": ["boiler_liquids", "chp_liquids"],
+    "Waste": ["boiler_waste", "chp_waste"],
+    "Wood": ["boiler_wood", "chp_wood"],
+}
+TRANSPORT_SPREAD: Map = {
+    "Electricity": ["electricity"],
+    "Liquids": ["oil", "liquids"],
+    "Biogas": ["methane"],
+    "Hydrogen": ["hydrogen"],
+}

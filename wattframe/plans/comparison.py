@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wattframe.operators.compare import (
     category_rollup,
@@ -18,7 +19,7 @@ from wattframe.plans import categories as maps
 
 YEAR = "2050"
 
-# Name: variable and categories of a bar report.
+# Name, variable and categories of a bar report.
 BARS = {
     "elecSupply_tech": ("electricity_supply", maps.SUPPLY),
     "elecSupply_tech_net": ("electricity_supply", maps.SUPPLY_NET),
@@ -37,10 +38,7 @@ BARS = {
     "freight_road_fec": ("freight_road_fec", maps.TRANSPORT),
 }
 
-_HEAT_ORDER = ["Heat\npumps", "Wood", "Waste", "Solar", "Geoth.", "Gas", "H2", "Heaters"]
-_FUEL_ORDER = ["Electricity", "Liquids", "Hydrogen", "Methane"]
-
-# Name: variable, categories and their order in a spread report.
+# Name, variable, categories and their order in a spread report.
 SPREADS = {
     "elecDist_tech": (
         "electricity_supply",
@@ -55,16 +53,28 @@ SPREADS = {
     "spaceHeating_dist": (
         "space_heat_useful_energy_supply",
         maps.SPACE_HEAT_SPREAD,
-        [*_HEAT_ORDER, "Liquids"],
+        ["Heat\npumps", "Wood", "Waste", "Solar", "Geoth.", "Gas", "H2", "Heaters", "Liquids"],
     ),
     "processHeating_dist": (
         "process_heat_useful_energy_production",
         maps.PROCESS_HEAT_SPREAD,
-        [*_HEAT_ORDER, "Liquid"],
+        ["Heat\npumps", "Wood", "Waste", "Solar", "Geoth.", "Gas", "H2", "Heaters", "Liquid"],
+    ),
+    "passenger_road_private_fec_dist": (
+        "passenger_road_private_fec",
+        maps.TRANSPORT_SPREAD,
+        ["Electricity", "Liquids", "Hydrogen", "Methane"],
+    ),
+    "passenger_road_public_fec_dist": (
+        "passenger_road_public_fec",
+        maps.TRANSPORT_SPREAD,
+        ["Electricity", "Liquids", "Hydrogen", "Methane"],
+    ),
+    "freight_road_fec_dist": (
+        "freight_road_fec",
+        maps.TRANSPORT_SPREAD,
+        ["Electricity", "Liquids", "Hydrogen", "Methane"],
     ),
-    "passenger_road_private_fec_dist": ("passenger_road_private_fec", maps.TRANSPORT_SPREAD, _FUEL_ORDER),
-    "passenger_road_public_fec_dist": ("passenger_road_public_fec", maps.TRANSPORT_SPREAD, _FUEL_ORDER),
-    "freight_road_fec_dist": ("freight_road_fec", maps.TRANSPORT_SPREAD, _FUEL_ORDER),
 }
 
 SCATTERS = {"elecSupply_aver": ("electricity_supply", "total")}
@@ -112,11 +122,25 @@ def all_spreads(
 
 
 def model_table(spark: SparkSession) -> DataFrame:
-    """Model ids and names, in the order of display."""
-    rows = [(i, key, name) for i, (key, name) in enumerate(maps.MODELS.items())]
-    return spark.createDataFrame(rows, "position INT, model STRING, name STRING")
+    """Model ids, names and typical days of summer and winter, in the order of display."""
+    rows = [(i, key, name, *maps.TYPICAL_DAYS[key]) for i, (key, name) in enumerate(maps.MODELS.items())]
+    schema = "position INT, model STRING, name STRING, summer STRING, summerDay STRING, winter STRING, winterDay STRING"
+    return spark.createDataFrame(rows, schema)
 
 
 def scenario_table(spark: SparkSession) -> DataFrame:
     """Scenario names, in the order of display."""
     return spark.createDataFrame(list(enumerate(maps.SCENARIOS)), "position INT, scenario STRING")
+
+
+def with_names(results: DataFrame) -> DataFrame:
+    """Results with the name, the place in the order and the typical days of their model, and the place
+    of their scenario. Models and scenarios that are not listed have none of these.
+
+    Both tables are fixed lists of a few rows, so they are broadcast.
+    """
+    spark = results.sparkSession
+    models = model_table(spark).withColumnRenamed("position", "modelPosition")
+    scenarios = scenario_table(spark).withColumnRenamed("position", "scenarioPosition")
+    named = results.join(F.broadcast(models), "model", "left")
+    return named.join(F.broadcast(scenarios), "scenario", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import types as T
 
 from wattframe.functions import missing, parse_hour
 from wattframe.sources import schemas
+from wattframe.sources.layout import bucketed
+
 
 def _path(spark: SparkSession, path: str | None, setting: str) -> str:
     path = path or spark.conf.get(setting, None)
@@ -53,6 +57,20 @@ def read_hourly(spark: SparkSession, path: str | None = None) -> DataFrame:
     return _clean(_parquet(spark, path, schemas.HOURLY), schemas.HOURLY)
 
 
+def read_by_day(spark: SparkSession, path: str | None = None) -> tuple[DataFrame, list[str]]:
+    """An hourly table written by ``store_by_day``, and the columns it is stored by, the day last.
+
+    Given to ``with_totals``, ``circular_lag`` and what is built on them as ``stored``, these columns
+    save the shuffle of the hours. A path that does not exist gives an empty table.
+    """
+    path = _path(spark, path, "spark.wattframe.hourly")
+    found = bucketed(spark, path)
+    if found is None:
+        empty = _clean(_parquet(spark, path, schemas.HOURLY), schemas.HOURLY)
+        return empty.withColumn("day", F.col("dateTime").cast("date")), ["country", "day"]
+    return _clean(found[0], schemas.HOURLY), found[1]
+
+
 def read_capacity(spark: SparkSession, path: str | None = None) -> DataFrame:
     """Capacity per country and year; the path defaults to ``spark.wattframe.capacity``."""
     path = _path(spark, path, "spark.wattframe.capacity")
@@ -69,8 +87,27 @@ def read_results(spark: SparkSession, path: str | None = None) -> DataFrame:
     return _clean(_parquet(spark, path, schemas.RESULTS), schemas.RESULTS)
 
 
-def read_comparison(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """CSV with a header: results of several models; defaults to ``spark.wattframe.comparison``."""
+def read_runs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Results of several runs as one table, by one scan.
+
+    Columns go by their names; one that a run does not have is missing in its rows. Columns of the
+    result schema get its types.
+    """
+    if not paths:
+        raise ValueError("nothing to read")
+    rows = spark.read.option("mergeSchema", "true").parquet(*paths)
+    wanted = {f.name: f.dataType for f in T.StructType.fromDDL(schemas.RESULTS)}
+    columns = []
+    for name, kind in rows.dtypes:
+        column = F.col(name)
+        if name in wanted and kind != wanted[name].simpleString():
+            column = column.cast(wanted[name])
+        columns.append((missing(column) if kind in ("double", "float") else column).alias(name))
+    return rows.select(columns)
+
+
+def _comparison_text(spark: SparkSession, path: str | None, corrupt: bool) -> DataFrame | None:
+    """The columns of the file as text, and the line where it does not fit them; None without a file."""
     path = _path(spark, path, "spark.wattframe.comparison")
     wanted = T.StructType.fromDDL(schemas.COMPARISON)
     try:
@@ -78,11 +115,58 @@ def read_comparison(spark: SparkSession, path: str | None = None) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schemas.COMPARISON)
+        return None
     absent = [f.name for f in wanted if f.name not in rows.columns]
     if absent and rows.columns:
         raise ValueError(f"no such column: {', '.join(absent)}")
     if absent:
+        return None
+    if corrupt:
+        schema = T.StructType([*rows.schema.fields, T.StructField("_line", T.StringType())])
+        reader = spark.read.option("header", True).option("columnNameOfCorruptRecord", "_line")
+        # All cells are looked at, whichever columns a query needs.
+        rows = reader.option("columnPruning", False).csv(path, schema)
+    return rows
+
+
+def check_comparison(spark: SparkSession, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected rows) of a comparison CSV.
+
+    A row is rejected if it has more or fewer cells than the header, or text where a number should be.
+    Rejected rows keep their cells as text; ``bad`` lists the columns at fault, ``line`` standing for
+    the number of cells. Together both have every row of the file.
+    """
+    wanted = T.StructType.fromDDL(schemas.COMPARISON)
+    rows = _comparison_text(spark, path, corrupt=True)
+    if rows is None:
+        text = ", ".join(f"{f.name} STRING" for f in wanted)
+        good = spark.createDataFrame([], schemas.COMPARISON)
+        return good, spark.createDataFrame([], f"{text}, bad ARRAY<STRING>")
+    faults = [F.when(F.col("_line").isNotNull(), F.lit("line"))]
+    for f in wanted:
+        if not isinstance(f.dataType, T.StringType):
+            unread = F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()
+            faults.append(F.when(unread, F.lit(f.name)))
+    marked = rows.withColumn("bad", F.array_compact(F.array(*faults)))
+    good = marked.filter(F.size("bad") == 0)
+    good = good.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted))
+    rejected = marked.filter(F.size("bad") > 0).select(*(f.name for f in wanted), "bad")
+    return good.withColumn("value", missing("value")), rejected
+
+
+def bad_cells(rejected: DataFrame) -> DataFrame:
+    """Number of bad cells per column of the rejected rows of ``check_comparison``."""
+    return rejected.select(F.explode("bad").alias("column")).groupBy("column").agg(F.count("*").alias("n"))
+
+
+def read_comparison(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """CSV with a header: results of several models; defaults to ``spark.wattframe.comparison``.
+
+    Text where a number should be becomes missing; ``check_comparison`` tells such rows apart.
+    """
+    wanted = T.StructType.fromDDL(schemas.COMPARISON)
+    rows = _comparison_text(spark, path, corrupt=False)
+    if rows is None:
         return spark.createDataFrame([], schemas.COMPARISON)
     rows = rows.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted))
     return rows.withColumn("value", missing("value"))
@@ -92,8 +176,16 @@ def within(hourly: DataFrame, first: Column, last: Column) -> DataFrame:
     """Hours from ``first`` to ``last``, both included.
 
     Parquet row groups are not skipped by naive timestamps. A table stored in folders per year (see
-    ``store_hourly``) has a column ``year``; a filter on it skips whole folders.
+    ``store_hourly``) has a column ``year``; a filter on it skips whole folders. One stored by
+    ``store_by_hour`` has a column ``hourNumber``, one stored by ``store_by_day`` a column ``day``;
+    filters on these skip row groups.
     """
+    if "hourNumber" in hourly.columns:
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        hours = [F.timestamp_diff("HOUR", epoch, end) for end in (first, last)]
+        hourly = hourly.filter(F.col("hourNumber").between(*hours)).drop("hourNumber")
+    if "day" in hourly.columns:
+        hourly = hourly.filter(F.col("day").between(first.cast("date"), last.cast("date")))
     if "year" in hourly.columns:
         hourly = hourly.filter(F.col("year").between(F.year(first), F.year(last))).drop("year")
     return hourly.filter(F.col("dateTime").between(first, last))
