@@ -52,16 +52,17 @@ def circular_lag(
         split = df.filter(placed & F.col(time).isNotNull())
 
     in_day = W.partitionBy(*day).orderBy(time)
-    opens = F.row_number().over(in_day) == 1
-    if unique:
-        key = F.concat_ws(", ", *(F.col(c).cast("string") for c in (*series, time)))
-        twice = F.raise_error(F.concat(F.lit("key occurs more than once: "), key)).cast("boolean")
-        opens = F.when(F.lag(time).over(in_day) == F.col(time), twice).otherwise(opens)
     rows = split.select(
         "*",
-        opens.alias("_opens"),
+        (F.row_number().over(in_day) == 1).alias("_opens"),
+        *([F.lag(time).over(in_day).alias("_same")] if unique else []),
         *(F.lag(c).over(in_day).alias(f"_lag_{c}") for c in columns),
     )
+    if unique:
+        # A filter, so that the check stays even where no column of it is asked for.
+        key = F.concat_ws(", ", *(F.col(c).cast("string") for c in (*series, time)))
+        stop = F.raise_error(F.concat(F.lit("key occurs more than once: "), key)).cast("boolean")
+        rows = rows.filter(F.when(F.col("_same") == F.col(time), stop).otherwise(F.lit(True)))
 
     by_day = W.partitionBy(*series).orderBy(day[-1])
     whole = W.partitionBy(*series)
