@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from wattframe.llm.common import free_name, join_groups, written
 
-#: Shorter lines are left alone: one edit would turn most short words into others.
+#: Shorter lines have no near ones: one edit would turn most short words into others.
 MIN_CHARS = 10
+#: Shorter lines are not compared at all, so that empty ones, which part paragraphs, stay.
+EXACT_CHARS = 1
 COARSE, FINE = 2, (8, 32)
 
 
@@ -40,16 +42,18 @@ def gap_keys(line: Column, size: Column, parts: int) -> Column:
 
     A line of n + 1 characters is also cut as if it had n, with the gap a character wider.
     """
-    keys = []
-    for wider in (0, 1):
+    def keys(wider: int) -> Column:
         n = size - wider
-        for j in range(parts):
+
+        def without(j: Column) -> Column:
             low = F.floor(n * j / parts).cast("int")
             high = (F.floor(n * (j + 1) / parts) + wider).cast("int")
-            keys.append(
-                F.xxhash64(n, F.lit(j), F.substring(line, F.lit(1), low), F.substring(line, high + 1, size))
-            )
-    return F.array(*keys)
+            return F.xxhash64(n, j, F.substring(line, F.lit(1), low), F.substring(line, high + 1, size))
+
+        # One expression over a list of places, not one per place: plans stay small for the driver.
+        return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), without)
+
+    return F.concat(keys(0), keys(1))
 
 
 def sharing(lines: DataFrame, keys: Column) -> DataFrame:
@@ -167,27 +171,25 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return both.filter(near).groupBy("h1", "h2").agg(F.min("place").alias("witness"))
 
 
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """Lines to remove: doc_id, text_hash, line_no, witness (the earlier line's place), exact.
 
     Lines end at ``\\n``. Earlier means a smaller doc_id (null ids last), or further up in the same
     document. A line goes if an equal or near line stands earlier; this is judged on the input, not on
-    what is left. Lines of fewer than ``min_chars`` characters stay. Rows that repeat both id and text
-    count as one document.
+    what is left. Lines of fewer than ``min_chars`` characters go for equal ones only, and those of
+    fewer than ``exact_chars`` stay. Rows that repeat both id and text count as one document.
     """
     docs = with_hash(docs)
-    cut = split_lines(docs).filter(F.col("size") >= min_chars)
-    lines = written(
-        cut.withColumn("keys", gap_keys(F.col("line"), F.col("size"), COARSE)).drop("line", "size"),
-        "all-lines",
-    )
+    cut = split_lines(docs).filter(F.col("size") >= exact_chars)
+    keys = F.when(F.col("size") >= min_chars, gap_keys(F.col("line"), F.col("size"), COARSE))
+    lines = written(cut.withColumn("keys", keys).drop("line", "size"), "all-lines")
     distinct = lines.groupBy("h1", "h2").agg(
         F.min(order()).alias("first"),
         F.any_value("keys").alias("keys"),
         F.count(F.lit(1)).alias("n"),
     )
     distinct = written(distinct, "distinct-lines")
-    some = sharing(distinct, F.col("keys"))
+    some = sharing(distinct.filter("keys IS NOT NULL"), F.col("keys"))
     places = distinct.join(some, ["h1", "h2"]).select("h1", "h2", "first")
     place = places.select(
         F.col("first.doc_id").alias("doc_id"),
