@@ -15,24 +15,26 @@ leading segments need such keys in each scheme (usually none); they alone get th
 cannot be paid for at all, its scheme gives votes to empty segments, too.
 
 Documents with the same set are one class; only classes are compared. Keys that one class alone has
-drop out. The others give candidates in two steps, so that large groups of near copies need no pairs:
-each class is first compared with the hub of each key, the class that shares most keys; then classes of
-one key that are not yet connected are compared with each other, all of them. A sketch (how many tokens
-fall into each of 32 cells) rules out pairs that must differ too much, inside the join that finds them;
-all others are verified on both whole sets.
+drop out. The others give candidates in three steps, so that large groups of near copies need no pairs.
+The hub of a key is the class that shares most keys. Each class is first compared with one hub, the
+greatest of those of its keys; then with the hubs of its other keys that this did not connect it with;
+then classes of one key that are still not connected are compared with each other, all of them. Two
+sketches rule out pairs that must differ too much, inside the join that finds them: how many tokens fall
+into each of 32 cells, and whether their number is odd in each of 512; all others are verified on both
+whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattframe.llm.common import join_groups, ship, written
+from wattframe.llm.common import discard, join_groups, ship, written
 from wattframe.llm.components import components
 from wattframe.llm.hashing import LOWER, STEP, U, mix, window_hashes, word_hashes
 
@@ -41,8 +43,9 @@ NEAR, OF = 85, 100
 WORDS = 4
 #: A document that no number of leading segments pays for.
 UNPAID = 1 << 20
-#: Cells of a sketch.
+#: Cells of a sketch of counts, and words of 64 bits of one of parities.
 CELLS = 32
+PARITY = 8
 
 
 def shingles(text: str | None, length: int = WORDS) -> np.ndarray:
@@ -123,10 +126,11 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def classes(docs: DataFrame, length: int, near: int) -> DataFrame:
-    """doc_id, n_shingles, sid (names the set), and what the document asks of its schemes."""
+    """doc_id, text_hash, n_shingles, sid (names the set), and what the document asks of its schemes."""
     kind = pa.schema(
         [
             ("doc_id", pa.int64()),
+            ("text_hash", pa.int64()),
             ("n_shingles", pa.int64()),
             ("sid", pa.int64()),
             ("asks", pa.list_(pa.struct([("scheme", pa.int32()), ("leading", pa.int32())]))),
@@ -136,7 +140,8 @@ def classes(docs: DataFrame, length: int, near: int) -> DataFrame:
     def count(batches):
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            ids, hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
+            for doc_id, text_hash, text in zip(ids, hashes, batch.column("text")):
                 tokens = shingles(text.as_py(), length)
                 asks = []
                 if len(tokens):
@@ -147,6 +152,7 @@ def classes(docs: DataFrame, length: int, near: int) -> DataFrame:
                 rows.append(
                     {
                         "doc_id": doc_id,
+                        "text_hash": text_hash,
                         "n_shingles": len(tokens),
                         "sid": set_id(tokens) if len(tokens) else None,
                         "asks": asks,
@@ -154,8 +160,13 @@ def classes(docs: DataFrame, length: int, near: int) -> DataFrame:
                 )
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    names = "doc_id long, n_shingles long, sid long, asks array<struct<scheme: int, leading: int>>"
-    return docs.select("doc_id", "text").mapInArrow(count, names)
+    names = "doc_id long, text_hash long, n_shingles long, sid long, asks array<struct<scheme: int, leading: int>>"
+    return docs.select("doc_id", text_hash(), "text").mapInArrow(count, names)
+
+
+def text_hash() -> Column:
+    """Tells rows that repeat an id apart."""
+    return F.xxhash64("text").alias("text_hash")
 
 
 def keys(docs: DataFrame, leading: dict[int, int], length: int, near: int) -> DataFrame:
@@ -192,10 +203,16 @@ def keys(docs: DataFrame, leading: dict[int, int], length: int, near: int) -> Da
 
 
 def sets_of(docs: DataFrame, length: int) -> DataFrame:
-    """(sid, n, sketch, tokens): the sorted tokens as bytes, their number, and how many fall into each of
-    ``CELLS`` cells."""
+    """(sid, n, sketch, odd, tokens): the sorted tokens as bytes, their number, how many fall into each of
+    ``CELLS`` cells, and the bits of the finer cells that hold an odd number."""
     kind = pa.schema(
-        [("sid", pa.int64()), ("n", pa.int32()), ("sketch", pa.list_(pa.int32())), ("tokens", pa.binary())]
+        [
+            ("sid", pa.int64()),
+            ("n", pa.int32()),
+            ("sketch", pa.list_(pa.int32())),
+            ("odd", pa.list_(pa.int64())),
+            ("tokens", pa.binary()),
+        ]
     )
 
     def pack(batches):
@@ -204,36 +221,46 @@ def sets_of(docs: DataFrame, length: int) -> DataFrame:
             for text in batch.column("text"):
                 tokens = shingles(text.as_py(), length)
                 if len(tokens):
-                    cells = np.bincount((mix(tokens) % U(CELLS)).astype(np.int64), minlength=CELLS)
+                    mixed = mix(tokens)
+                    cells = np.bincount((mixed % U(CELLS)).astype(np.int64), minlength=CELLS)
+                    fine = ((mixed >> U(32)) % U(64 * PARITY)).astype(np.int64)
+                    odd = np.packbits(np.bincount(fine, minlength=64 * PARITY) & 1).view(np.int64)
                     row = {"sid": set_id(tokens), "n": len(tokens), "sketch": cells.tolist()}
-                    rows.append(row | {"tokens": tokens.tobytes()})
+                    rows.append(row | {"odd": odd.tolist(), "tokens": tokens.tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    return docs.select("text").mapInArrow(pack, "sid long, n int, sketch array<int>, tokens binary")
+    kinds = "sid long, n int, sketch array<int>, odd array<long>, tokens binary"
+    return docs.select("text").mapInArrow(pack, kinds)
 
 
-def may_be_near(one: str, two: str, near: int):
-    """Whether two sketches leave room for the threshold: sets differ by at least as much as their cells."""
+def may_be_near(one: str, two: str, near: int) -> Column:
+    """Whether sizes and sketches leave room for the threshold: sets differ by at least as much as they do.
+
+    A token in one set alone changes one count by one and turns one parity round.
+    """
+    both = F.col(f"{one}.n") + F.col(f"{two}.n")
     apart = F.aggregate(
         F.zip_with(f"{one}.sketch", f"{two}.sketch", lambda x, y: F.abs(x - y)),
         F.lit(0),
         lambda total, x: total + x,
     )
-    both = F.col(f"{one}.n") + F.col(f"{two}.n")
-    return (OF + near) * F.abs(F.col(f"{one}.n") - F.col(f"{two}.n")) <= (OF - near) * both, (
-        (OF + near) * apart <= (OF - near) * both
+    turned = reduce(
+        lambda x, y: x + y,
+        (F.bit_count(F.get(f"{one}.odd", i).bitwiseXOR(F.get(f"{two}.odd", i))) for i in range(PARITY)),
     )
+    room = (OF - near) * both
+    sizes = (OF + near) * F.abs(F.col(f"{one}.n") - F.col(f"{two}.n")) <= room
+    return sizes & ((OF + near) * turned <= room) & ((OF + near) * apart <= room)
 
 
 def near_pairs(pairs: DataFrame, sets: DataFrame, near: int) -> DataFrame:
     """Those pairs (a, b) of sets whose similarity reaches the threshold; sketches rule out most others."""
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    short = sets.select("sid", "n", "sketch")
+    short = sets.select("sid", "n", "sketch", "odd")
     one, two = short.alias("one"), short.alias("two")
-    near_sizes, near_cells = may_be_near("one", "two", near)
     pairs = (
         pairs.join(one, F.col("a") == F.col("one.sid"))
-        .join(two, (F.col("b") == F.col("two.sid")) & near_sizes & near_cells)
+        .join(two, (F.col("b") == F.col("two.sid")) & may_be_near("one", "two", near))
         .select("a", "b")
     )
     pairs = written(pairs, "pairs")
@@ -274,45 +301,69 @@ def near_classes(docs: DataFrame, members: DataFrame, length: int, near: int) ->
     hubs = live.join(weight, "sid").groupBy("key").agg(
         F.max(F.struct("weight", "sid")).alias("hub"), F.count(F.lit(1)).alias("n")
     )
-    hubs = written(hubs.select("key", F.col("hub.sid").alias("hub"), "n"), "hubs")
-    to_hub = join_groups(live, hubs, ["key"], "n", total).filter("sid != hub")
-    to_hub = to_hub.select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
-    reps = members.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(weight, "sid", "left_semi")
-    reps = reps.select("doc_id").distinct().hint("merge")
-    texts = docs.select("doc_id", "text").join(reps, "doc_id", "left_semi")
+    hubs = written(hubs, "hubs")
+    reps = members.groupBy("sid").agg(
+        F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash")).alias("rep")
+    )
+    reps = reps.join(weight, "sid", "left_semi").select("rep.doc_id", "rep.text_hash")
+    texts = docs.select("doc_id", text_hash(), "text")
+    texts = texts.join(*by_row(reps), "left_semi")
     sets = written(sets_of(texts, length).dropDuplicates(["sid"]), "sets")
-    links = written(near_pairs(to_hub, sets, near), "near")
+    # One hub for each class: the greatest among those of its keys.
+    best = join_groups(live, hubs, ["key"], "n", total).groupBy("sid").agg(F.max("hub").alias("hub"))
+    first = best.select(F.col("sid").alias("a"), F.col("hub.sid").alias("b")).filter("a != b")
+    links = written(near_pairs(first, sets, near), "near")
     labels = components(links)
+    # The hubs of its other keys, where the first did not connect them.
+    marked = labelled(live, labels, "sid", "label")
+    far = labelled(hubs.select("key", "n", F.col("hub.sid").alias("hub")), labels, "hub", "far")
+    to_hub = join_groups(marked, written(far, "hubs"), ["key"], "n", total).filter("label != far")
+    to_hub = written(to_hub.select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    more = written(near_pairs(to_hub, sets, near), "near")
+    discard(hubs, weight)
+    if not more.isEmpty():
+        discard(labels)
+        links = links.unionByName(more)
+        labels = components(links)
     # What the hubs did not connect: all pairs of different components that share a key.
-    marked = live.join(labels.withColumnRenamed("id", "sid"), "sid", "left").select(
-        "key", "sid", "whole", F.coalesce("label", "sid").alias("label")
-    )
+    marked = labelled(live, labels, "sid", "label")
     open_keys = marked.groupBy("key").agg(
         F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")
     )
     open_keys = written(open_keys.filter("least != most").select("key", "n"), "open-keys")
     rest = join_groups(marked, open_keys, ["key"], "n", total).drop("n")
-    rest = written(rest.join(sets.select("sid", "n", "sketch"), "sid"), "open")
+    rest = written(rest.join(sets.select("sid", "n", "sketch", "odd"), "sid"), "open")
     left, right = rest.alias("l"), rest.alias("r")
-    near_sizes, near_cells = may_be_near("l", "r", near)
     pairs = left.join(
         right,
         (F.col("l.key") == F.col("r.key"))
         & (F.col("l.sid") < F.col("r.sid"))
         & (F.col("l.label") != F.col("r.label"))
         & (F.col("l.whole") | F.col("r.whole"))
-        & near_sizes
-        & near_cells,
+        & may_be_near("l", "r", near),
     )
     pairs = pairs.select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
     tried = to_hub.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = near_pairs(pairs.join(tried, ["a", "b"], "left_anti"), sets, near)
-    more = written(more, "near")
+    more = written(near_pairs(pairs.join(tried, ["a", "b"], "left_anti"), sets, near), "near")
+    discard(live, open_keys, rest, sets, to_hub)
     if more.isEmpty():
         return labels
+    discard(labels)
     return components(links.unionByName(more))
 
 
+def labelled(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with the label of a class; a class without links is its own."""
+    known = labels.select(F.col("id").alias(key), F.col("label").alias(name))
+    return rows.join(known, key, "left").withColumn(name, F.coalesce(name, key))
+
+
+def by_row(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """``rows`` (doc_id, text_hash) for a shuffled join with documents, and its null-safe condition."""
+    other = rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).hint("merge")
+    return other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+
+
 def jaccard_components(docs: DataFrame, length: int = WORDS, near: int = NEAR) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -322,31 +373,43 @@ def jaccard_components(docs: DataFrame, length: int = WORDS, near: int = NEAR) -
     is the smallest doc_id reached; null ids are named only by a component that has no other. Rows that
     repeat an id are told apart by their texts. An empty table gives an empty result.
     """
+    found, _ = linked_rows(docs, length, near)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def linked_rows(docs: DataFrame, length: int, near: int) -> tuple[DataFrame, DataFrame]:
+    """Rows as (doc_id, text_hash, n_shingles, component_id), and those that are not the first of their
+    component, as distinct (doc_id, text_hash). The first has the smallest id, then the smallest hash."""
     ship(docs.sparkSession)
     members = written(classes(docs, length, near), "classes")
     labels = near_classes(docs, members, length, near)
+    row = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash")
     size = members.filter("sid IS NOT NULL").groupBy("sid").agg(
-        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")
+        F.min(row).alias("least"), F.count(F.lit(1)).alias("n")
     )
-    size = size.join(labels.withColumnRenamed("id", "sid"), "sid", "left")
-    size = written(size.withColumn("label", F.coalesce("label", "sid")), "sizes")
-    least = size.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("k"))
+    size = written(labelled(size, labels, "sid", "label"), "sizes")
+    least = size.groupBy("label").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("k"))
     least = written(least, "least")
     named = join_groups(size, least, ["label"], "k", size.count())
-    named = written(named.select("sid", "component_id", "n"), "named")
-    have = members.filter("sid IS NOT NULL").select("doc_id", "n_shingles", "sid")
+    named = written(named.select("sid", "first", "n"), "named")
+    have = members.filter("sid IS NOT NULL").select("doc_id", "text_hash", "n_shingles", "sid")
     linked = join_groups(have, named, ["sid"], "n", members.count())
     alone = members.filter("sid IS NULL").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
+        "doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id")
     )
-    return linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    columns = ["doc_id", "text_hash", "n_shingles", F.col("first.doc_id").alias("component_id")]
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    later = linked.filter(~first).select("doc_id", "text_hash").distinct()
+    return linked.select(columns).unionByName(alone), later
 
 
 def one_of_each(docs: DataFrame, length: int = WORDS, near: int = NEAR) -> DataFrame:
-    """Pipeline stage: of each component, the document with the smallest id stays, with all its columns.
+    """Pipeline stage: of each component one document stays, with all its columns.
 
-    Documents without an id stay, since the rule cannot name them.
+    It is the one with the smallest id (null ids last, equal ids by a hash of their texts). Documents
+    are told apart by id and text: another text under the id of one that goes is not touched, and rows
+    that repeat both stay or go together. Documents without words all stay.
     """
-    found = jaccard_components(docs, length, near)
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    _, later = linked_rows(docs, length, near)
+    packed = docs.select("doc_id", text_hash(), F.struct(*docs.columns).alias("row"))
+    return packed.join(*by_row(later), "left_anti").select("row.*")
