@@ -98,6 +98,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     ``LEAST`` tokens are not looked for; items of fewer than eight are one window. Rows that repeat an id
     count as one document (or item) if one of them matches. Empty tables give an empty result.
     """
+    best = leaking_rows(docs, benchmark, coverage).groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
+    return best.select(
+        "doc_id", "item_id", F.col("best.coverage").alias("coverage"), (-F.col("best.back")).alias("changed_slots")
+    )
+
+
+def leaking_rows(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """The same pairs with the hash of the document's text: doc_id, text_hash, item_id, best."""
     items = forms(benchmark.filter("item_id IS NOT NULL").select("item_id", "text"))
     items = items.withColumn("ours", valued(F.col("text"), F.col("form")))
     items = items.filter((F.size("template") >= LEAST) & (F.size(marked(F.col("text"), False, False)) >= LEAST))
@@ -120,7 +128,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
         pieces.append(windows(rows, length, "row").join(side, "hash").withColumn("length", F.lit(length)))
     if not pieces:
         return docs.sparkSession.createDataFrame(
-            [], "doc_id long, item_id long, coverage double, changed_slots long"
+            [], "doc_id long, text_hash long, item_id long, best struct<coverage: double, back: long>"
         )
     met = pieces[0]
     for piece in pieces[1:]:
@@ -209,16 +217,19 @@ def passing(judged: DataFrame, total: DataFrame, coverage: float) -> DataFrame:
     )
     changed = F.size(F.array_distinct(F.filter("slots", lambda s: s["our"] != s["their"]))).cast("long")
     both = both.select("row", "item_id", (F.size("starts") / F.col("total")).alias("coverage"), changed.alias("n"))
-    best = both.filter(F.col("coverage") >= coverage).groupBy(F.col("row.doc_id").alias("doc_id"), "item_id").agg(
+    return both.filter(F.col("coverage") >= coverage).groupBy("row.doc_id", "row.text_hash", "item_id").agg(
         F.max(F.struct("coverage", (-F.col("n")).alias("back"))).alias("best")
     )
-    return best.select(
-        "doc_id", "item_id", F.col("best.coverage").alias("coverage"), (-F.col("best.back")).alias("changed_slots")
-    )
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Pipeline stage: ``docs`` without the documents that hold an item of the benchmark."""
-    gone = leaks(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
-    held = F.col("doc_id").eqNullSafe(F.col("__gone"))
-    return docs.join(gone.hint("merge"), held, "left_anti")
+    """Pipeline stage: ``docs`` without the documents that hold an item of the benchmark.
+
+    Documents are told apart by id and text, so another text under the same id stays; rows that repeat
+    both stay or go together. Null texts and missing ids are documents as any other. An empty table, or
+    an empty benchmark, takes nothing away.
+    """
+    found = leaking_rows(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    packed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*docs.columns).alias("row"))
+    held = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    return packed.join(found.distinct().hint("merge"), held, "left_anti").select("row.*")
