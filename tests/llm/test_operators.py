@@ -230,21 +230,27 @@ def test_lines(spark, nothing):
     rows = [
         (d, "\n".join(changed(draw.choice(base)) for _ in range(draw.randrange(8))) if d % 7 else None)
         for d in range(25)
-    ] + [(3, ""), (4, "short\nshort")]
+    ] + [(3, ""), (4, "short\nshort\n\n\nshore"), (40, "shore\n\nshort"), (None, "short\nx")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", lines.F.lit("clash"))
     keys = {(r["doc_id"], r["text"]): r["text_hash"] for r in lines.with_hash(df).collect()}
     every = sorted(
-        (d, keys[d, t or ""], i, x)
-        for d, t in rows
-        for i, x in enumerate((t or "").split("\n"))
-        if len(x) >= lines.MIN_CHARS
+        ((d, keys[d, t or ""], i, x) for d, t in rows for i, x in enumerate((t or "").split("\n")) if x),
+        key=lambda r: (r[0] is None, r[0] or 0, *r[1:]),
     )
-    gone = {o[:3] for k, o in enumerate(every) if any(near(o[3], p[3]) for p in every[:k])}
+
+    def repeats(line, earlier):
+        # Lines below the bound have no near ones.
+        short = min(len(line), len(earlier)) < lines.MIN_CHARS
+        return line == earlier if short else near(line, earlier)
+
+    gone = {o[:3] for k, o in enumerate(every) if any(repeats(o[3], p[3]) for p in every[:k])}
     want = []
     for d, t in rows:
         kept = [x for i, x in enumerate((t or "").split("\n")) if (d, keys[d, t or ""], i) not in gone]
         want.append((d, "\n".join(kept)))
-    assert gone and sorted((r["doc_id"], r["text"] or "") for r in lines.dedup_lines(df).collect()) == sorted(want)
+    found = [(r["doc_id"], r["text"] or "") for r in lines.dedup_lines(df).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert gone and sorted(found, key=order) == sorted(want, key=order)
     assert lines.unique_lines(df).columns == df.columns
     assert lines.dedup_lines(nothing).collect() == []
 
@@ -379,3 +385,67 @@ def test_toxicity_in_grades(spark, nothing):
 def test_every_operator_is_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_stages_tell_rows_apart_by_id_and_text(spark):
+    base = words(60, 11)
+    near_copy = [*base[:-1], "other"]
+    unrelated = words(60, 12)
+    rows = [
+        (3, " ".join(base)),
+        (5, " ".join(near_copy)),
+        (5, " ".join(unrelated)),
+        (None, " ".join([*base[:-1], "third"])),
+        (None, " ".join(words(60, 13))),
+        (7, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("__gone", "_id", "_hash", "text_hash", "row", "sid"):
+        df = df.withColumn(name, lines.F.lit(1))
+    kept = ngrams.one_of_each(df, 5, 80)
+    assert kept.columns == df.columns
+    left = {(r["doc_id"], r["text"]) for r in kept.collect()}
+    assert left == {rows[0], rows[2], rows[4], rows[5]}
+    found = ngrams.jaccard_components(df).collect()
+    assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in found) == [
+        (-1, -1), (-1, 3), (3, 3), (5, 3), (5, 5), (7, 7)
+    ]
+    # Components without any id are linked all the same.
+    nameless = df.withColumn("doc_id", lines.F.lit(None).cast("long"))
+    assert {r["text"] for r in ngrams.one_of_each(nameless, 5, 80).collect()} >= {rows[2][1], rows[4][1]}
+    assert ngrams.one_of_each(nameless, 5, 80).count() == 4
+
+    question = "A train with 12 wagons leaves from Boston at 9 km and then it goes on to the next stop by noon"
+    items = spark.createDataFrame([(1, question)], "item_id long, text string")
+    leaky = df.unionByName(df.limit(1).withColumn("text", lines.F.lit(question)).withColumn("doc_id", lines.F.lit(5).cast("long")))
+    kept = decontam.drop_leaks(leaky, items)
+    assert kept.columns == df.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
+
+
+def test_links_of_groups_with_many_near_copies(spark):
+    draw = random.Random(8)
+    rows = []
+    for group in range(3):
+        base = words(70, 100 + group)
+        for _ in range(60):
+            text = list(base)
+            for _ in range(draw.randrange(4)):
+                text[draw.randrange(70)] = f"w{draw.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(67)} for _, t in rows]
+    label = list(range(len(rows)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                x, y = sorted((root(i), root(j)))
+                label[y] = x
+    want = {(i, len(sets[i]), root(i)) for i in range(len(rows))}
+    assert {tuple(r) for r in ngrams.jaccard_components(df).collect()} == want
