@@ -1,13 +1,16 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import at, records
+from tests.conftest import at, plan_of, records
+from wattframe.catalog import QUERIES
 from wattframe.operators.capacity import (
     capacity_stats,
     generation_year,
     implied_capacity,
+    implied_from_hours,
     observed_overview,
 )
+from wattframe.operators.normalize import normalize_generation
 from wattframe.plans.studies import profile_study, share_total
 
 HOURLY = "country STRING, dateTime TIMESTAMP_NTZ, demand DOUBLE, windOnshore DOUBLE, windOffshore DOUBLE, solar DOUBLE"
@@ -61,6 +64,22 @@ def test_overview_and_implied_capacity(spark, hourly):
     assert implied["Solar"] == round(100 / (40 / 3500 + 1e-7) / 1000, 2)
 
 
+def test_implied_capacity_by_one_grouping(spark, hourly, testdata):
+    shares, generation = {"Wind": 0.5, "Solar": 0.3, "Constant": 0.2}, generation_year(hourly)
+    caps = spark.createDataFrame([("DE", 2020, 2500.0, None, 3500.0)], CAPACITY)
+
+    def table(df):
+        return {(r["country"], r["year"], r["technology"]): r["impliedCapacity"] for r in df.collect()}
+
+    for total_demand in (0, 500):
+        normal = normalize_generation(generation, shares, total_demand, ("country", "year"))
+        apart = table(implied_capacity(normal, capacity_stats(generation, caps)))
+        at_once = table(implied_from_hours(generation, shares, total_demand, caps))
+        assert at_once == {k: pytest.approx(v) if v is not None else None for k, v in apart.items()}
+    plan = plan_of(QUERIES["implied_capacity"](spark, testdata))
+    assert sum("FileScan" in line and "lineitem" in line for line in plan.splitlines()) == 1
+
+
 @pytest.mark.parametrize("cache", [False, True])
 def test_profile_study(spark, hourly, cache):
     caps = spark.createDataFrame([("DE", 2020, 5.0, None, 1.0)], CAPACITY)

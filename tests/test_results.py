@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.conftest import at, plan_of, records
 from wattframe.operators import results as res
 from wattframe.operators.compare import category_rollup, category_rows, category_spread, model_scatter
-from wattframe.operators.dispatch import AMOUNTS, dispatch_hourly, scenario_inputs
+from wattframe.operators.dispatch import dispatch_hourly
 from wattframe.plans import categories, comparison
 from wattframe.plans.studies import result_study
 
@@ -89,30 +89,6 @@ def test_melt_turns_zero_into_missing(solved):
     assert long.filter("technology = 'renewable' AND value IS NULL").count() == zero > 0
 
 
-def test_long_form_and_back(solved, hours):
-    symbols = res.to_symbols(solved)
-    assert symbols.filter("level = 0 AND symbol <> 'GEN'").isEmpty()
-    back = res.assemble_results(symbols, scenario_inputs(hours, **GRID))
-    keys = ["country", "scenario_id", "date"]
-    a = records(back.select(*keys, *AMOUNTS, "share_renewable"), *keys)
-    b = records(solved.select(*keys, *AMOUNTS, "share_renewable"), *keys)
-    assert len(a) == len(b)
-    for x, y in zip(a, b):
-        assert [x[c] for c in (*keys, "share_renewable")] == [y[c] for c in (*keys, "share_renewable")]
-        assert [x[c] for c in AMOUNTS] == pytest.approx([y[c] for c in AMOUNTS])
-    assert plan_of(res.assemble_results(symbols)).count("Exchange") <= plan_of(symbols).count("Exchange") + 1
-
-
-def test_absent_records_are_zero(spark):
-    rows = [("A", 0, at("2020-01-01 00:00:00"), "GEN", "nuclear", 5.0), ("A", 0, at("2020-01-01 00:00:00"), "INJ", "storage", 2.0),
-            ("A", 0, at("2020-01-01 01:00:00"), "dem", "", 5.0)]
-    df = spark.createDataFrame(rows, "country STRING, scenario_id INT, date TIMESTAMP_NTZ, symbol STRING, element STRING, level DOUBLE")
-    wide = records(res.assemble_results(df))
-    # A period without generation records has no row.
-    assert len(wide) == 1
-    assert (wide[0]["nuclear"], wide[0]["netStorage"], wide[0]["curtailRenewable"]) == (5.0, -2.0, 0.0)
-
-
 def test_union_aligns_columns_by_name(spark):
     a, b = spark.createDataFrame([(1, 2)], "x INT, y INT"), spark.createDataFrame([(3,)], "y INT")
     assert records(res.union_results([a, b]), "y") == [{"x": 1, "y": 2}, {"x": None, "y": 3}]

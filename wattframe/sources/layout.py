@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Folders whose names begin with an underscore are no part of the table.
 LAYOUT = "_layout"
 MANIFEST = "_manifest"
+NOTE = "buckets INT, keys ARRAY<STRING>, time STRING, columns STRING"
 
 
 def table_name(path: str) -> str:
@@ -26,16 +27,15 @@ def register(spark: SparkSession, path: str) -> str:
 
 def bucketed(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]] | None:
     """The table that ``store_by_day`` wrote, with the columns it is stored by; None where there is none."""
-    found = records(spark, path, LAYOUT, "buckets INT, keys ARRAY<STRING>, time STRING")
+    found = records(spark, path, LAYOUT, NOTE)
     if not found:
         return None
     buckets, keys, time = found[0]["buckets"], found[0]["keys"], found[0]["time"]
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
     name = register(spark, path)
     listed = ", ".join(f"`{k}`" for k in keys)
     where = path.replace("'", "\\'")
     spark.sql(
-        f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({listed}) "
+        f"CREATE TABLE {name} ({found[0]['columns']}) USING parquet CLUSTERED BY ({listed}) "
         f"SORTED BY ({listed}, `{time}`) INTO {buckets} BUCKETS LOCATION '{where}'"
     )
     return spark.table(name), keys

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattframe.functions import day_of, share_key
 from wattframe.operators.joins import NO_DAY
-from wattframe.sources.layout import LAYOUT, register
+from wattframe.sources.layout import LAYOUT, NOTE, register
 
 SHARES = ("share_generation", "share_storage", "share_renewable")
 
@@ -52,10 +52,12 @@ def write_results(
     rows = results
     if sort and grid is not None:
         listed = [c for c in keys if c in grid]
-        ranks = [
-            F.array_position(F.array(*(share_key(F.lit(str(v))) for v in grid[c])), F.col(c)) for c in listed
-        ]
-        bits = max((len(grid[c]) for c in listed), default=1).bit_length()
+        bits = max(((len(grid[c]) - 1).bit_length() for c in listed), default=0)
+        ranks = []
+        for c in listed:
+            rank = F.array_position(F.array(*(share_key(F.lit(str(v))) for v in grid[c])), F.col(c)) - 1
+            # Short lists have their bits among the leading ones.
+            ranks.append(F.shiftleft(rank, bits - (len(grid[c]) - 1).bit_length()))
         rows = rows.sortWithinPartitions(*partition_by, interleaved(ranks, bits))
     elif sort and keys:
         rows = rows.sortWithinPartitions(*partition_by, *keys)
@@ -106,7 +108,8 @@ def store_by_day(
         .sortBy(*keys, time)
         .saveAsTable(name)
     )
-    layout = spark.createDataFrame([(buckets, keys, time)], "buckets INT, keys ARRAY<STRING>, time STRING")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
+    layout = spark.createDataFrame([(buckets, keys, time, columns)], NOTE)
     layout.coalesce(1).write.mode("overwrite").json(f"{path}/{LAYOUT}")
 
 
