@@ -152,7 +152,7 @@ def sweep_rows(spark):
         "share_renewable": [f"{10 * i}" for i in range(11)],
         "share_storage": [f"{i}" for i in range(11)],
     }
-    df = spark.range(24).select(F.col("id").cast("double").alias("nuclear"))
+    df = spark.range(96).select(F.col("id").cast("double").alias("nuclear"))
     for name, values in shares.items():
         share = F.explode(F.array(*(F.lit(v).cast("decimal(12,8)") for v in values)))
         df = df.select("*", share.alias(name))

@@ -51,7 +51,7 @@ def write_results(
         results = results.hint("rebalance", *partition_by)
     rows = results
     if sort and grid is not None:
-        listed = [c for c in keys if c in grid]
+        listed = sorted((c for c in keys if c in grid), key=lambda c: -len(grid[c]))
         bits = max(((len(grid[c]) - 1).bit_length() for c in listed), default=0)
         ranks = []
         for c in listed:
