@@ -71,6 +71,9 @@ def op5_passages(spark, folder):
     return passages.substring_dedup(table(spark, folder, "documents"))
 
 
+ORACLE["op5_passages"] = passages.SQL
+
+
 @query
 def op1_decontaminate(spark, folder):
     return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -2,9 +2,9 @@
 
 Each task writes its records into bundles. Records are grouped into independent Zstandard frames; a
 skippable frame at the end holds the seek table of the seekable format, so a reader finds any frame
-from the last bytes of a bundle. An index maps each record to its bundle, its frame, and its offset in
-the frame's content. The index is a table that Spark commits: a bundle left by a lost task is in no
-index and is never read.
+from the last bytes of a bundle. An index maps each record identifier to its bundle, its frame, and its
+offset in the frame's content; so a revisit's WARC-Refers-To is found as any other record. The index is a
+table that Spark commits: a bundle left by a lost task is in no index and is never read.
 
 Bundles are written and read through ``pyarrow.fs``, by the folder's URI.
 """
@@ -31,12 +31,11 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 26
 DATE = "2024-01-01T00:00:00Z"
-SPACE = uuid.UUID("8f0c7b1e-6f0b-5d2c-9a55-0d4c6a3f9e21")
 
-INDEX = "file string, frame int, offset long, length long, page_id long, record_type string"
+INDEX = "record_id string, file string, frame int, offset long, length long, page_id long, record_type string"
 RECORD = (
-    "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
-    "target_uri string, payload binary"
+    "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, "
+    "refers_to long, refers_to_record string, target_uri string, payload binary"
 )
 
 
@@ -64,23 +63,25 @@ def read_seek_table(file) -> list[tuple[int, int, int]]:
     return frames
 
 
-def record_id(kind: str, page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind} {page_id} {digest}')}>"
+def record_id(key: bytes) -> str:
+    """The identifier of the record of a page with this key."""
+    return f"<urn:uuid:{uuid.UUID(bytes=key, version=5)}>"
 
 
-def record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool) -> bytes:
+def record(page_id, url, payload: bytes, digest: str, key: bytes, refers_to, first_key: bytes | None) -> bytes:
     """One WARC record. A revisit has the payload's length and digest, but not the payload."""
     head = (
         "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
         f"Content-Length: {len(payload)}\r\n\r\n"
     ).encode()
+    revisit = refers_to is not None
     block = head if revisit else head + payload
     kind = "revisit" if revisit else "response"
     uri = quote(url, safe=":/?#[]@!$&'()*+,;=%~") if url else f"urn:page:{page_id}"
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {record_id(kind, page_id, digest)}",
+        f"WARC-Record-ID: {record_id(key)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -93,7 +94,7 @@ def record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool)
     if revisit:
         lines += [
             f"WARC-Profile: {PROFILE}",
-            f"WARC-Refers-To: {record_id('response', refers_to, digest)}",
+            f"WARC-Refers-To: {record_id(first_key)}",
             f"Refers-To-Page-ID: {refers_to}",
         ]
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
@@ -116,11 +117,13 @@ def parse(data: bytes, start: int) -> dict:
     refers = fields.get("Refers-To-Page-ID")
     page = fields.get("Page-ID")
     return {
+        "record_id": fields["WARC-Record-ID"],
         "page_id": None if page is None else int(page),
         "payload_bytes": int(http["Content-Length"]),
         "payload_digest": digest,
         "record_type": kind,
         "refers_to": None if refers is None else int(refers),
+        "refers_to_record": fields.get("WARC-Refers-To"),
         "target_uri": fields["WARC-Target-URI"],
         "payload": payload if kind == "response" else None,
     }
@@ -136,9 +139,11 @@ def store(folder: str):
 class Bundle:
     """One archive being written."""
 
-    def __init__(self, folder: str, level: int):
+    def __init__(self, folder: str, level: int, frame_bytes: int):
         import zstandard
 
+        self.frame_bytes = frame_bytes
+
         files, path = store(folder)
         files.create_dir(path, recursive=True)
         self.name = f"{uuid.uuid4().hex}.warc.zst"
@@ -150,7 +155,7 @@ class Bundle:
 
     def add(self, data: bytes) -> tuple[int, int]:
         """Frame and offset in its content at which the record stands."""
-        if self.filled and self.filled + len(data) > FRAME_BYTES:
+        if self.filled and self.filled + len(data) > self.frame_bytes:
             self.flush()
         place = len(self.frames), self.filled
         self.waiting.append(data)
@@ -174,18 +179,23 @@ class Bundle:
 
 
 def with_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Pages with sha (binary) and first_id: the page_id that holds their payload, null if it is their own.
+    """Pages with sha, key (both binary), and first_id, first_key: those of the page that holds their payload,
+    null if it is their own.
 
-    Payloads are compared by SHA-1 and length. Of equal payloads of at least ``min_bytes`` bytes, the
-    smallest page_id holds it; rows that repeat that very id hold it, too. If no row has an id, all do.
+    Payloads are compared by SHA-1. Of equal payloads of at least ``min_bytes`` bytes, the smallest page_id
+    holds it; rows that repeat that very id hold it, too, and the one with the smallest key is referred to. If
+    no row has an id, all do. The key names a record: it is made of page_id, url and payload, so that only rows
+    equal in all three share one.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     pages = pages.select("page_id", "url", payload.alias("payload"))
     pages = pages.withColumn("sha", F.unhex(F.sha1("payload")))
-    sizes = pages.filter(F.octet_length("payload") >= min_bytes).select("sha", "page_id")
-    groups = sizes.groupBy("sha").agg(
-        F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")
-    )
+    name = F.to_json(F.struct("page_id", "url", F.hex("sha").alias("sha")), {"ignoreNullFields": "false"})
+    pages = pages.withColumn("key", F.unhex(F.substring(F.sha1(name), 1, 32)))
+    sizes = pages.filter(F.octet_length("payload") >= min_bytes).select("sha", "page_id", "key")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "key")))
+    groups = sizes.groupBy("sha").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+    groups = groups.select("sha", F.col("first.page_id").alias("first_id"), F.col("first.key").alias("first_key"), "n")
     groups = written(groups.filter("n > 1 AND first_id IS NOT NULL"), "payloads")
     n = groups.count()
     if n <= BROADCAST_ROWS:
@@ -200,17 +210,25 @@ def with_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return joined.withColumn("first_id", F.when(~own, F.col("first_id"))).drop("n")
 
 
-def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 3) -> DataFrame:
+def write_bundles(
+    pages: DataFrame,
+    folder: str,
+    min_bytes: int = 0,
+    level: int = 3,
+    frame_bytes: int = FRAME_BYTES,
+    bundle_bytes: int = BUNDLE_BYTES,
+) -> DataFrame:
     """Write one record per page (page_id, url, html) into bundles under ``folder``; return their index.
 
     A null html is an empty payload; a null url gets a name made from the id. Rows are not moved: a
-    task's records go into its own bundles, of about ``BUNDLE_BYTES`` each. A larger record has a frame,
+    task's records go into its own bundles, of about ``bundle_bytes`` each. A larger record has a frame,
     and if need be a bundle, of its own. An empty table writes nothing.
     """
     ship(pages.sparkSession)
     rows = with_types(pages, min_bytes)
     kind = pa.schema(
         [
+            ("record_id", pa.string()),
             ("file", pa.string()),
             ("frame", pa.int32()),
             ("offset", pa.int64()),
@@ -222,19 +240,20 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle, index = None, []
+        names = ("page_id", "url", "payload", "sha", "key", "first_id", "first_key")
         for batch in batches:
-            cells = (batch.column(c) for c in ("page_id", "url", "payload", "sha", "first_id"))
-            for page_id, url, payload, sha, first_id in zip(*cells):
+            cells = (batch.column(c) for c in names)
+            for page_id, url, payload, sha, key, first_id, first_key in zip(*cells):
                 if bundle is None:
-                    bundle = Bundle(folder, level)
+                    bundle = Bundle(folder, level, frame_bytes)
                 page, payload = page_id.as_py(), payload.as_py()
                 digest = base64.b32encode(sha.as_py()).decode()
-                first = first_id.as_py()
-                data = record(page, url.as_py(), payload, digest, first, first is not None)
+                first, key = first_id.as_py(), key.as_py()
+                data = record(page, url.as_py(), payload, digest, key, first, first_key.as_py())
                 frame, offset = bundle.add(data)
                 what = "response" if first is None else "revisit"
-                index.append((bundle.name, frame, offset, len(data), page, what))
-                if bundle.written() >= BUNDLE_BYTES:
+                index.append((record_id(key), bundle.name, frame, offset, len(data), page, what))
+                if bundle.written() >= bundle_bytes:
                     bundle.close()
                     bundle = None
             if index:
@@ -255,11 +274,13 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     frames = index.groupBy("file", "frame").agg(F.collect_list("offset").alias("offsets"))
     kind = pa.schema(
         [
+            ("record_id", pa.string()),
             ("page_id", pa.int64()),
             ("payload_bytes", pa.int64()),
             ("payload_digest", pa.string()),
             ("record_type", pa.string()),
             ("refers_to", pa.int64()),
+            ("refers_to_record", pa.string()),
             ("target_uri", pa.string()),
             ("payload", pa.binary()),
         ]
@@ -287,6 +308,15 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     return frames.mapInArrow(unpack, RECORD)
 
 
+def find_records(index: DataFrame, folder: str, wanted: DataFrame) -> DataFrame:
+    """The records whose identifiers stand in column record_id of ``wanted``.
+
+    Repeated and null identifiers, and those that no record has, add nothing. Pages equal in id, url and
+    payload share an identifier, and all of their records are found.
+    """
+    return read_records(index.join(wanted.select("record_id").distinct(), "record_id", "left_semi"), folder)
+
+
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write all pages, read the bundles back, and return a row per record without its payload."""
     folder = folder or new_folder(pages.sparkSession, "warc")
