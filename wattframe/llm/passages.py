@@ -4,7 +4,7 @@ Windows of a base length come first. In each stretch of a document that could ho
 short window with the smallest hash stands for it; equal full windows have equal ones at the same place.
 Short windows that only one document has are alone, and so are all full windows they stand for. The others
 are extended to twice the length, where again one stands for each full window that is left, and so on until
-the full length is reached or no candidates survive. There two hashes, 128 bits, tell windows apart.
+the full length is reached or no candidates survive. There two hashes, 96 bits, tell windows apart.
 
 A window that starts in several documents belongs to the smallest doc_id; in the others, its words go.
 """
@@ -113,9 +113,9 @@ def doubled(docs: DataFrame, found: DataFrame, length: int, longer: int, window:
     ``found`` has the places of the windows that survived. Full windows also have a second hash, ``more``.
     """
     full = longer == window
-    names = "hash long, doc_id long, text_hash long, at int" + ", more long" * full
+    names = "hash long, doc_id long, text_hash long, at int" + ", more int" * full
     fields = [("hash", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int32())]
-    kind = pa.schema(fields + [("more", pa.int64())] * full)
+    kind = pa.schema(fields + [("more", pa.int32())] * full)
 
     def extend(batches):
         for batch in batches:
@@ -132,7 +132,8 @@ def doubled(docs: DataFrame, found: DataFrame, length: int, longer: int, window:
                 owner = (np.full(len(at), x, np.int64) for x in (doc_id, text_hash))
                 columns = [hashes[at].view(np.int64), *owner, at.astype(np.int32)]
                 if full:
-                    columns.append(window_hashes(mix(words + U(OTHER)), window)[at].view(np.int64))
+                    other = window_hashes(mix(words + U(OTHER)), window)[at]
+                    columns.append((other >> U(32)).astype(np.uint32).view(np.int32))
                 yield _rows(kind, *columns)
 
     places = found.groupBy(*OWNER).agg(F.collect_list("at").alias("places"))
