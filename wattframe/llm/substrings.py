@@ -78,12 +78,12 @@ def stretches(docs: DataFrame) -> DataFrame:
                 whole = mix(whole + (high - low).astype(U) * U(BACK))
                 yield _rows(
                     kind,
-                    o=short[place[low]].view(np.int64),
-                    w=whole.view(np.int64),
-                    r=np.full(len(low), row, np.int64),
-                    l=low.astype(np.int32),
-                    h=high.astype(np.int32),
-                    p=place[low].astype(np.int32),
+                    short[place[low]].view(np.int64),
+                    whole.view(np.int64),
+                    np.full(len(low), row, np.int64),
+                    low.astype(np.int32),
+                    high.astype(np.int32),
+                    place[low].astype(np.int32),
                 )
 
     return docs.select("row", "text").mapInArrow(
@@ -127,11 +127,11 @@ def pieces(docs: DataFrame, ranges: DataFrame) -> DataFrame:
                 whole = mix(whole + (b - a).astype(U) * U(BACK) + (core - a).astype(U) * U(STEP))
                 yield _rows(
                     kind,
-                    c=inner.view(np.int64),
-                    w=whole.view(np.int64),
-                    r=np.full(len(a), row, np.int64),
-                    l=a.astype(np.int32),
-                    h=b.astype(np.int32),
+                    inner.view(np.int64),
+                    whole.view(np.int64),
+                    np.full(len(a), row, np.int64),
+                    a.astype(np.int32),
+                    b.astype(np.int32),
                 )
 
     names = "core long, whole long, row long, low int, high int"
@@ -149,7 +149,7 @@ def sorted_repeats(docs: DataFrame, ranges: DataFrame, count: int) -> DataFrame:
                 data = text.as_py().encode()
                 core, low, high = (some.values.field(c).to_numpy() for c in ("core", "low", "high"))
                 cuts = [data[a : b + WINDOW] for a, b in zip(low.tolist(), high.tolist())]
-                yield _rows(kind, c=core, r=np.full(len(core), row, np.int64), l=low, b=cuts)
+                yield _rows(kind, core, np.full(len(core), row, np.int64), low, cuts)
 
     def sort(batches):
         kind = pa.schema([("row", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
@@ -177,7 +177,7 @@ def sorted_repeats(docs: DataFrame, ranges: DataFrame, count: int) -> DataFrame:
         at = (np.concatenate(lows)[piece] + found - begins[piece]).astype(np.int32)
         for i in range(0, len(at), 100_000):
             some = slice(i, i + 100_000)
-            yield _rows(kind, r=np.concatenate(rows)[piece[some]], l=at[some], h=at[some])
+            yield _rows(kind, np.concatenate(rows)[piece[some]], at[some], at[some])
 
     shards = max(docs.sparkSession.sparkContext.defaultParallelism, count * (WINDOW + OFFSETS) // SHARD + 1)
     names = "core long, row long, low int, bytes binary"
@@ -228,7 +228,7 @@ def counted_windows(docs: DataFrame, ranges: DataFrame) -> DataFrame:
                 usable = high - low + 1
                 at = np.repeat(low - np.append(0, np.cumsum(usable)[:-1]), usable) + np.arange(usable.sum())
                 yield _rows(
-                    kind, w=hashes[at].view(np.int64), r=np.full(len(at), row, np.int64), l=at.astype(np.int32)
+                    kind, hashes[at].view(np.int64), np.full(len(at), row, np.int64), at.astype(np.int32)
                 )
 
     found = with_ranges(docs, ranges).mapInArrow(lambda batches: gathered(cut(batches)), "window long, row long, low int")
