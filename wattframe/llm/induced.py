@@ -18,9 +18,8 @@ import tempfile
 
 import numpy as np
 
-ENTRY = np.dtype([("key", "<u8"), ("pos", "<u4")])
-#: Entries that a queue holds in memory before it writes a sorted run.
-BUFFER = 1 << 17
+#: Entries that a queue holds in memory before it writes a sorted run, and of these the next ones.
+BUFFER, NEAR = 1 << 17, 1 << 12
 _LAST = np.uint64(2**64 - 1)
 
 
@@ -33,72 +32,144 @@ def scratch(n: int, dtype) -> np.ndarray:
     """An array on disk."""
     with tempfile.TemporaryFile(dir=scratch_folder()) as file:
         file.truncate(max(1, n) * np.dtype(dtype).itemsize)
-        return np.memmap(file, dtype, "r+", shape=(max(1, n),))[:n]
+        return np.asarray(np.memmap(file, dtype, "r+", shape=(max(1, n),)))[:n]
+
+
+class Entries:
+    """Keys and positions, in order of the keys. Entries with one key are interchangeable."""
+
+    def __init__(self, key: np.ndarray, pos: np.ndarray):
+        self.key, self.pos = key, pos
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    @staticmethod
+    def none() -> Entries:
+        return Entries(np.empty(0, np.uint64), np.empty(0, np.uint32))
+
+    @staticmethod
+    def of(parts: list[tuple[np.ndarray, np.ndarray]]) -> Entries:
+        if not parts:
+            return Entries.none()
+        key, pos = (np.concatenate(column) for column in zip(*parts))
+        order = np.argsort(key)
+        return Entries(key[order], pos[order])
+
+    def merged(self, some: Entries) -> Entries:
+        if not len(some):
+            return self
+        place = np.searchsorted(self.key, some.key, "right") + np.arange(len(some))
+        rest = np.ones(len(self) + len(some), bool)
+        rest[place] = False
+        key, pos = np.empty(len(rest), np.uint64), np.empty(len(rest), np.uint32)
+        key[place], pos[place] = some.key, some.pos
+        key[rest], pos[rest] = self.key, self.pos
+        return Entries(key, pos)
+
+    def split(self, bound: int) -> tuple[Entries, Entries]:
+        """Those up to the bound, and the others."""
+        n = np.searchsorted(self.key, np.uint64(bound), "right")
+        return self.cut(n)
+
+    def cut(self, n: int) -> tuple[Entries, Entries]:
+        return Entries(self.key[:n], self.pos[:n]), Entries(self.key[n:], self.pos[n:])
 
 
 class DiskQueue:
-    """Priority queue of (key, pos). Sorted runs are on disk; ``front`` has the least entries in order."""
+    """Priority queue of (key, pos). Sorted runs are on disk, their least entries in memory.
+
+    Everything up to ``edge`` is in ``front``, in order, and everything up to ``bound`` there, in ``held`` or,
+    without order, in ``late``. A new entry is put in order when its turn is near, so it costs no copy of all.
+    """
 
     def __init__(self, buffer: int = BUFFER):
-        self.buffer, self.bound = buffer, -1
-        self.front = np.empty(0, ENTRY)
-        self.fresh: list[np.ndarray] = []
-        self.held = 0
+        self.buffer, self.edge, self.bound = buffer, -1, -1
+        self.near = max(1, min(NEAR, buffer // 4))
+        self.front, self.held = Entries.none(), Entries.none()
+        self.late: list[tuple] = []
+        self.fresh: list[tuple] = []
+        self.n_late = self.n_fresh = 0
         self.runs: list[list] = []  # file, entries taken, entries
 
     def push(self, key: np.ndarray, pos: np.ndarray) -> None:
+        if self.edge >= 0 and len(key):
+            near = key <= np.uint64(self.edge)
+            if near.any():
+                self.front = self.front.merged(Entries.of([(key[near], pos[near])]))
+                key, pos = key[~near], pos[~near]
+            near = key <= np.uint64(self.bound)
+            if near.any():
+                self.late.append((key[near], pos[near]))
+                self.n_late += len(self.late[-1][0])
+                key, pos = key[~near], pos[~near]
+                if self.n_late >= self.buffer:
+                    self._order_late()
         for at in range(0, len(key), self.buffer):
-            entries = np.empty(len(key[at : at + self.buffer]), ENTRY)
-            entries["key"], entries["pos"] = key[at : at + self.buffer], pos[at : at + self.buffer]
-            if self.bound >= 0:
-                near = entries["key"] <= np.uint64(self.bound)
-                some = entries[near]
-                if len(some):
-                    some = some[np.argsort(some["key"], kind="stable")]
-                    place = np.searchsorted(self.front["key"], some["key"], "right")
-                    self.front = np.insert(self.front, place, some)
-                    entries = entries[~near]
-            self.fresh.append(entries)
-            self.held += len(entries)
-            if self.held >= self.buffer:
-                self._spill()
-
-    def _sorted(self) -> np.ndarray:
-        entries = np.concatenate(self.fresh) if self.fresh else np.empty(0, ENTRY)
-        self.fresh, self.held = [], 0
-        return entries[np.argsort(entries["key"], kind="stable")]
-
-    def _spill(self) -> None:
-        entries = self._sorted()
-        file = tempfile.TemporaryFile(dir=scratch_folder())
-        file.write(entries.tobytes())
-        self.runs.append([file, 0, len(entries)])
+            self.fresh.append((key[at : at + self.buffer], pos[at : at + self.buffer]))
+            self.n_fresh += len(self.fresh[-1][0])
+            if self.n_fresh >= self.buffer:
+                self._spill(self._take_fresh())
 
-    def refill(self) -> bool:
-        """Fill an empty front from the heads of all runs; False if nothing is left."""
+    def _order_late(self) -> None:
+        self.held = self.held.merged(Entries.of(self.late))
+        self.late, self.n_late = [], 0
+        if len(self.held) > 2 * self.buffer:
+            # More has come than memory is meant for: the greater ones go to disk.
+            bound = int(self.held.key[self.buffer])
+            keep, rest = self.held.split(bound)
+            if len(rest):
+                self.held, self.bound = keep, bound
+                self._spill(rest)
+
+    def _take_fresh(self) -> Entries:
+        entries = Entries.of(self.fresh)
+        self.fresh, self.n_fresh = [], 0
+        return entries
+
+    def _spill(self, entries: Entries) -> None:
+        files = [tempfile.TemporaryFile(dir=scratch_folder()) for _ in range(2)]
+        for file, column in zip(files, (entries.key, entries.pos)):
+            file.write(column.tobytes())
+        self.runs.append([files, 0, len(entries)])
+
+    def _load(self) -> bool:
+        """Fill ``held`` from the heads of all runs; False if nothing is left."""
         share = max(1 << 13, self.buffer // (len(self.runs) + 1))
-        fresh = self._sorted()
-        heads, ends = [fresh[:share]], [len(fresh) <= share]
-        for file, taken, count in self.runs:
-            file.seek(taken * ENTRY.itemsize)
-            size = min(share, count - taken)
-            heads.append(np.frombuffer(file.read(size * ENTRY.itemsize), ENTRY))
+        fresh = self._take_fresh()
+        heads, ends = [fresh.cut(share)[0]], [len(fresh) <= share]
+        for files, taken, count in self.runs:
+            size, columns = min(share, count - taken), []
+            for file, kind in zip(files, (np.dtype(np.uint64), np.dtype(np.uint32))):
+                file.seek(taken * kind.itemsize)
+                columns.append(np.frombuffer(file.read(size * kind.itemsize), kind))
+            heads.append(Entries(*columns))
             ends.append(taken + size == count)
-        lasts = [int(h["key"][-1]) for h, end in zip(heads, ends) if not end]
-        full = [int(h["key"][-1]) for h in heads if len(h)]
+        lasts = [int(h.key[-1]) for h, end in zip(heads, ends) if not end]
+        full = [int(h.key[-1]) for h in heads if len(h)]
         if not full:
             return False
         self.bound = min(lasts) if lasts else max(full)
-        taken = [np.searchsorted(h["key"], np.uint64(self.bound), "right") for h in heads]
-        if len(fresh) > taken[0]:
-            self.fresh, self.held = [fresh[taken[0] :]], len(fresh) - taken[0]
-        for run, n in zip(self.runs, taken[1:]):
-            run[1] += int(n)
+        heads = [h.split(self.bound)[0] for h in heads]
+        rest = fresh.cut(len(heads[0]))[1]
+        if len(rest):
+            self.fresh, self.n_fresh = [(rest.key, rest.pos)], len(rest)
+        for run, head in zip(self.runs, heads[1:]):
+            run[1] += len(head)
         for run in [r for r in self.runs if r[1] == r[2]]:
-            run[0].close()
+            for file in run[0]:
+                file.close()
             self.runs.remove(run)
-        front = np.concatenate([h[:n] for h, n in zip(heads, taken)])
-        self.front = front[np.argsort(front["key"], kind="stable")]
+        self.held = Entries.of([(h.key, h.pos) for h in heads])
+        return True
+
+    def refill(self) -> bool:
+        """Fill an empty front with the next entries; False if nothing is left."""
+        self._order_late()
+        if not len(self.held) and not self._load():
+            return False
+        self.edge = int(self.held.key[min(self.near, len(self.held)) - 1])
+        self.front, self.held = self.held.split(self.edge)
         return True
 
 
@@ -134,12 +205,11 @@ def induce(text, top: int, rising, want: bool, seeds, ranks, buffer: int):
     for at in range(0, len(seeds), buffer):
         some = seeds[at : at + buffer]
         key = symbol(some) << np.uint64(33) | np.uint64(1 << 32) | ranks[at : at + buffer].astype(np.uint64)
-        queue.push(key, some)
+        queue.push(key, some.astype(np.uint32))
     places, classes = scratch(len(text), np.uint32), scratch(len(text), np.uint32)
     n_out, rank, last, look = 0, 0, -1, 64
     while len(queue.front) or queue.refill():
-        block = queue.front[:look]
-        key, pos = block["key"], block["pos"].astype(np.int64)
+        key, pos = queue.front.key[:look], queue.front.pos[:look].astype(np.int64)
         new = np.empty(len(key), bool)
         new[0], new[1:] = int(key[0]) != last, key[1:] != key[:-1]
         own = rank + np.cumsum(new)
@@ -154,9 +224,9 @@ def induce(text, top: int, rising, want: bool, seeds, ranks, buffer: int):
         places[n_out : n_out + m], classes[n_out : n_out + m] = pos[:n][got], own[:n][got]
         n_out += m
         rank, last = int(own[n - 1]), int(key[n - 1])
-        queue.front = queue.front[n:]
+        queue.front = queue.front.cut(n)[1]
         chosen = does[:n]
-        queue.push(made[:n][chosen], left[:n][chosen])
+        queue.push(made[:n][chosen], left[:n][chosen].astype(np.uint32))
     return places[:n_out], classes[:n_out]
 
 
@@ -200,22 +270,16 @@ def suffix_order(text: np.ndarray, buffer: int = BUFFER) -> np.ndarray:
 def repeats(text: np.ndarray, starts: np.ndarray, length: int, buffer: int = BUFFER) -> np.ndarray:
     """Those of ``starts`` whose next ``length`` symbols also begin at another of them, by suffix order.
 
-    ``text`` has one byte per symbol and ends with its only 0; every start has ``length`` symbols after it.
+    ``text`` ends with its only 0; every start has ``length`` symbols before that.
     """
     usable = scratch(len(text), bool)
     usable[starts] = True
     order = suffix_order(text, buffer)
     order = order[usable[order]].astype(np.int64)
-    # Neighbours with a common prefix of the length, eight symbols at a time.
+    # Neighbours with a common prefix of the length.
     same = np.arange(1, len(order))
-    steps = [*range(0, length - 7, 8), *([length - 8] if length % 8 and length >= 8 else [])]
-    raw = np.concatenate([text, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(text), "<u8", raw, strides=(1,))
-    for step in steps:
-        same = same[eight[order[same] + step] == eight[order[same - 1] + step]]
-    if length < 8:
-        for step in range(length):
-            same = same[raw[order[same] + step] == raw[order[same - 1] + step]]
+    for step in range(length):
+        same = same[text[order[same] + step] == text[order[same - 1] + step]]
     hit = np.zeros(len(order), bool)
     hit[same] = hit[same - 1] = True
     return np.sort(order[hit])

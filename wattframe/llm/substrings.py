@@ -10,7 +10,8 @@ Suffixes are sorted by external induction (see ``induced``), in shards so made t
   spread over as many shards as it has different surroundings. Of equal pieces, again one goes on.
 - A core that alone has more pieces than fit a shard, as where a passage of many documents begins or ends, is
   not sorted in one: its pieces are cut into single windows, and equal ones are counted.
-- Each shard sorts the suffixes of its pieces; neighbours with a common prefix of 200 bytes repeat.
+- Each shard sorts the suffixes of its pieces, in which equal cores, compared in full, are one symbol; neighbours
+  with a common prefix of a core and 24 bytes repeat.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from wattframe.llm.passages import _rows, leaders
 WINDOW, SHORT = 200, 100
 #: Offsets of the owner that share a piece, and bytes of pieces that a shard is meant to hold.
 OFFSETS, SHARD = 25, 1 << 21
+#: Bytes that all windows of a piece share.
+CORE = WINDOW - OFFSETS + 1
 
 
 def values(text: str | None) -> np.ndarray:
@@ -99,9 +102,16 @@ def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def pieces(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(core, whole, row, low, high): the ranges cut by the offset of their owner."""
+    """(core, whole, row, low, high, place): the ranges cut by the offset of their owner, core's hash and place."""
     kind = pa.schema(
-        [("core", pa.int64()), ("whole", pa.int64()), ("row", pa.int64()), ("low", pa.int32()), ("high", pa.int32())]
+        [
+            ("core", pa.int64()),
+            ("whole", pa.int64()),
+            ("row", pa.int64()),
+            ("low", pa.int32()),
+            ("high", pa.int32()),
+            ("place", pa.int32()),
+        ]
     )
 
     def cut(batches):
@@ -132,47 +142,68 @@ def pieces(docs: DataFrame, ranges: DataFrame) -> DataFrame:
                     np.full(len(a), row, np.int64),
                     a.astype(np.int32),
                     b.astype(np.int32),
+                    core.astype(np.int32),
                 )
 
-    names = "core long, whole long, row long, low int, high int"
+    names = "core long, whole long, row long, low int, high int, place int"
     return with_ranges(docs, ranges).mapInArrow(lambda batches: gathered(cut(batches)), names)
 
 
+def symbols(parts: list[bytes], cuts: list[int], names: dict[bytes, int], first: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces as symbols, with their cores, at ``cuts``, as one each, and the lengths of what they become.
+
+    Bytes are 1 to 256. Cores have numbers in ``names``, which grows; each piece ends with a number of its own,
+    counted from ``first``. Cores take even numbers beyond those of bytes and ends odd ones.
+    """
+    pairs = list(zip(parts, cuts))
+    raw = b"".join(x for part, at in pairs for x in (part[:at], b"\0", part[at + CORE :], b"\0"))
+    size = np.array([len(part) for part in parts]) - CORE + 2
+    stop = np.cumsum(size) - 1
+    text = np.frombuffer(raw, np.uint8).astype(np.uint32) + 1
+    core = [names.setdefault(part[at : at + CORE], len(names)) for part, at in pairs]
+    text[stop - size + 1 + np.array(cuts)] = np.array(core, np.uint32) * 2 + 258
+    text[stop] = (np.arange(len(parts), dtype=np.uint32) + first) * 2 + 259
+    return text, size
+
+
 def sorted_repeats(docs: DataFrame, ranges: DataFrame, count: int) -> DataFrame:
-    """(row, low, high): windows of the pieces (core, row, low, high) that start again in their shard."""
+    """(row, low, high): windows of the pieces (core, row, low, high, place) that start again in their shard."""
 
     def cut(batches):
-        kind = pa.schema([("core", pa.int64()), ("row", pa.int64()), ("low", pa.int32()), ("bytes", pa.binary())])
+        kind = pa.schema(
+            [("core", pa.int64()), ("row", pa.int64()), ("low", pa.int32()), ("at", pa.int32()), ("bytes", pa.binary())]
+        )
         for batch in batches:
             cells = zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("ranges"))
             for row, text, some in cells:
                 data = text.as_py().encode()
-                core, low, high = (some.values.field(c).to_numpy() for c in ("core", "low", "high"))
+                core, low, high, place = (some.values.field(c).to_numpy() for c in ("core", "low", "high", "place"))
                 cuts = [data[a : b + WINDOW] for a, b in zip(low.tolist(), high.tolist())]
-                yield _rows(kind, core, np.full(len(core), row, np.int64), low, cuts)
+                yield _rows(kind, core, np.full(len(core), row, np.int64), low, place - low, cuts)
 
     def sort(batches):
         kind = pa.schema([("row", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
-        held, rows, lows, ends, n = tempfile.TemporaryFile(dir=scratch_folder()), [], [], [], 0
+        held, rows, lows, sizes, names, n = tempfile.TemporaryFile(dir=scratch_folder()), [], [], [], {}, 0
         with held:
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 rows.append(batch.column("row").to_numpy())
                 lows.append(batch.column("low").to_numpy())
-                for piece in batch.column("bytes").to_pylist():
-                    # Symbols 0 and 1 end the text and a piece; no byte of UTF-8 is above 0xF4.
-                    held.write((np.frombuffer(piece, np.uint8) + 2).tobytes() + b"\x01")
-                    n += len(piece) + 1
-                    ends.append(n - 1)
+                part, size = symbols(batch.column("bytes").to_pylist(), batch.column("at").to_pylist(), names, n)
+                held.write(part.tobytes())
+                sizes.append(size)
+                n += len(size)
             if not n:
                 return
-            held.write(b"\x00")
+            held.write(b"\0" * 4)
             held.flush()
-            text = np.memmap(held, np.uint8, "r", shape=(n + 1,))
-        ends = np.array(ends)
-        begins = np.append(0, ends[:-1] + 1)
-        usable = ends - begins - WINDOW + 1
-        starts = np.repeat(begins - np.append(0, np.cumsum(usable)[:-1]), usable) + np.arange(usable.sum())
-        found = repeats(text, starts, WINDOW)
+            sizes = np.concatenate(sizes)
+            text = np.asarray(np.memmap(held, np.uint32, "r", shape=(int(sizes.sum()) + 1,)))
+        begins = np.cumsum(sizes) - sizes
+        usable = sizes - 1 - OFFSETS + 1
+        starts = np.repeat(begins - (np.cumsum(usable) - usable), usable) + np.arange(usable.sum())
+        found = repeats(text, starts, OFFSETS)
         piece = np.searchsorted(begins, found, "right") - 1
         at = (np.concatenate(lows)[piece] + found - begins[piece]).astype(np.int32)
         for i in range(0, len(at), 100_000):
@@ -180,7 +211,7 @@ def sorted_repeats(docs: DataFrame, ranges: DataFrame, count: int) -> DataFrame:
             yield _rows(kind, np.concatenate(rows)[piece[some]], at[some], at[some])
 
     shards = max(docs.sparkSession.sparkContext.defaultParallelism, count * (WINDOW + OFFSETS) // SHARD + 1)
-    names = "core long, row long, low int, bytes binary"
+    names = "core long, row long, low int, at int, bytes binary"
     cut_out = with_ranges(docs, ranges).mapInArrow(lambda batches: gathered(cut(batches)), names)
     return cut_out.repartition(shards, "core").mapInArrow(sort, "row long, low int, high int")
 
