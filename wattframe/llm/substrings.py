@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattframe.llm.common import join_groups, ship, written
+from wattframe.llm.common import discard, join_groups, ship, written
 from wattframe.llm.hashing import _BYTE, BACK, STEP, U, mix, powers, window_hashes
 from wattframe.llm.induced import repeats, scratch_folder
 from wattframe.llm.passages import _rows, leaders
@@ -219,7 +219,8 @@ def sorted_repeats(docs: DataFrame, ranges: DataFrame, count: int) -> DataFrame:
 def one_of_equal(found: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
     """Ranges that repeat as a whole, and one of each kind where a key has several kinds.
 
-    A key that occurs once cannot repeat. Only counts are kept of the rows that share key and bytes.
+    A key that occurs once cannot repeat. Only counts are kept of the rows that share key and bytes. ``found``,
+    a written table, is deleted once its repeated rows are stored.
     """
     total = found.count()
     keys = found.groupBy(key).agg(
@@ -227,6 +228,7 @@ def one_of_equal(found: DataFrame, key: str, name: str) -> tuple[DataFrame, Data
     )
     keys = written(keys.filter("n > 1"), f"{name}-keys")
     again = written(join_groups(found, keys, [key], "n", total).drop("n"), f"{name}-again")
+    discard(found, keys)
     one_kind = again.filter("NOT mixed").select("row", "low", "high")
     mixed = again.filter("mixed").drop("mixed")
     others = [c for c in found.columns if c not in (key, "whole")]
@@ -242,6 +244,7 @@ def split_cores(kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The pieces of cores that have at most as many as fit a shard, and those of the others."""
     sizes = written(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("n")), "core-sizes")
     sized = written(join_groups(kinds, sizes, ["core"], "n", kinds.count()), "sized")
+    discard(sizes)
     fits = F.col("n") <= SHARD // (WINDOW + OFFSETS)
     return sized.filter(fits).drop("n"), sized.filter(~fits).drop("n")
 
@@ -274,7 +277,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     whole, kinds = one_of_equal(written(stretches(docs), "stretches"), "owner", "stretch")
     cut = written(pieces(docs, kinds.drop("owner")), "pieces")
     parts, kinds = one_of_equal(cut, "core", "piece")
-    kinds, crowded = split_cores(written(kinds, "kinds"))
+    kinds, crowded = split_cores(kinds)
     windows = written(sorted_repeats(docs, kinds, kinds.count()), "windows")
     windows = windows.unionByName(written(counted_windows(docs, crowded), "counted"))
     return whole.unionByName(parts).unionByName(windows)
