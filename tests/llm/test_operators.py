@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from tests.conftest import plan_of
 from wattframe.llm import (
     bpe,
     decontam,
@@ -510,3 +511,20 @@ def test_links_of_groups_with_many_near_copies(spark):
                 label[y] = x
     want = {(i, len(sets[i]), root(i)) for i in range(len(rows))}
     assert {tuple(r) for r in ngrams.jaccard_components(df).collect()} == want
+
+
+def test_joins_without_hot_groups_are_plain(spark):
+    rows = [(i, f"a line that stands in each text\nsome line, and here is number {i * 7919}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert "LeftAnti" not in plan_of(lines.drop_lines(df))
+    kept = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()}
+    assert sum("stands" in text for text in kept.values()) == 1 and "stands" in kept[0]
+
+
+def test_hot_groups_of_equal_and_near_lines(spark):
+    n = 1200  # more than a group may have without being hot
+    rows = [(i, f"a line that stands in each text\nnear lines but for {chr(0x4E00 + i)} here") for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert "LeftAnti" in plan_of(lines.drop_lines(df))
+    found = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in lines.dedup_lines(df).collect()}
+    assert found == {i: (2, 2 if i else 0) for i in range(n)}

@@ -16,6 +16,8 @@ PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 #: Largest number of rows of a lookup table that is broadcast, and of hot groups that are.
 BROADCAST_ROWS = 200_000
 HOT_GROUPS = 1000
+#: Groups of up to so many rows are never hot.
+COLD_ROWS = 1000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -82,7 +84,7 @@ def join_groups(
     they are broadcast, and their rows are not moved. The others are joined by a shuffle, in which no
     key is hot. Both frames should be cheap to read twice.
     """
-    limit = max(1000, total // HOT_GROUPS)
+    limit = max(COLD_ROWS, total // HOT_GROUPS)
     large = F.broadcast(groups.filter(F.col(size) > limit))
     small = groups.filter(F.col(size) <= limit)
     hot = rows.join(large, key, "inner")
@@ -90,6 +92,19 @@ def join_groups(
     return hot.unionByName(rest.select(hot.columns))
 
 
+def join_written_groups(
+    rows: DataFrame, groups: DataFrame, key: list[str], size: str, counted: DataFrame
+) -> DataFrame:
+    """As ``join_groups``, for written groups; the bound comes from the number of rows of ``counted``.
+
+    Where no group can be hot this is one plain join: no broadcasts for the driver to build, ``rows`` are
+    read once and ``counted`` is not counted.
+    """
+    if groups.filter(F.col(size) > COLD_ROWS).isEmpty():
+        return rows.join(groups, key, "inner")
+    return join_groups(rows, groups, key, size, counted.count())
+
+
 def words_of(cell: Column) -> Column:
     """The 64-bit word of a filter that holds the bit of a cell."""
     return F.shiftright(cell, 6)

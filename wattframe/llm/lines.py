@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattframe.llm.common import free_name, join_groups, written
+from wattframe.llm.common import free_name, join_written_groups, written
 
 #: Shorter lines have no near ones: one edit would turn most short words into others.
 MIN_CHARS = 10
@@ -61,7 +61,7 @@ def sharing(lines: DataFrame, keys: Column) -> DataFrame:
     keyed = lines.select("h1", "h2", F.explode(F.array_distinct(keys)).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = written(shared, "keys")
-    met = join_groups(keyed, shared, ["key"], "n", lines.count())
+    met = join_written_groups(keyed, shared, ["key"], "n", lines)
     return written(met.select("h1", "h2").distinct(), "lines")
 
 
@@ -149,7 +149,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
         F.col("whole").isNotNull() & F.col("gone").isNotNull()
     )
     groups = written(groups.filter(useful).drop("last"), "variants")
-    met = join_groups(emitted, groups, ["key"], "n", lines.count())
+    met = join_written_groups(emitted, groups, ["key"], "n", lines)
     witness = (
         F.when(F.col("role") == "whole", F.col("gone"))
         .when(F.col("role") == "gone", F.col("whole"))
@@ -214,12 +214,8 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int
     candidates = texts
     near = near_lines(candidates)
     again = distinct.filter("n > 1").select("h1", "h2", "first", "n")
-    copies = join_groups(
-        lines.select("doc_id", "text_hash", "line_no", "h1", "h2"),
-        again,
-        ["h1", "h2"],
-        "n",
-        lines.count(),
+    copies = join_written_groups(
+        lines.select("doc_id", "text_hash", "line_no", "h1", "h2"), again, ["h1", "h2"], "n", lines
     ).filter(order() != F.col("first"))
     copies = copies.select(
         "doc_id", "text_hash", "line_no", F.col("first").alias("witness"), F.lit(True).alias("exact")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattframe.llm.common import discard, join_groups, ship, written
+from wattframe.llm.common import discard, join_written_groups, ship, written
 from wattframe.llm.components import components
 from wattframe.llm.hashing import LOWER, STEP, U, mix, window_hashes, word_hashes
 
@@ -297,7 +297,6 @@ def near_classes(docs: DataFrame, members: DataFrame, length: int, near: int) ->
     live = written(live, "shared-keys")
     weight = live.groupBy("sid").agg(F.count(F.lit(1)).alias("weight"))
     weight = written(weight, "weights")
-    total = live.count()
     hubs = live.join(weight, "sid").groupBy("key").agg(
         F.max(F.struct("weight", "sid")).alias("hub"), F.count(F.lit(1)).alias("n")
     )
@@ -310,14 +309,14 @@ def near_classes(docs: DataFrame, members: DataFrame, length: int, near: int) ->
     texts = texts.join(*by_row(reps), "left_semi")
     sets = written(sets_of(texts, length).dropDuplicates(["sid"]), "sets")
     # One hub for each class: the greatest among those of its keys.
-    best = join_groups(live, hubs, ["key"], "n", total).groupBy("sid").agg(F.max("hub").alias("hub"))
+    best = join_written_groups(live, hubs, ["key"], "n", live).groupBy("sid").agg(F.max("hub").alias("hub"))
     first = best.select(F.col("sid").alias("a"), F.col("hub.sid").alias("b")).filter("a != b")
     links = written(near_pairs(first, sets, near), "near")
     labels = components(links)
     # The hubs of its other keys, where the first did not connect them.
     marked = labelled(live, labels, "sid", "label")
     far = labelled(hubs.select("key", "n", F.col("hub.sid").alias("hub")), labels, "hub", "far")
-    to_hub = join_groups(marked, written(far, "hubs"), ["key"], "n", total).filter("label != far")
+    to_hub = join_written_groups(marked, written(far, "hubs"), ["key"], "n", live).filter("label != far")
     to_hub = written(to_hub.select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     more = written(near_pairs(to_hub, sets, near), "near")
     discard(hubs, weight)
@@ -331,7 +330,7 @@ def near_classes(docs: DataFrame, members: DataFrame, length: int, near: int) ->
         F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")
     )
     open_keys = written(open_keys.filter("least != most").select("key", "n"), "open-keys")
-    rest = join_groups(marked, open_keys, ["key"], "n", total).drop("n")
+    rest = join_written_groups(marked, open_keys, ["key"], "n", live).drop("n")
     rest = written(rest.join(sets.select("sid", "n", "sketch", "odd"), "sid"), "open")
     left, right = rest.alias("l"), rest.alias("r")
     pairs = left.join(
@@ -390,10 +389,10 @@ def linked_rows(docs: DataFrame, length: int, near: int) -> tuple[DataFrame, Dat
     size = written(labelled(size, labels, "sid", "label"), "sizes")
     least = size.groupBy("label").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("k"))
     least = written(least, "least")
-    named = join_groups(size, least, ["label"], "k", size.count())
+    named = join_written_groups(size, least, ["label"], "k", size)
     named = written(named.select("sid", "first", "n"), "named")
     have = members.filter("sid IS NOT NULL").select("doc_id", "text_hash", "n_shingles", "sid")
-    linked = join_groups(have, named, ["sid"], "n", members.count())
+    linked = join_written_groups(have, named, ["sid"], "n", members)
     alone = members.filter("sid IS NULL").select(
         "doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id")
     )
