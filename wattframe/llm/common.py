@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,10 @@ BROADCAST_ROWS = 200_000
 HOT_GROUPS = 1000
 #: Groups of up to so many rows are never hot.
 COLD_ROWS = 1000
+#: With it, Spark deletes the shuffle files of a query when it ends, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables written since ``settled`` began.
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,15 +52,45 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """Writes made inside leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, from a table in the shared folder: later work neither repeats nor loses them."""
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with without_shuffle_files(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     again = df.sparkSession.read.schema(df.schema).parquet(path)
     again._written_at = path
+    if (made := _made.get()) is not None:
+        made.append(again)
     return again
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of the frame that ``make`` returns, as a written table; those written for it are deleted."""
+    made: list[DataFrame] = []
+    mark = _made.set(made)
+    try:
+        rows = make()
+    finally:
+        _made.reset(mark)
+    rows = written(rows, name)
+    discard(*made)
+    return rows
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing reads any more."""
     for df in frames:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattframe.llm.common import BROADCAST_ROWS, written
+from wattframe.llm.common import BROADCAST_ROWS, settled, written
 
 WINDOW = 8
 #: Shorter items say too little to be found again.
@@ -229,7 +229,11 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     both stay or go together. Null texts and missing ids are documents as any other. An empty table, or
     an empty benchmark, takes nothing away.
     """
-    found = leaking_rows(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    def leaking() -> DataFrame:
+        rows = leaking_rows(docs, benchmark)
+        return rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+
+    found = settled(leaking, "leaks")
     packed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*docs.columns).alias("row"))
     held = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    return packed.join(found.distinct().hint("merge"), held, "left_anti").select("row.*")
+    return packed.join(found.hint("merge"), held, "left_anti").select("row.*")

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattframe.llm.common import free_name, join_written_groups, written
+from wattframe.llm.common import free_name, join_written_groups, settled, written
 
 #: Shorter lines have no near ones: one edit would turn most short words into others.
 MIN_CHARS = 10
@@ -235,9 +235,17 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, into: str | None = N
 
     Null and empty texts stay as they are, with 0 lines. All other columns are kept.
     """
-    into = into or free_name(docs, "lines")
+    return without_lines(docs, gone_lines(docs, min_chars), into or free_name(docs, "lines"))
+
+
+def gone_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, text_hash and ``gone``, the numbers of the lines to remove; other documents have no row."""
     gone = removed_lines(docs, min_chars)
-    gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
+    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
+
+
+def without_lines(docs: DataFrame, gone: DataFrame, into: str) -> DataFrame:
+    """``docs`` without the lines of ``gone_lines``, and what ``drop_lines`` adds."""
     packed = docs.select(
         "doc_id",
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
@@ -268,6 +276,6 @@ def unique_lines(docs: DataFrame) -> DataFrame:
     Documents that had no text before stay.
     """
     mark = free_name(docs, "lines")
-    out = drop_lines(docs, into=mark)
+    out = without_lines(docs, settled(lambda: gone_lines(docs), "gone-lines"), mark)
     left = (F.col(mark)["n_removed"] == 0) | (F.trim("text") != "")
     return out.filter(left).select(*docs.columns)

@@ -20,21 +20,23 @@ The hub of a key is the class that shares most keys. Each class is first compare
 greatest of those of its keys; then with the hubs of its other keys that this did not connect it with;
 then classes of one key that are still not connected are compared with each other, all of them. Two
 sketches rule out pairs that must differ too much, inside the join that finds them: how many tokens fall
-into each of 32 cells, and whether their number is odd in each of 512; all others are verified on both
-whole sets.
+into each of 32 cells, and whether their number is odd in each of 512 or more; all others are verified on both
+whole sets. Parities have as many cells as a set has tokens, or more, or they would tell nothing about
+large sets: any two of these differ in the same half of the cells. Of two sets with other numbers of
+cells, the larger sketch is folded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattframe.llm.common import discard, join_written_groups, ship, written
+from wattframe.llm.common import discard, join_written_groups, lookup, settled, ship, written
 from wattframe.llm.components import components
 from wattframe.llm.hashing import LOWER, STEP, U, mix, window_hashes, word_hashes
 
@@ -43,7 +45,7 @@ NEAR, OF = 85, 100
 WORDS = 4
 #: A document that no number of leading segments pays for.
 UNPAID = 1 << 20
-#: Cells of a sketch of counts, and words of 64 bits of one of parities.
+#: Cells of a sketch of counts, and least number of words of 64 bits of one of parities.
 CELLS = 32
 PARITY = 8
 
@@ -202,9 +204,14 @@ def keys(docs: DataFrame, leading: dict[int, int], length: int, near: int) -> Da
     return docs.select("text").mapInArrow(emit, "key long, sid long, whole boolean")
 
 
+def parity_words(size: int) -> int:
+    """Words of a sketch of parities: a power of two, with a bit or more for each token."""
+    return max(PARITY, 1 << (-(-size // 64) - 1).bit_length())
+
+
 def sets_of(docs: DataFrame, length: int) -> DataFrame:
     """(sid, n, sketch, odd, tokens): the sorted tokens as bytes, their number, how many fall into each of
-    ``CELLS`` cells, and the bits of the finer cells that hold an odd number."""
+    ``CELLS`` cells, and the bits of the finer cells that hold an odd number. A task emits each set once."""
     kind = pa.schema(
         [
             ("sid", pa.int64()),
@@ -216,17 +223,21 @@ def sets_of(docs: DataFrame, length: int) -> DataFrame:
     )
 
     def pack(batches):
+        seen: set[int] = set()
         for batch in batches:
             rows = []
             for text in batch.column("text"):
                 tokens = shingles(text.as_py(), length)
-                if len(tokens):
-                    mixed = mix(tokens)
-                    cells = np.bincount((mixed % U(CELLS)).astype(np.int64), minlength=CELLS)
-                    fine = ((mixed >> U(32)) % U(64 * PARITY)).astype(np.int64)
-                    odd = np.packbits(np.bincount(fine, minlength=64 * PARITY) & 1).view(np.int64)
-                    row = {"sid": set_id(tokens), "n": len(tokens), "sketch": cells.tolist()}
-                    rows.append(row | {"odd": odd.tolist(), "tokens": tokens.tobytes()})
+                if not len(tokens) or (sid := set_id(tokens)) in seen:
+                    continue
+                seen.add(sid)
+                mixed = mix(tokens)
+                cells = np.bincount((mixed % U(CELLS)).astype(np.int64), minlength=CELLS)
+                bits = 64 * parity_words(len(tokens))
+                fine = ((mixed >> U(32)) % U(bits)).astype(np.int64)
+                odd = np.packbits(np.bincount(fine, minlength=bits) & 1).view(np.int64)
+                row = {"sid": sid, "n": len(tokens), "sketch": cells.tolist()}
+                rows.append(row | {"odd": odd.tolist(), "tokens": tokens.tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
     kinds = "sid long, n int, sketch array<int>, odd array<long>, tokens binary"
@@ -236,7 +247,7 @@ def sets_of(docs: DataFrame, length: int) -> DataFrame:
 def may_be_near(one: str, two: str, near: int) -> Column:
     """Whether sizes and sketches leave room for the threshold: sets differ by at least as much as they do.
 
-    A token in one set alone changes one count by one and turns one parity round.
+    A token in one set alone changes one count by one and turns one parity round, also after folding.
     """
     both = F.col(f"{one}.n") + F.col(f"{two}.n")
     apart = F.aggregate(
@@ -244,9 +255,21 @@ def may_be_near(one: str, two: str, near: int) -> Column:
         F.lit(0),
         lambda total, x: total + x,
     )
-    turned = reduce(
-        lambda x, y: x + y,
-        (F.bit_count(F.get(f"{one}.odd", i).bitwiseXOR(F.get(f"{two}.odd", i))) for i in range(PARITY)),
+    words = F.least(F.size(f"{one}.odd"), F.size(f"{two}.odd"))
+
+    def folded(odd: str) -> Column:
+        # Cells are dealt by a remainder, and numbers of words are powers of two.
+        parts = F.sequence(F.lit(1), (F.size(odd) / words).cast("int") - 1)
+        first = F.slice(odd, F.lit(1), words)
+        xor = F.aggregate(
+            parts, first, lambda so_far, k: F.zip_with(so_far, F.slice(odd, k * words + 1, words), lambda x, y: x.bitwiseXOR(y))
+        )
+        return F.when(F.size(odd) > words, xor).otherwise(F.col(odd))
+
+    turned = F.aggregate(
+        F.zip_with(folded(f"{one}.odd"), folded(f"{two}.odd"), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.lit(0),
+        lambda total, x: total + x,
     )
     room = (OF - near) * both
     sizes = (OF + near) * F.abs(F.col(f"{one}.n") - F.col(f"{two}.n")) <= room
@@ -280,8 +303,11 @@ def near_pairs(pairs: DataFrame, sets: DataFrame, near: int) -> DataFrame:
             rows = batch.select(["a", "b"]).filter(mask)
             yield pa.RecordBatch.from_arrays(rows.columns, schema=kind)
 
-    x = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
+    # Sketches leave few pairs, so most sets need not move.
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "ids")
+    asked = lookup(sets.select("sid", "tokens"), ids, ["sid"], "left_semi", ids.count())
+    x = asked.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
+    y = asked.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
     rows = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
     return rows.mapInArrow(verify, "a long, b long")
 
@@ -307,7 +333,9 @@ def near_classes(docs: DataFrame, members: DataFrame, length: int, near: int) ->
     reps = reps.join(weight, "sid", "left_semi").select("rep.doc_id", "rep.text_hash")
     texts = docs.select("doc_id", text_hash(), "text")
     texts = texts.join(*by_row(reps), "left_semi")
-    sets = written(sets_of(texts, length).dropDuplicates(["sid"]), "sets")
+    # Rows that repeat id and text meet in one task of this join, so sets need no shuffle of their own;
+    # one that stands twice all the same, in two parts of a split task, only repeats pairs.
+    sets = written(sets_of(texts, length), "sets")
     # One hub for each class: the greatest among those of its keys.
     best = join_written_groups(live, hubs, ["key"], "n", live).groupBy("sid").agg(F.max("hub").alias("hub"))
     first = best.select(F.col("sid").alias("a"), F.col("hub.sid").alias("b")).filter("a != b")
@@ -409,6 +437,6 @@ def one_of_each(docs: DataFrame, length: int = WORDS, near: int = NEAR) -> DataF
     are told apart by id and text: another text under the id of one that goes is not touched, and rows
     that repeat both stay or go together. Documents without words all stay.
     """
-    _, later = linked_rows(docs, length, near)
+    later = settled(lambda: linked_rows(docs, length, near)[1], "later")
     packed = docs.select("doc_id", text_hash(), F.struct(*docs.columns).alias("row"))
     return packed.join(*by_row(later), "left_anti").select("row.*")
